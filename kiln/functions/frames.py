@@ -51,27 +51,44 @@ def keep_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
 
 
-def with_global_index(df: DataFrame, order_by: list[Column | str], name: str = "_rn",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position in ``order_by`` order (must be a total order).
-
-    An unpartitioned ``row_number()`` window runs in one task.  Instead the
-    rows are range-partitioned on the order, sorted inside each partition,
-    numbered locally, and shifted by the row count of all earlier
-    partitions (a table of one row per partition).
-    """
+def _ranged(df: DataFrame, order_by: list[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on the order, sort inside each slice, tag each row
+    with its slice (``_pid``) and position in it (``_local``), and
+    materialise that once to the shared checkpoint folder.
+
+    The materialisation is what makes the slices usable twice (once for
+    per-slice counts, once for the rows): the range bounds come from a
+    sample, and two evaluations of an un-materialised plan may sample
+    differently.  A reliable checkpoint also survives executor loss."""
+    from kiln.session import ensure_checkpoint_dir
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_pid").cast("long"), 33)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # a window over one row per partition: bounded by the partition count
-    offsets = counts.select("_pid", F.coalesce(
-        F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+    return tagged.checkpoint(eager=True)
+
+
+def _offsets(tagged: DataFrame, weight: Column) -> DataFrame:
+    """Total of ``weight`` in all earlier slices, one row per slice; the
+    window runs over one row per slice (bounded by the slice count)."""
+    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
+    return totals.select("_pid", F.coalesce(
+        F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
+
+
+def with_global_index(df: DataFrame, order_by: list[str], name: str = "_rn",
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add a 0-based position in ``order_by`` order (must be a total order).
+
+    An unpartitioned ``row_number()`` window runs in one task.  Instead the
+    rows are range-partitioned on the order, numbered inside each slice,
+    and shifted by the row count of all earlier slices."""
+    tagged = _ranged(df, list(order_by), num_partitions)
+    offsets = _offsets(tagged, F.lit(1))
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + F.col("_local"))
             .drop("_pid", "_local", "_off"))
@@ -91,23 +108,16 @@ def prefix_sum(df: DataFrame, order_by: list[str], weight: str, name: str = "_cu
                num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` in ``order_by`` order, distributed.
 
-    Range partitioning keeps each task to a contiguous slice of the order;
-    each slice is summed locally (a window over that slice only) and
-    shifted by the totals of all earlier slices (one row per slice).
-    ``order_by`` should be (close to) unique so that slices are balanced.
-    """
-    spark = df.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tagged = df.repartitionByRange(n, *order_by).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    Each range slice is summed locally (a window over that slice only) and
+    shifted by the totals of all earlier slices.  ``order_by`` should be
+    (close to) unique so that slices are balanced."""
+    tagged = _ranged(df, list(order_by), num_partitions)
+    w = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_lcum", F.sum(weight).over(w))
-    totals = tagged.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
-    offsets = totals.select("_pid", F.coalesce(
-        F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
+    offsets = _offsets(tagged, F.col(weight))
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + F.col("_lcum"))
-            .drop("_pid", "_lcum", "_off"))
+            .drop("_pid", "_local", "_lcum", "_off"))
 
 
 def count_within(points: DataFrame, x: str, weight: str, radius: float, name: str = "within") -> DataFrame:
@@ -133,3 +143,27 @@ def count_within(points: DataFrame, x: str, weight: str, radius: float, name: st
     return (probes.groupBy(F.col("q").alias(x))
             .agg((F.sum(F.when(F.col("kind") == 1, F.col("_c")))
                   - F.sum(F.when(F.col("kind") == -1, F.col("_c")))).alias(name)))
+
+
+def ordered_blocks(df: DataFrame, order_by: list[str], before: int, after: int,
+                   block_rows: int = 1 << 20, index: str = "_rn") -> DataFrame:
+    """Prepare lag/lead windows over a global order without one task.
+
+    Rows get their global position (``index``) and a block number
+    ``_blk = index div block_rows``; the first ``after`` rows of each block
+    are copied into the previous block and the last ``before`` rows into
+    the next one (``_home`` = False on copies).  A window partitioned by
+    ``_blk`` and ordered by ``index`` then sees every neighbour within
+    ``before``/``after`` positions of each home row, and each task holds at
+    most ``block_rows + before + after`` rows.
+    """
+    idx = with_global_index(df, order_by, index)
+    b = F.floor(F.col(index) / F.lit(block_rows))
+    off = F.col(index) - b * F.lit(block_rows)
+    copies = F.array(
+        F.struct(b.alias("_blk"), F.lit(True).alias("_home")),
+        F.when(off < F.lit(after), F.struct((b - 1).alias("_blk"), F.lit(False).alias("_home"))),
+        F.when(off >= F.lit(block_rows - before), F.struct((b + 1).alias("_blk"), F.lit(False).alias("_home"))),
+    )
+    return (idx.withColumn("_c", F.explode(F.array_compact(copies)))
+            .select("*", "_c._blk", "_c._home").drop("_c"))
