@@ -222,3 +222,35 @@ def quantile_exprs(column: str, probs: list[float], approx: bool = False,
     if approx:
         return F.percentile_approx(F.col(column).cast("double"), probs, accuracy)
     return F.percentile(F.col(column).cast("double"), probs)
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int], max_collect: int = MAX_COLLECT,
+                     buckets: int = BUCKETS) -> list[float | None]:
+    """Exact values at 0-based ``ranks`` among the non-null values of
+    ``column`` (ascending), by the same bounded narrowing as ``quantiles``."""
+    st = df.agg(F.count(column).alias("n"), F.min(F.col(column).cast("double")).alias("a"),
+                F.max(F.col(column).cast("double")).alias("b")).collect()[0]
+    n, a, b = st["n"], st["a"], st["b"]
+    targets = [_Target(i, column, "", int(r), a, b, 0, n) for i, r in enumerate(ranks) if n and 0 <= r < n]
+    for _ in range(MAX_ROUNDS):
+        active = [t for t in targets if t.count > max_collect and t.lo < t.hi]
+        if not active:
+            break
+        hist = _histogram(df, active, [], buckets)
+        for t in active:
+            cum = t.below
+            for idx, cnt, mn, mx in hist.get(t.tid, []):
+                if cum + cnt > t.rank:
+                    t.lo, t.hi, t.below, t.count = mn, mx, cum, cnt
+                    break
+                cum += cnt
+    for t in targets:
+        if t.lo == t.hi:
+            t.value = t.lo
+    pending = [t for t in targets if t.value is None]
+    if pending:
+        picked = _pick(df, pending, [])
+        for t in pending:
+            t.value = picked[t.tid]
+    by_rank = {t.rank: t.value for t in targets}
+    return [by_rank.get(int(r)) for r in ranks]

@@ -1,0 +1,176 @@
+"""Workloads for dimensionality reduction, clustering, feature
+elimination, model training/tuning/scoring and their metrics."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from kiln.operators import cluster, models, reduce
+from kiln.plans.catalog import register, rounded, table
+from kiln.session import ensure_checkpoint_dir
+
+NUM4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _emb_cols(spark, sf, dims: int = 64):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+
+
+@register("pca_feature")
+def pca_feature(spark, sf):
+    li = table(spark, sf, "lineitem").select(*NUM4, "l_returnflag")
+    out, m = reduce.pca_feature(li, 2, "l_returnflag")
+    return out
+
+
+@register("pca_explore")
+def pca_explore(spark, sf):
+    out, m = reduce.pca_explore(_emb_cols(spark, sf), [f"e{i}" for i in range(64)], 3)
+    return out
+
+
+@register("pca_explained_variance")
+def pca_explained_variance(spark, sf):
+    _, m = reduce.pca_explore(_emb_cols(spark, sf), [f"e{i}" for i in range(64)], 5)
+    return spark.createDataFrame(list(m["explained_variance"].items()), "component string, ratio double")
+
+
+@register("cluster_kmeans")
+def cluster_kmeans(spark, sf):
+    return cluster.kmeans(_emb_cols(spark, sf), [f"e{i}" for i in range(64)], 10).select("vec_id", "label", "cluster")
+
+
+@register("cluster_hierarchical")
+def cluster_hierarchical(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LI_KEY[:4], "l_quantity", "l_discount")
+    return cluster.hierarchical(li, ["l_quantity", "l_discount"], 3)
+
+
+@register("cluster_summary")
+def cluster_summary(spark, sf):
+    return cluster.cluster_summary(cluster.kmeans(_emb_cols(spark, sf), [f"e{i}" for i in range(64)], 10))
+
+
+@register("feature_rfe")
+def feature_rfe(spark, sf):
+    li = table(spark, sf, "lineitem").select(*NUM4, "l_returnflag")
+    _, m = models.rfe(li, "l_returnflag", 2)
+    return spark.createDataFrame(sorted(m["ranking"].items()), "feature string, ranking int")
+
+
+@register("train_test_split", """WITH h AS (SELECT o_orderkey FROM orders
+  ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')) LIMIT CAST(ceil(0.2 * (SELECT count(*) FROM orders)) AS BIGINT))
+SELECT o_orderkey FROM h""")
+def train_test_split(spark, sf):
+    _, test = models.train_test_split(table(spark, sf, "orders"), ["o_orderkey"], 0.2)
+    return test.select("o_orderkey")
+
+
+@register("linreg_one_feature", """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+def linreg_one_feature(spark, sf):
+    li = table(spark, sf, "lineitem")
+    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(vec)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))],
+                                 "slope double, intercept double")
+
+
+@register("metrics_classification", """WITH t AS (SELECT l_returnflag y,
+    CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_discount > 0.05 THEN 'R' ELSE 'A' END p FROM lineitem),
+k AS (SELECT y AS k FROM t UNION SELECT p FROM t),
+per AS (SELECT k.k, (SELECT count(*) FROM t WHERE y = k.k AND p = k.k) tp, (SELECT count(*) FROM t WHERE y = k.k) sup,
+               (SELECT count(*) FROM t WHERE p = k.k) np FROM k)
+SELECT round(sum(tp) / sum(sup), 6) AS accuracy,
+       round(sum(CASE WHEN sup + np > 0 THEN 2.0 * tp / (sup + np) ELSE 0 END * sup) / sum(sup), 6) AS f1_weighted,
+       sum(sup) AS n FROM per""")
+def metrics_classification(spark, sf):
+    li = table(spark, sf, "lineitem")
+    t = li.select(F.col("l_returnflag").alias("label"),
+                  F.when(F.col("l_linestatus") == "O", "N").when(F.col("l_discount") > 0.05, "R").otherwise("A")
+                  .alias("prediction"))
+    return rounded(models.metrics_frame_classification(t).withColumn("n", F.col("n").cast("bigint")))
+
+
+@register("metrics_regression", """SELECT round(sqrt(avg((l_extendedprice - (l_quantity * 950.0 + 25.0)) ^ 2)), 6) AS rmse,
+       round(1 - sum((l_extendedprice - (l_quantity * 950.0 + 25.0)) ^ 2) / (count(*) * var_pop(l_extendedprice)), 6) AS r2,
+       count(*) AS n FROM lineitem""")
+def metrics_regression(spark, sf):
+    li = table(spark, sf, "lineitem")
+    t = li.select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 950.0 + 25.0).alias("prediction"))
+    return rounded(models.metrics_frame_regression(t))
+
+
+def _li_model_frame(spark, sf):
+    li = table(spark, sf, "lineitem")
+    part = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    return li.join(part, li.l_partkey == part.p_partkey, "left").drop("p_partkey")
+
+
+def _metrics_df(spark, tr):
+    items = sorted((k, float(v)) for k, v in tr.metrics.items())
+    return spark.createDataFrame(items, "metric string, value double")
+
+
+def _cls(spark, sf, model, grid=False, params=None):
+    df = _li_model_frame(spark, sf)
+    tr = models.train(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                      model, "classification", LI_KEY, use_grid_search=grid, params=params)
+    return _metrics_df(spark, tr)
+
+
+def _reg(spark, sf, model, grid=False, params=None):
+    df = _li_model_frame(spark, sf)
+    tr = models.train(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount", "l_returnflag"],
+                      model, "regression", LI_KEY, use_grid_search=grid, params=params)
+    return _metrics_df(spark, tr)
+
+
+register("train_logistic")(lambda spark, sf: _cls(spark, sf, "Logistic Regression"))
+# tree ensembles use settings from the reference's own grids (depth 10; 50 stages)
+_RF = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}
+_GB = {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3}
+register("train_random_forest_cls")(lambda spark, sf: _cls(spark, sf, "Random Forest", params=_RF))
+register("train_gradient_boosting_cls")(lambda spark, sf: _cls(spark, sf, "Gradient Boosting", params=_GB))
+register("train_svm_linear")(lambda spark, sf: _cls(spark, sf, "SVM"))
+register("train_linear")(lambda spark, sf: _reg(spark, sf, "Linear Regression"))
+register("train_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression"))
+register("train_lasso")(lambda spark, sf: _reg(spark, sf, "Lasso Regression"))
+register("train_random_forest_reg")(lambda spark, sf: _reg(spark, sf, "Random Forest", params=_RF))
+register("train_gradient_boosting_reg")(lambda spark, sf: _reg(spark, sf, "Gradient Boosting", params=_GB))
+register("grid_search_logistic")(lambda spark, sf: _cls(spark, sf, "Logistic Regression", grid=True))
+register("grid_search_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression", grid=True))
+
+
+@register("score_saved_model")
+def score_saved_model(spark, sf):
+    df = _li_model_frame(spark, sf)
+    tr = models.train(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                      "Logistic Regression", "classification", LI_KEY)
+    path = f"{ensure_checkpoint_dir(spark)}/kiln-models/{uuid.uuid4().hex}"
+    models.save_model(tr, path)
+    loaded = models.load_model(path)
+    return models.score(loaded, df, tr.classes).select(*LI_KEY, "l_returnflag", "predicted_class")
+
+
+@register("score_stream")
+def score_stream(spark, sf):
+    from kiln.streaming.score import read_stream, run_to_files, score_stream as scorer
+    df = _li_model_frame(spark, sf)
+    tr = models.train(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                      "Logistic Regression", "classification", LI_KEY)
+    li = table(spark, sf, "lineitem")
+    stream = read_stream(spark, sf, li.schema, glob="lineitem.parquet")
+    part = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    # stream-static join: the dimension table is joined to every micro-batch
+    enriched = stream.join(part, stream.l_partkey == part.p_partkey, "left").drop("p_partkey")
+    scored = scorer(tr.model, enriched, tr.classes).select(*LI_KEY, "l_returnflag", "predicted_class")
+    base = f"{ensure_checkpoint_dir(spark)}/kiln-stream/{uuid.uuid4().hex}"
+    run_to_files(scored, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
