@@ -174,3 +174,53 @@ def score_stream(spark, sf):
     base = f"{ensure_checkpoint_dir(spark)}/kiln-stream/{uuid.uuid4().hex}"
     run_to_files(scored, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------------------------------ hard operators
+
+@register("dedup_fuzzy")
+def dedup_fuzzy(spark, sf):
+    from kiln.operators.dedup import deduplicate
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    return deduplicate(p, "fuzzy", column="p_name", threshold=80, order_by=["p_partkey"])
+
+
+@register("power_boxcox_lambda")
+def power_boxcox_lambda(spark, sf):
+    from kiln.operators.power import fit_lambda
+    lam = fit_lambda(table(spark, sf, "lineitem"), "l_extendedprice", "boxcox", shift=1.0)
+    return spark.createDataFrame([(float(lam),)], "lambda double")
+
+
+@register("power_yeojohnson", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  round(CASE WHEN l_tax - 0.04 >= 0 THEN (pow(l_tax - 0.04 + 1, 0.5) - 1) / 0.5
+             ELSE -(pow(1 - (l_tax - 0.04), 1.5) - 1) / 1.5 END, 9) AS t FROM lineitem""")
+def power_yeojohnson(spark, sf):
+    from kiln.operators.power import power_transform
+    li = table(spark, sf, "lineitem").withColumn("t", F.col("l_tax") - 0.04)
+    out, _ = power_transform(li, "t", "yeojohnson", lam=0.5)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t"), 9)
+
+
+@register("power_yeojohnson_fit")
+def power_yeojohnson_fit(spark, sf):
+    from kiln.operators.power import power_transform
+    li = table(spark, sf, "lineitem").withColumn("t", F.col("l_tax") - 0.04)
+    out, lam = power_transform(li, "t", "yeojohnson")
+    return out.select("l_orderkey", "l_linenumber", "t").withColumn("lambda", F.lit(lam))
+
+
+@register("detect_isolation_forest")
+def detect_isolation_forest(spark, sf):
+    from kiln.operators.outliers import detect
+    li = table(spark, sf, "lineitem").withColumn(
+        "l_extendedprice", F.when(F.col("l_orderkey") % 997 == 0, F.col("l_extendedprice") * 20)
+        .otherwise(F.col("l_extendedprice")))
+    return detect(li, "l_extendedprice", "isolation_forest", contamination=0.05)
+
+
+@register("outlier_isolation_forest_null")
+def outlier_isolation_forest_null(spark, sf):
+    from kiln.operators.outliers import outlier
+    li = table(spark, sf, "lineitem").select(*LI_KEY[:4], "l_extendedprice")
+    return outlier(li, "l_extendedprice", "isolation_forest", "null", contamination=0.1)
