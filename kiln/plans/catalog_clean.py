@@ -639,3 +639,27 @@ def flagship_pipeline(spark, sf):
     price = profile.group_agg(res.df, "l_quantity_binned", "l_extendedprice", "mean", "avg_price")
     disc = profile.group_agg(res.df, "l_quantity_binned", "l_discount", "mean", "avg_discount")
     return rounded(price.join(disc, "l_quantity_binned"))
+
+
+# ------------------------------------------------------------------ streaming apply
+
+@register("stream_impute_scale", f"""WITH {LI}, s AS (
+  SELECT quantile_cont(l_discount, 0.5) AS md, avg(l_tax) AS mt, min(l_quantity) AS a, max(l_quantity) AS b FROM li)
+SELECT {K4_SQL}, round(coalesce(l_discount, md), 6) AS l_discount, round(coalesce(l_tax, mt), 6) AS l_tax,
+       round((l_quantity - a) / (b - a), 6) AS l_quantity FROM li, s""")
+def stream_impute_scale(spark, sf):
+    """Fit on the static table, apply the same steps to a file stream of it."""
+    from kiln.streaming.score import apply_steps, fit_steps, read_stream, run_to_files
+    steps = [clean.Impute("l_discount", "median"), clean.Impute("l_tax", "mean"),
+             scale.Scale("l_quantity", "minmax")]
+    stats = fit_steps(li_nulls(spark, sf), steps)
+    li = table(spark, sf, "lineitem")
+    raw = read_stream(spark, sf, li.schema, glob="lineitem.parquet")
+    k = F.col("l_orderkey")
+    nulls = raw.withColumns({"l_quantity": F.when(k % 13 != 0, F.col("l_quantity")),
+                             "l_discount": F.when(k % 7 != 0, F.col("l_discount")),
+                             "l_tax": F.when(k % 11 != 0, F.col("l_tax"))})
+    out = apply_steps(nulls, steps, stats).select(*K4, "l_discount", "l_tax", "l_quantity")
+    base = f"{ensure_checkpoint_dir(spark)}/kiln-stream/{uuid.uuid4().hex}"
+    run_to_files(out, f"{base}/out", f"{base}/ckpt")
+    return rounded(spark.read.parquet(f"{base}/out"))

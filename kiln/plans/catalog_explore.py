@@ -357,3 +357,8 @@ def chart_pairplot(spark, sf):
 @register("chart_bar_bootstrap")
 def chart_bar_bootstrap(spark, sf):
     return charts.bar_bootstrap(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", 100)
+
+
+@register("kbest_mutual_info")
+def kbest_mutual_info(spark, sf):
+    return _kbest(spark, sf, "l_returnflag", "mutual_info")

@@ -90,3 +90,24 @@ def test_fuzzy_dedup_equals_greedy(spark):
             kept.append(i)
     assert got == kept
     assert lcs_length("AGGTAB", "GXTXAYB") == 4
+
+
+def test_mutual_info_matches_brute_force(spark):
+    from kiln.operators.mutual_info import _digamma, mutual_info_feature
+    rng = np.random.default_rng(0)
+    n = 240
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=n) + y * 0.8
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    xs = x / x.std()
+    radius, kall, lc = np.empty(n), np.empty(n), np.empty(n)
+    for lab in np.unique(y):
+        msk = y == lab
+        c = xs[msk]
+        k = min(3, msk.sum() - 1)
+        d = np.sort(np.abs(c[:, None] - c[None, :]), axis=1)
+        radius[msk], kall[msk], lc[msk] = np.nextafter(d[:, k], 0), k, msk.sum()
+    m = np.array([(np.abs(xs - xs[i]) <= radius[i]).sum() for i in range(n)])
+    dg = np.vectorize(_digamma)
+    ref = max(0, _digamma(n) + dg(kall).mean() - dg(lc).mean() - dg(m).mean())
+    assert abs(mutual_info_feature(df, "x", "y") - ref) < 1e-6
