@@ -23,15 +23,21 @@ def _item(c: str) -> F.Column:
 
 
 def frequent_itemsets(df: DataFrame, columns: list[str], min_support: float = 0.1) -> DataFrame:
-    """(items array sorted, itemset string, support, length)."""
-    n = df.count()
-    if n == 0:
-        raise ValueError("empty input")
+    """(items array sorted, itemset string, support, length).  The
+    result (bounded by the number of frequent itemsets) is checkpointed,
+    since rules read it several times."""
+    from kiln.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     if len(columns) <= CUBE_MAX_COLUMNS:
         items = df.select(*[_item(c).alias(c) for c in columns])
         g = items.cube(*columns).agg(F.count(F.lit(1)).alias("_cnt"), F.grouping_id().alias("_gid"))
-        # a grouped column that is NULL is a missing value, not "all": drop
+        g = g.checkpoint(eager=True)  # small; read three times below
         full = (1 << len(columns)) - 1
+        total = g.where(F.col("_gid") == F.lit(full)).select("_cnt").collect()
+        n = total[0][0] if total else 0
+        if n == 0:
+            raise ValueError("empty input")
+        # a grouped column that is NULL is a missing value, not "all": drop
         keep = F.col("_gid") != F.lit(full)
         for i, c in enumerate(columns):
             bit = 1 << (len(columns) - 1 - i)
@@ -40,13 +46,16 @@ def frequent_itemsets(df: DataFrame, columns: list[str], min_support: float = 0.
             F.array_sort(F.array_compact(F.array(*[F.col(c) for c in columns]))).alias("items"), "_cnt")
     else:
         from pyspark.ml.fpm import FPGrowth
+        n = df.count()
+        if n == 0:
+            raise ValueError("empty input")
         baskets = df.select(F.array_compact(F.array(*[_item(c) for c in columns])).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
         sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("_cnt"))
     support = F.col("_cnt") / F.lit(float(n))
     return (sets.where(support >= F.lit(min_support))
             .select("items", F.array_join("items", ",").alias("itemset"), support.alias("support"),
-                    F.size("items").alias("length")))
+                    F.size("items").alias("length"))).checkpoint(eager=True)
 
 
 def association_rules(itemsets: DataFrame, min_threshold: float = 0.5) -> DataFrame:
