@@ -14,6 +14,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -335,3 +338,81 @@ def rfe(df: DataFrame, target: str, k: int = 5, step: int = 1) -> tuple[DataFram
         ranking[feats[r]] = 1
     keep = [feats[r] for r in remaining]
     return df.select(*keep, target), {"selected_features": keep, "ranking": ranking}
+
+
+# ---------------------------------------------------------------- M7 rbf kernel
+
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Transformer  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+
+
+class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features (Rahimi & Recht, 2007) approximating the RBF
+    kernel exp(-gamma |x - y|^2): z(x) = sqrt(2 / D) cos(W x + b).  The
+    projection is a plain column expression (codegen), and the weights are
+    a param, so the stage saves and loads with the pipeline."""
+
+    spec = Param(Params._dummy(), "spec", "JSON weights and offsets", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, spec=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    @staticmethod
+    def make_spec(dim: int, gamma: float, components: int = 200, seed: int = SPLIT_SEED) -> str:
+        import json
+        import numpy as np
+        rng = np.random.default_rng(seed)
+        w = rng.normal(scale=math.sqrt(2.0 * gamma), size=(components, dim))
+        b = rng.uniform(0, 2 * math.pi, size=components)
+        return json.dumps({"w": w.tolist(), "b": b.tolist()})
+
+    def _transform(self, dataset):
+        import json
+        s = json.loads(self.getOrDefault(self.spec))
+        w, b = np.asarray(s["w"]), np.asarray(s["b"])
+        scale = math.sqrt(2.0 / len(b))
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def project(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_numpy())
+            z = np.cos(x @ w.T + b) * scale
+            return pd.Series(list(z))
+
+        return dataset.withColumn(self.getOutputCol(),
+                                  array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
+
+
+def train_svm_rbf(df: DataFrame, target: str, features: list[str], key: list[str], c: float = 1.0,
+                  components: int = 200) -> Trained:
+    """M7 with ``kernel='rbf'``: scaled features -> random Fourier features
+    (gamma = 1 / (d * var(X)) = 1 / d on standardised data, the 'scale' rule)
+    -> one-vs-rest linear SVM."""
+    prep = prepare(df, target, features, "classification", True)
+    train_df, test_df = train_test_split(df, key)
+    train_df = train_df.persist()
+    try:
+        n_train = train_df.count()
+        feats = prep.features
+        cast = SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
+        rff = RandomFourierFeatures(inputCol="scaled", outputCol="features",
+                                    spec=RandomFourierFeatures.make_spec(len(feats), 1.0 / len(feats), components))
+        svc = LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (c * n_train),
+                        standardization=False, maxIter=100)
+        stages = prep.stages + [
+            cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
+            VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
+            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), rff,
+            OneVsRest(classifier=svc, featuresCol="features", labelCol="label")]
+        fitted = Pipeline(stages=stages).fit(train_df)
+        pred = fitted.transform(test_df)
+        metrics = classification_metrics(pred)
+    finally:
+        train_df.unpersist()
+    return Trained(fitted, metrics, feats, prep.classes, {"C": c, "kernel": "rbf"}, pred)

@@ -224,3 +224,11 @@ def outlier_isolation_forest_null(spark, sf):
     from kiln.operators.outliers import outlier
     li = table(spark, sf, "lineitem").select(*LI_KEY[:4], "l_extendedprice")
     return outlier(li, "l_extendedprice", "isolation_forest", "null", contamination=0.1)
+
+
+@register("train_svm_rbf")
+def train_svm_rbf(spark, sf):
+    df = _li_model_frame(spark, sf)
+    tr = models.train_svm_rbf(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                              LI_KEY, 1.0, 100)
+    return _metrics_df(spark, tr)
