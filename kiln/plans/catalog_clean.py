@@ -663,3 +663,18 @@ def stream_impute_scale(spark, sf):
     base = f"{ensure_checkpoint_dir(spark)}/kiln-stream/{uuid.uuid4().hex}"
     run_to_files(out, f"{base}/out", f"{base}/ckpt")
     return rounded(spark.read.parquet(f"{base}/out"))
+
+
+@register("impute_mice_multi")
+def impute_mice_multi(spark, sf):
+    li = li_nulls(spark, sf).select(*K4, "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return clean.impute_iterative(li, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], max_iter=10)
+
+
+@register("xlsx_roundtrip", "SELECT * FROM orders")
+def xlsx_roundtrip(spark, sf):
+    from kiln.sources.xlsx import read_xlsx, write_xlsx
+    orders = table(spark, sf, "orders")
+    folder = f"{ensure_checkpoint_dir(spark)}/kiln-xlsx/{uuid.uuid4().hex}"
+    write_xlsx(orders, folder)
+    return read_xlsx(spark, folder, orders.schema)
