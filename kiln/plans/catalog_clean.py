@@ -678,3 +678,11 @@ def xlsx_roundtrip(spark, sf):
     folder = f"{ensure_checkpoint_dir(spark)}/kiln-xlsx/{uuid.uuid4().hex}"
     write_xlsx(orders, folder)
     return read_xlsx(spark, folder, orders.schema)
+
+
+@register("text_correct_spelling")
+def text_correct_spelling(spark, sf):
+    from kiln.operators.spell import correct_spelling
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = c.withColumn("_k", F.concat_ws(":", "conv_id", "turn"))
+    return correct_spelling(c, "text", min_count=3, key="_k").drop("_k")

@@ -40,3 +40,11 @@ def test_exact_dedup_keeps_first(spark):
     df = spark.createDataFrame([(3, "x", 1), (1, "x", 1), (2, None, 2), (5, None, 2)], "ord long, k1 string, k2 int")
     got = sorted(r["ord"] for r in dedup.deduplicate(df, "exact", ["k1", "k2"], order_by=["ord"]).collect())
     assert got == [1, 2]
+
+
+def test_spelling_correction_uses_corpus(spark):
+    from kiln.operators.spell import correct_spelling
+    docs = ["the quick brown fox"] * 3 + ["teh quikc brwn fox!", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, t string")
+    out = {r["id"]: r["t"] for r in correct_spelling(df, "t", min_count=3, key="id").collect()}
+    assert out[3] == "the quick brown fox!" and out[4] is None and out[0] == docs[0]
