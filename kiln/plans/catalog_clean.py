@@ -686,3 +686,63 @@ def text_correct_spelling(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     c = c.withColumn("_k", F.concat_ws(":", "conv_id", "turn"))
     return correct_spelling(c, "text", min_count=3, key="_k").drop("_k")
+
+
+FEATURE_OPS = [
+    {"type": "missing", "strategy": "flag", "columns": ["o_totalprice"]},
+    {"type": "encoding", "method": "target", "columns": ["o_orderpriority"], "target": "o_totalprice"},
+    {"type": "scaling", "method": "minmax", "columns": ["o_totalprice"], "range": [0, 1]},
+    {"type": "feature_creation", "operation": "aggregation", "new_feature": "status_mean",
+     "group_column": "o_orderstatus", "aggregation_column": "o_totalprice", "aggregation_function": "mean"},
+    {"type": "feature_creation", "operation": "datetime", "new_feature": "wd", "column": "o_orderdate",
+     "part": "weekday"},
+    {"type": "binning", "method": "custom", "column": "o_totalprice", "bin_edges": [-0.01, 0.25, 0.5, 1.01],
+     "labels": ["low", "mid", "high"]},
+]
+
+
+@register("feature_pipeline", f"""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate,
+                  CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS p FROM orders),
+f AS (SELECT *, CASE WHEN p IS NULL THEN 1 ELSE 0 END AS miss, coalesce(p, (SELECT quantile_cont(p, 0.5) FROM o)) AS p1 FROM o),
+t AS (SELECT *, avg(p1) OVER (PARTITION BY o_orderpriority) AS te FROM f),
+mm AS (SELECT min(p1) a, max(p1) b FROM f),
+s AS (SELECT t.*, (p1 - a) / (b - a) AS p2 FROM t, mm),
+g AS (SELECT *, avg(p2) OVER (PARTITION BY o_orderstatus) AS sm FROM s)
+SELECT o_orderkey, miss AS o_totalprice_missing, round(te, 6) AS o_orderpriority, round(p2, 6) AS o_totalprice,
+       round(sm, 6) AS status_mean, CAST(isodow(o_orderdate) - 1 AS BIGINT) AS wd,
+       {_edge_case('p2', ['-0.01', '0.25', '0.5', '1.01'], False)} AS o_totalprice_binned,
+       ['low', 'mid', 'high'][{_edge_case('p2', ['-0.01', '0.25', '0.5', '1.01'], False)} + 1] AS o_totalprice_binned_label
+FROM g""")
+def feature_pipeline(spark, sf):
+    from kiln.plans.pipeline import run_pipeline
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
+        F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    res = run_pipeline(o, FEATURE_OPS)
+    out = res.df.select("o_orderkey", "o_totalprice_missing", "o_orderpriority", "o_totalprice", "status_mean",
+                        F.col("wd").cast("long").alias("wd"), "o_totalprice_binned", "o_totalprice_binned_label")
+    return rounded(out, only=["o_orderpriority", "o_totalprice", "status_mean"])
+
+
+CLEAN_OPS = [
+    {"type": "delete_columns", "params": {"columns": ["user_id"]}},
+    {"type": "regex_extract", "params": {"column": "props", "pattern": r'"k": (\d+)', "new_column": "k"}},
+    {"type": "type_conversion", "params": {"column": "k", "type": "numeric"}},
+    {"type": "outlier", "params": {"column": "value", "method": "zscore", "action": "remove", "threshold": 2}},
+    {"type": "text_clean", "params": {"column": "event_type", "action": "lowercase"}},
+    {"type": "deduplicate", "params": {"method": "exact", "columns": ["event_type", "k"]}},
+]
+
+
+@register("clean_pipeline", r"""WITH e AS (SELECT event_id, ts, event_type, value, props,
+        TRY_CAST(CASE WHEN regexp_matches(props, '"k": (\d+)') THEN regexp_extract(props, '"k": (\d+)', 1) END AS DOUBLE) AS k
+      FROM events),
+s AS (SELECT avg(value) m, stddev_samp(value) sd FROM e),
+r AS (SELECT e.event_id, e.ts, lower(e.event_type) AS event_type, e.value, e.props, e.k FROM e, s
+      WHERE abs((value - m) / sd) < 2)
+SELECT s.event_id AS event_id, s.ts AS ts, event_type, s.value AS value, s.props AS props, k
+FROM (SELECT min(struct_pack(event_id, ts, value, props)) AS s, event_type, k FROM r GROUP BY event_type, k)""")
+def clean_pipeline(spark, sf):
+    from kiln.plans.pipeline import run_pipeline
+    res = run_pipeline(table(spark, sf, "events"), CLEAN_OPS, order_by=["event_id"])
+    return res.df
