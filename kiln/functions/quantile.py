@@ -17,8 +17,8 @@ narrowing:
 
 Bucket assignment is monotone in the value, so each bucket's actual
 min/max bound exactly the values in it, and the result is exact.  When
-every group holds at most ``max_collect`` values, the built-in
-``percentile`` is already bounded and is used directly (one pass).
+every group holds at most ``max_collect`` values, each group's values are
+sorted once in one aggregate (already bounded) and the ranks read directly.
 """
 
 from __future__ import annotations
@@ -112,12 +112,22 @@ def grouped_quantiles(df: DataFrame, requests: dict[str, list[float]], group_col
     biggest = max((s[c][0] for s in stats.values() for c in cols), default=0)
     result: dict = {}
     if biggest <= max_collect:
-        # every group is bounded: the built-in exact percentile is safe
-        aggs = [F.percentile(F.col(c).cast("double"), [float(p) for p in requests[c]]).alias(f"q{i}")
-                for i, c in enumerate(cols)]
-        for r in df.groupBy(key).agg(*aggs).collect():
-            result[(r["_g"],)] = {c: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(requests[c])
-                                  for i, c in enumerate(cols)}
+        # every group is bounded: sort its values once (one task per group
+        # holds at most max_collect values) and read the two ranks around
+        # each quantile, interpolating in the same projection
+        aggs = [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"v{i}") for i, c in enumerate(cols)]
+        sel = []
+        for i, c in enumerate(cols):
+            arr = F.col(f"v{i}")
+            n = F.size(arr)
+            for j, p in enumerate(requests[c]):
+                h = (n - 1).cast("double") * F.lit(float(p))
+                lo, hi = F.floor(h), F.ceil(h)
+                a = F.element_at(arr, (lo + 1).cast("int"))
+                b = F.element_at(arr, (hi + 1).cast("int"))
+                sel.append(F.when(n > 0, F.when(lo == hi, a).otherwise(a + (b - a) * (h - lo))).alias(f"q{i}_{j}"))
+        for r in df.groupBy(key).agg(*aggs).select("_g", *sel).collect():
+            result[(r["_g"],)] = {c: [r[f"q{i}_{j}"] for j in range(len(requests[c]))] for i, c in enumerate(cols)}
         return _regroup(result, gvals, group_cols)
 
     targets: list[_Target] = []

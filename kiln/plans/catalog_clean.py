@@ -636,9 +636,9 @@ def flagship_pipeline(spark, sf):
         {"type": "outlier", "params": {"column": "l_extendedprice", "method": "iqr", "action": "cap", "factor": 1.5}},
         {"type": "binning", "params": {"column": "l_quantity", "method": "equal_width", "bins": 5}},
     ])
-    price = profile.group_agg(res.df, "l_quantity_binned", "l_extendedprice", "mean", "avg_price")
-    disc = profile.group_agg(res.df, "l_quantity_binned", "l_discount", "mean", "avg_discount")
-    return rounded(price.join(disc, "l_quantity_binned"))
+    out = (res.df.where(F.col("l_quantity_binned").isNotNull()).groupBy("l_quantity_binned")
+           .agg(F.avg("l_extendedprice").alias("avg_price"), F.avg("l_discount").alias("avg_discount")))
+    return rounded(out)
 
 
 # ------------------------------------------------------------------ streaming apply
