@@ -416,3 +416,133 @@ def train_svm_rbf(df: DataFrame, target: str, features: list[str], key: list[str
     finally:
         train_df.unpersist()
     return Trained(fitted, metrics, feats, prep.classes, {"C": c, "kernel": "rbf"}, pred)
+
+
+# ---------------------------------------------------------------- M8 SVR
+
+def _lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 10, tol: float = 1e-6) -> np.ndarray:
+    """Limited-memory BFGS with a backtracking (Armijo) line search; ``fg``
+    returns (value, gradient).  Each evaluation is one distributed pass."""
+    x = x0.copy()
+    f, g = fg(x)
+    s_hist, y_hist = [], []
+    for _ in range(max_iter):
+        if np.linalg.norm(g) <= tol * max(1.0, np.linalg.norm(x)):
+            break
+        q = g.copy()
+        alphas = []
+        for s, y in reversed(list(zip(s_hist, y_hist))):
+            a = s.dot(q) / y.dot(s)
+            alphas.append(a)
+            q -= a * y
+        if s_hist:
+            q *= s_hist[-1].dot(y_hist[-1]) / y_hist[-1].dot(y_hist[-1])
+        for (s, y), a in zip(zip(s_hist, y_hist), reversed(alphas)):
+            q += s * (a - y.dot(q) / y.dot(s))
+        d = -q
+        step = 1.0
+        while True:
+            xn = x + step * d
+            fn, gn = fg(xn)
+            if fn <= f + 1e-4 * step * g.dot(d) or step < 1e-12:
+                break
+            step *= 0.5
+        s, y = xn - x, gn - g
+        if s.dot(y) > 1e-12:
+            s_hist.append(s)
+            y_hist.append(y)
+            if len(s_hist) > m:
+                s_hist.pop(0)
+                y_hist.pop(0)
+        x, f, g = xn, fn, gn
+    return x
+
+
+class SVRModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitted linear predictor w.x + b over a feature vector (JSON weights)."""
+
+    spec = Param(Params._dummy(), "spec", "JSON weights and intercept", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, spec=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset):
+        import json
+        s = json.loads(self.getOrDefault(self.spec))
+        w, b = np.asarray(s["w"]), float(s["b"])
+
+        @F.pandas_udf(T.DoubleType())
+        def predict(v: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(v.to_numpy()) @ w + b)
+
+        return dataset.withColumn(self.getOutputCol(), predict(vector_to_array(F.col(self.getInputCol()))))
+
+
+def fit_svr(data: DataFrame, features_col: str, label_col: str, c: float = 1.0, epsilon: float = 0.1,
+            max_iter: int = 100) -> SVRModel:
+    """M8: support vector regression in the primal,
+    0.5 |w|^2 + C sum max(0, |y - w.x - b| - eps)^2 (the squared
+    epsilon-insensitive loss, smooth enough for L-BFGS).  Each loss and
+    gradient evaluation is one pass: every task reduces its rows to a
+    (d + 2)-vector with numpy, and the driver adds one vector per task."""
+    import json
+    base = data.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"))
+    base = base.persist()
+    try:
+        d = len(base.first()["x"])
+
+        def fg(theta):
+            w, b = theta[:d], theta[d]
+
+            def part(batches):
+                acc = np.zeros(d + 2)
+                for pdf in batches:
+                    if len(pdf) == 0:
+                        continue
+                    x = np.stack(pdf["x"].to_numpy())
+                    r = pdf["y"].to_numpy() - x @ w - b
+                    e = np.sign(r) * np.maximum(np.abs(r) - epsilon, 0.0)
+                    acc[0] += (e * e).sum()
+                    acc[1:d + 1] += -2.0 * (e[:, None] * x).sum(axis=0)
+                    acc[d + 1] += -2.0 * e.sum()
+                yield pd.DataFrame({"v": [acc.tolist()]})
+
+            parts = base.mapInPandas(part, "v array<double>").collect()
+            tot = np.sum([np.asarray(p["v"]) for p in parts], axis=0)
+            val = 0.5 * w.dot(w) + c * tot[0]
+            grad = np.concatenate([w + c * tot[1:d + 1], [c * tot[d + 1]]])
+            return val, grad
+
+        theta = _lbfgs(fg, np.zeros(d + 1), max_iter=max_iter)
+    finally:
+        base.unpersist()
+    return SVRModel(inputCol=features_col, outputCol="prediction",
+                    spec=json.dumps({"w": theta[:d].tolist(), "b": float(theta[d])}))
+
+
+def train_svr(df: DataFrame, target: str, features: list[str], key: list[str], c: float = 1.0,
+              kernel: str = "rbf", epsilon: float = 0.1, components: int = 100) -> Trained:
+    """M8 end to end: prepare, split, impute + scale (+ random Fourier
+    features for ``rbf``), SVR fit on training rows, metrics on test rows."""
+    prep = prepare(df, target, features, "regression", True)
+    train_df, test_df = train_test_split(df, key)
+    feats = prep.features
+    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
+    stages = prep.stages + [
+        cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
+        VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
+    if kernel == "rbf":
+        stages.append(RandomFourierFeatures(inputCol="scaled", outputCol="features",
+                                            spec=RandomFourierFeatures.make_spec(len(feats), 1.0 / len(feats),
+                                                                                 components)))
+    else:
+        stages.append(SQLTransformer(statement="SELECT *, scaled AS features FROM __THIS__"))
+    featurize = Pipeline(stages=stages).fit(train_df)
+    svr = fit_svr(featurize.transform(train_df), "features", "label", c, epsilon)
+    fitted = PipelineModel(stages=featurize.stages + [svr])
+    pred = fitted.transform(test_df)
+    return Trained(fitted, regression_metrics(pred), feats, None, {"C": c, "kernel": kernel}, pred)

@@ -232,3 +232,11 @@ def train_svm_rbf(spark, sf):
     tr = models.train_svm_rbf(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
                               LI_KEY, 1.0, 100)
     return _metrics_df(spark, tr)
+
+
+@register("train_svr")
+def train_svr(spark, sf):
+    df = _li_model_frame(spark, sf)
+    tr = models.train_svr(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount"], LI_KEY,
+                          c=1.0, kernel="linear")
+    return _metrics_df(spark, tr)
