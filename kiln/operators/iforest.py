@@ -1,9 +1,9 @@
 """Isolation Forest (Liu, Ting & Zhou, 2008) for O5 and O9.
 
-* Fit: one bounded random sample of at most ``trees * max_samples`` rows,
-  each sampled row dealt to one tree by hash; ``groupBy(tree)
-  .applyInPandas`` grows the trees in parallel (each task sees at most
-  ``max_samples`` rows).
+* Fit: a bounded pre-sample (about 2 x trees x max_samples rows, whatever
+  the table size), from which every tree draws its own ~max_samples rows
+  by a per-(row, tree) hash; ``groupBy(tree).applyInPandas`` grows the
+  trees in parallel (each task sees at most ``max_samples`` rows).
 * The forest (``trees`` x at most ``2 * max_samples`` nodes) is small; it
   is broadcast inside a vectorised Arrow UDF that scores every row.
 * The threshold is the exact (1 - contamination) quantile of the scores,
@@ -69,10 +69,17 @@ def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples:
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     n = data.count()
     psi = min(max_samples, n)
-    frac = min(1.0, 1.2 * trees * psi / max(n, 1))
+    # each tree needs its own sample of ~psi rows (rows may serve several
+    # trees): a bounded pre-sample of ~2 * trees * psi rows, then every kept
+    # row joins each tree independently with probability psi / (rows kept)
+    frac = min(1.0, 2.0 * trees * psi / max(n, 1))
     sample = data.sample(False, frac, seed=seed) if frac < 1.0 else data
-    dealt = sample.withColumn("_tree", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id(),
-                                                           F.lit(seed)), F.lit(trees)).cast("int"))
+    q = min(1.0, psi / max(n * frac, 1.0))
+    rid = F.monotonically_increasing_id()
+    per_tree = sample.select(*columns, rid.alias("_rid"),
+                             F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
+    u = (F.abs(F.xxhash64("_rid", "_tree", F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
+    dealt = per_tree.where(u < F.lit(q)).drop("_rid").withColumn("_tree", F.col("_tree").cast("int"))
     limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +96,8 @@ def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples:
 
 def score_column(forest: list[dict], psi: int, columns: list[str]):
     """An Arrow UDF giving the anomaly score 2^(-E[h(x)] / c(psi))."""
-    arrays = [{k: np.asarray(v) for k, v in t.items()} for t in forest]
+    arrays = [{**{k: np.asarray(v) for k, v in t.items()},
+               "leaf_c": np.array([c_factor(n) for n in t["size"]])} for t in forest]
     denom = c_factor(psi)
 
     @F.pandas_udf(T.DoubleType())
@@ -107,7 +115,7 @@ def score_column(forest: list[dict], psi: int, columns: list[str]):
                 node[idx] = np.where(go_left, t["left"][node[idx]], t["right"][node[idx]])
                 depth[idx] += 1
                 active = t["feature"][node] >= 0
-            total += depth + np.array([c_factor(s) for s in t["size"]])[node]
+            total += depth + t["leaf_c"][node]
         return pd.Series(np.power(2.0, -(total / len(arrays)) / denom))
 
     return _score(*[F.col(c).cast("double") for c in columns])

@@ -52,3 +52,54 @@ def test_classification_metrics(spark):
     assert m["accuracy"] == 0.5
     f1 = {"a": 2 / 3, "b": 2 / 3 * 2 * 1 / (2 / 3 + 1) * 0 + 0.8 * 0 + 2 * 1 / 4, "c": 0.0}
     assert abs(m["f1_weighted"] - (2 * f1["a"] + 1 * 0.5 + 0) / 4) < 1e-12
+
+
+def test_xlsx_roundtrip(spark, tmp_path):
+    from kiln.sources.xlsx import parse_first_sheet, read_xlsx, write_xlsx
+    df = spark.createDataFrame([(1, "a&b", 2.5), (2, None, None), (3, "x", -1.0)], "id long, s string, v double")
+    write_xlsx(df.repartition(2), str(tmp_path / "wb"))
+    back = read_xlsx(spark, str(tmp_path / "wb"), df.schema)
+    assert sorted(back.collect()) == sorted(df.collect())
+    del parse_first_sheet
+
+
+def test_chained_imputation_recovers_linear_relation(spark):
+    from kiln.operators.clean import impute_iterative
+    rows = [(float(i), 2.0 * i + 1.0 if i % 5 else None) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    out = {r["a"]: r["b"] for r in impute_iterative(df, ["a", "b"]).collect()}
+    assert abs(out[10.0] - 21.0) < 1e-6
+
+
+def test_svr_close_to_least_squares_for_large_c(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = x @ np.array([2.0, -1.0]) + 0.5 + rng.normal(scale=0.01, size=300)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double")
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df)
+    m = models.fit_svr(vec, "f", "y", c=100.0, epsilon=0.0)
+    import json
+    spec = json.loads(m.getOrDefault(m.spec))
+    assert np.allclose(spec["w"], [2.0, -1.0], atol=1e-2) and abs(spec["b"] - 0.5) < 1e-2
+
+
+def test_power_lambda_matches_grid_mle(spark):
+    from kiln.operators.power import fit_lambda
+    rng = np.random.default_rng(1)
+    x = rng.lognormal(0.0, 0.5, 400)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    lam = fit_lambda(df, "x", "boxcox")
+    grid = np.linspace(-2, 2, 40001)
+    llf = [(l - 1) * np.log(x).sum() - len(x) / 2 * np.log(np.var(np.log(x) if abs(l) < 1e-12 else (x ** l - 1) / l))
+           for l in grid]
+    assert abs(lam - grid[int(np.argmax(llf))]) < 2e-4
+
+
+def test_isolation_forest_ranks_planted_outliers(spark):
+    from kiln.operators.iforest import isolation_scores
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=500), [15.0, -12.0, 20.0]])
+    df = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(x)], "id long, x double")
+    scored, thr = isolation_scores(df, ["x"], contamination=0.01, trees=50)
+    top = [r["id"] for r in scored.orderBy("anomaly_score", ascending=False).limit(3).collect()]
+    assert sorted(top) == [500, 501, 502]
