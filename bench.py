@@ -23,7 +23,8 @@ HEADLINE = [
     "describe", "descriptive_stats", "column_stats", "corr_matrix", "corr_spearman", "corr_cramersv",
     "kbest_f_classif", "frequent_itemsets", "association_rules", "chart_histogram", "chart_boxplot",
     "chart_kde", "chart_words", "chart_acf", "chart_seasonal", "detect_dbscan", "train_test_split",
-    "train_logistic",
+    "train_logistic", "feature_pipeline", "clean_pipeline", "dedup_fuzzy", "detect_isolation_forest",
+    "power_yeojohnson",
 ]
 
 

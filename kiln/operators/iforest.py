@@ -94,11 +94,47 @@ def fit_forest(df: DataFrame, columns: list[str], trees: int = 100, max_samples:
     return [json.loads(r["spec"]) for r in rows], psi
 
 
+def _leaf_steps(t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For a one-feature tree: sorted split points and the path length
+    (depth + c(leaf size)) on each interval between them."""
+    bounds, values = [], []
+
+    def walk(node: int, depth: int) -> None:
+        if t["feature"][node] < 0:
+            values.append(depth + c_factor(t["size"][node]))
+            return
+        walk(t["left"][node], depth + 1)
+        bounds.append(t["threshold"][node])
+        walk(t["right"][node], depth + 1)
+
+    walk(0, 0)
+    return np.asarray(bounds, dtype=float), np.asarray(values, dtype=float)
+
+
 def score_column(forest: list[dict], psi: int, columns: list[str]):
-    """An Arrow UDF giving the anomaly score 2^(-E[h(x)] / c(psi))."""
+    """An Arrow UDF giving the anomaly score 2^(-E[h(x)] / c(psi)).
+
+    With one feature every tree is a step function of x, so the forest's
+    mean path length is one merged step function: each row costs a single
+    binary search.  Several features traverse the trees vectorised."""
+    denom = c_factor(psi)
+    if len(columns) == 1:
+        steps = [_leaf_steps(t) for t in forest]
+        merged = np.unique(np.concatenate([b for b, _ in steps])) if steps else np.array([])
+        probe = np.concatenate([[-np.inf], merged])
+        total = np.zeros(len(probe))
+        for b, v in steps:
+            total += v[np.searchsorted(b, probe, side="right")]
+        level = np.power(2.0, -(total / max(len(forest), 1)) / denom)
+
+        @F.pandas_udf(T.DoubleType())
+        def _score1(x: pd.Series) -> pd.Series:
+            return pd.Series(level[np.searchsorted(merged, x.to_numpy(dtype=float), side="right")])
+
+        return _score1(F.col(columns[0]).cast("double"))
+
     arrays = [{**{k: np.asarray(v) for k, v in t.items()},
                "leaf_c": np.array([c_factor(n) for n in t["size"]])} for t in forest]
-    denom = c_factor(psi)
 
     @F.pandas_udf(T.DoubleType())
     def _score(*cols: pd.Series) -> pd.Series:
@@ -128,6 +164,10 @@ def isolation_scores(df: DataFrame, columns: list[str], contamination: float = 0
     for c in columns:
         complete = complete & F.col(c).isNotNull()
     scored = df.withColumn("anomaly_score", F.when(complete, score_column(forest, psi, columns)))
+    # scores are read three times (count, quantile, filter): compute them once
+    from kiln.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = scored.checkpoint(eager=True)
     thr = quantiles(scored, {"anomaly_score": [1.0 - contamination]})["anomaly_score"][0]
     return scored, thr
 
