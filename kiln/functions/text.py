@@ -48,8 +48,8 @@ def tokens(c: Column) -> Column:
 def remove_stopwords(c: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:
     """Drop exact (case-sensitive) stop words, rejoin with one space.
     Missing stays missing (the reference turns it into the text 'nan')."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_join(F.filter(tokens(c), lambda w: ~F.array_contains(stop, w)), " ")
+    words = list(stop_words)
+    return F.array_join(F.filter(tokens(c), lambda w: ~w.isin(*words)), " ")
 
 
 def regex_extract(c: Column, pattern: str) -> Column:

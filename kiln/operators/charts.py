@@ -291,9 +291,9 @@ WORD_PATTERN = r"\w[\w']+"
 def word_frequencies(df: DataFrame, column: str, top: int = 200, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Lower-cased words of 2+ characters, stop words and pure numbers
     out, the ``top`` most frequent (the cloud's budget)."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
+    # ``isin`` over many literals becomes a hash-set lookup (InSet)
     words = (df.select(F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit(WORD_PATTERN), 0)).alias("word"))
-             .where(~F.array_contains(stop, F.col("word")) & ~F.col("word").rlike(r"^[0-9]+$")))
+             .where(~F.col("word").isin(*stop_words) & ~F.col("word").rlike(r"^[0-9]+$")))
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc("word")).limit(top))
 
