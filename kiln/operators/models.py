@@ -98,7 +98,8 @@ def prepare(df: DataFrame, target: str, features: list[str], problem_type: str,
     if problem_type == "classification" and is_text_target:
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                     handleInvalid="keep"))
-        classes = sorted(r[0] for r in df.select(target).distinct().collect() if r[0] is not None)
+        from kiln.functions.frames import distinct_capped
+        classes = distinct_capped(df, target, 10_000)
     else:
         stages.append(SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__"))
     return Prepared(stages, feats, dropped, "label", classes)
