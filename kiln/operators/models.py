@@ -547,3 +547,100 @@ def train_svr(df: DataFrame, target: str, features: list[str], key: list[str], c
     fitted = PipelineModel(stages=featurize.stages + [svr])
     pred = fitted.transform(test_df)
     return Trained(fitted, regression_metrics(pred), feats, None, {"C": c, "kernel": kernel}, pred)
+
+
+# ---------------------------------------------------------------- M9 kNN
+
+def _dist_udf(centroids: np.ndarray):
+    """Arrow UDF: distances from each point to every centroid (as an array)."""
+    cents = np.asarray(centroids, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def dists(x: pd.Series) -> pd.Series:
+        pts = np.stack(x.to_numpy())
+        d = np.sqrt(((pts[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2))
+        return pd.Series(list(d))
+
+    return dists
+
+
+def knn_predict(train: DataFrame, query: DataFrame, k: int = 5, weights: str = "uniform",
+                classification: bool = True, cell_rows: int = 256, seed: int = SPLIT_SEED) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean) by cell pruning.
+
+    ``train(tid, x array<double>, label)``, ``query(qid, x array<double>)``.
+    Training points are grouped into k-means cells of about ``cell_rows``
+    points with a radius each.  A query first ranks the points of its own
+    cell (an upper bound u on its k-th distance), then reads only the cells
+    whose ball can hold a closer point (|q - centre| - radius <= u, the
+    triangle inequality), so the answer is exact while each query touches
+    a bounded number of cells in low dimension.  Ties at equal distance go
+    to the smaller ``tid``.  Prediction: majority vote (ties to the
+    smaller class) or mean, uniform or inverse-distance weighted."""
+    from pyspark.ml.clustering import KMeans
+    n = train.count()
+    p = max(1, math.ceil(n / cell_rows))
+    vec = train.withColumn("_v", array_to_vector("x"))
+    km = KMeans(k=p, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(vec)
+    cents = np.array(km.clusterCenters())
+    du = _dist_udf(cents)
+    cells = (km.transform(vec).select("tid", "x", "label", "cell")
+             .withColumn("_r", F.element_at(du("x"), F.col("cell") + 1)))
+    cells = cells.checkpoint(eager=True)
+    radius = {r["cell"]: r["R"] for r in cells.groupBy("cell").agg(F.max("_r").alias("R")).collect()}
+    rad = F.array(*[F.lit(float(radius.get(i, -1.0))) for i in range(len(cents))])
+    q = query.select("qid", "x", du("x").alias("_dc"))
+    q = q.withColumn("home", F.expr("array_position(_dc, array_min(_dc)) - 1").cast("int")).checkpoint(eager=True)
+    pts = cells.select(F.col("cell").alias("c"), F.col("tid"), F.col("x").alias("y"), "label")
+
+    def dist(a, b):
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, t: s + t))
+
+    home = q.join(pts, q.home == pts.c).select("qid", dist(F.col("x"), F.col("y")).alias("d"))
+    bound = home.groupBy("qid").agg(F.element_at(F.sort_array(F.collect_list("d")), F.lit(k)).alias("u"))
+    # cells whose ball may hold a point closer than u (all cells if the home cell had < k points)
+    cand = q.join(bound, "qid", "left").select(
+        "qid", "x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(cents) - 1)),
+                                       lambda i: F.col("u").isNull()
+                                       | (F.element_at(F.col("_dc"), i + 1) - F.element_at(rad, i + 1) <= F.col("u"))))
+        .alias("c"))
+    pairs = cand.join(pts, "c").select("qid", "tid", "label", dist(F.col("x"), F.col("y")).alias("d"))
+    top = pairs.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "tid", "label"))), 1, k)
+                                   .alias("nn"))
+    nn = top.select("qid", F.explode("nn").alias("n")).select("qid", "n.d", "n.label")
+    if weights == "distance":
+        anyzero = nn.groupBy("qid").agg(F.max((F.col("d") == 0).cast("int")).alias("_z"))
+        nn = nn.join(anyzero, "qid").withColumn(
+            "w", F.when(F.col("_z") == 1, (F.col("d") == 0).cast("double")).otherwise(1.0 / F.col("d")))
+    else:
+        nn = nn.withColumn("w", F.lit(1.0))
+    if classification:
+        votes = nn.groupBy("qid", "label").agg(F.sum("w").alias("s"))
+        best = votes.groupBy("qid").agg(F.max(F.struct("s", (-F.col("label")).alias("nl"))).alias("b"))
+        return best.select("qid", (-F.col("b.nl")).alias("prediction"))
+    return nn.groupBy("qid").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
+
+
+def train_knn(df: DataFrame, target: str, features: list[str], problem_type: str, key: list[str],
+              n_neighbors: int = 5, weights: str = "uniform") -> Trained:
+    """M9 end to end: prepare, split, impute + scale on training rows, exact
+    kNN (``knn_predict``) for every test row, metrics."""
+    from kiln.functions.frames import with_global_index
+    prep = prepare(df, target, features, problem_type, True)
+    train_df, test_df = train_test_split(df, key)
+    feats = prep.features
+    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
+    stages = prep.stages + [
+        cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
+        VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
+        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
+    featurize = Pipeline(stages=stages).fit(train_df)
+    tr = with_global_index(featurize.transform(train_df).select(*key, "features", "label"), key, "tid")
+    te = with_global_index(featurize.transform(test_df).select(*key, "features", "label"), key, "qid")
+    pred = knn_predict(tr.select("tid", vector_to_array("features").alias("x"), "label"),
+                       te.select("qid", vector_to_array("features").alias("x")),
+                       n_neighbors, weights, problem_type == "classification")
+    scored = te.select("qid", "label").join(pred, "qid")
+    metrics = (classification_metrics(scored) if problem_type == "classification" else regression_metrics(scored))
+    return Trained(featurize, metrics, feats, prep.classes, {"n_neighbors": n_neighbors, "weights": weights}, scored)

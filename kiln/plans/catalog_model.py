@@ -240,3 +240,19 @@ def train_svr(spark, sf):
     tr = models.train_svr(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount"], LI_KEY,
                           c=1.0, kernel="linear")
     return _metrics_df(spark, tr)
+
+
+@register("train_knn_cls")
+def train_knn_cls(spark, sf):
+    df = _li_model_frame(spark, sf)
+    tr = models.train_knn(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                          "classification", LI_KEY, 5, "uniform")
+    return _metrics_df(spark, tr)
+
+
+@register("train_knn_reg")
+def train_knn_reg(spark, sf):
+    df = _li_model_frame(spark, sf)
+    tr = models.train_knn(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount"],
+                          "regression", LI_KEY, 5, "distance")
+    return _metrics_df(spark, tr)

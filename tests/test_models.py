@@ -103,3 +103,19 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     scored, thr = isolation_scores(df, ["x"], contamination=0.01, trees=50)
     top = [r["id"] for r in scored.orderBy("anomaly_score", ascending=False).limit(3).collect()]
     assert sorted(top) == [500, 501, 502]
+
+
+def test_knn_exact_against_brute_force(spark):
+    from kiln.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(800, 3))
+    y = (X[:, 0] + X[:, 1] > 0).astype(float)
+    Q = rng.normal(size=(60, 3))
+    tr = spark.createDataFrame([(i, list(map(float, x)), float(v)) for i, (x, v) in enumerate(zip(X, y))],
+                               "tid long, x array<double>, label double")
+    qq = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(Q)], "qid long, x array<double>")
+    got = {r["qid"]: r["prediction"] for r in models.knn_predict(tr, qq, 5, "uniform", False, cell_rows=50).collect()}
+    for i, q in enumerate(Q):
+        d = np.sqrt(((X - q) ** 2).sum(1))
+        assert abs(got[i] - y[np.lexsort((np.arange(len(X)), d))[:5]].mean()) < 1e-12
