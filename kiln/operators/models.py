@@ -204,7 +204,17 @@ def train(df: DataFrame, target: str, features: list[str], model: str, problem_t
           key: list[str], use_grid_search: bool = False, preprocess: bool = True,
           parallelism: int = 4, params: dict | None = None) -> Trained:
     """Prepare, split, fit imputer -> scaler -> model (training rows
-    only), optionally 5-fold grid search, evaluate on the test rows."""
+    only), optionally 5-fold grid search, evaluate on the test rows.
+    k-nearest neighbours, rbf-kernel SVM (the SVM default) and SVR have
+    their own distributed fitters and are dispatched to them."""
+    p = params or {}
+    if model == "K-Nearest Neighbors":
+        return train_knn(df, target, features, problem_type, key, int(p.get("n_neighbors", 5)),
+                         p.get("weights", "uniform"))
+    if model == "SVM" and problem_type == "regression":
+        return train_svr(df, target, features, key, float(p.get("C", 1.0)), p.get("kernel", "rbf"))
+    if model == "SVM" and p.get("kernel", "rbf") == "rbf":
+        return train_svm_rbf(df, target, features, key, float(p.get("C", 1.0)))
     prep = prepare(df, target, features, problem_type, preprocess)
     train_df, test_df = train_test_split(df, key)
     # iterative fitters scan the training rows many times: keep them once

@@ -138,7 +138,7 @@ _RF = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}
 _GB = {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3}
 register("train_random_forest_cls")(lambda spark, sf: _cls(spark, sf, "Random Forest", params=_RF))
 register("train_gradient_boosting_cls")(lambda spark, sf: _cls(spark, sf, "Gradient Boosting", params=_GB))
-register("train_svm_linear")(lambda spark, sf: _cls(spark, sf, "SVM"))
+register("train_svm_linear")(lambda spark, sf: _cls(spark, sf, "SVM", params={"kernel": "linear"}))
 register("train_linear")(lambda spark, sf: _reg(spark, sf, "Linear Regression"))
 register("train_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression"))
 register("train_lasso")(lambda spark, sf: _reg(spark, sf, "Lasso Regression"))
