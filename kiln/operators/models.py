@@ -589,7 +589,7 @@ def knn_predict(train: DataFrame, query: DataFrame, k: int = 5, weights: str = "
     smaller class) or mean, uniform or inverse-distance weighted."""
     from pyspark.ml.clustering import KMeans
     n = train.count()
-    p = max(1, math.ceil(n / cell_rows))
+    p = max(2, math.ceil(n / cell_rows))  # Spark's k-means needs k >= 2
     vec = train.withColumn("_v", array_to_vector("x"))
     km = KMeans(k=p, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(vec)
     cents = np.array(km.clusterCenters())

@@ -746,3 +746,10 @@ def clean_pipeline(spark, sf):
     from kiln.plans.pipeline import run_pipeline
     res = run_pipeline(table(spark, sf, "events"), CLEAN_OPS, order_by=["event_id"])
     return res.df
+
+
+@register("impute_knn_multi")
+def impute_knn_multi(spark, sf):
+    li = li_nulls(spark, sf).select(*K4, "l_discount", "l_extendedprice", "l_quantity")
+    return clean.impute_knn(li.na.drop(subset=["l_quantity"]), "l_discount", ["l_extendedprice", "l_quantity"], 5,
+                            key=K4 + ["l_extendedprice"])

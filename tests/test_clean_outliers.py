@@ -108,3 +108,19 @@ def test_pipeline_validates_and_fuses(spark, edge):
     ])
     out = res.df.orderBy("id").toPandas()
     assert out.x.isna().sum() == 0 and abs(out.y.min()) < 1e-12 and abs(out.y.max() - 1.0) < 1e-12
+
+
+def test_knn_imputation_multi_column(spark):
+    from kiln.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=120)
+    b = np.where(np.arange(120) % 6 == 0, np.nan, a * 2)
+    df = spark.createDataFrame([(int(i), float(x), None if np.isnan(y) else float(y)) for i, (x, y) in enumerate(zip(a, b))],
+                               "id long, a double, b double")
+    out = {r["id"]: r["b"] for r in clean.impute_knn(df, "b", ["a"], 3, key=["id"]).collect()}
+    donors = np.flatnonzero(~np.isnan(b))
+    for i in np.flatnonzero(np.isnan(b)):
+        d = np.abs(a[donors] - a[i])
+        near = donors[np.lexsort((donors, d))[:3]]
+        assert abs(out[i] - b[near].mean()) < 1e-12
