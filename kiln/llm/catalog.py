@@ -32,3 +32,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"), length=1024, end_id=2)
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.secrets import scan
+    return scan(table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@register("op7_token_matrix")
+def op7_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.matrices import token_matrix
+    return token_matrix(table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
