@@ -44,3 +44,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.matrices import token_matrix
     return token_matrix(table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
+
+
+@register("op3_pu_quality")
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm import pu_quality
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.score(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm import quality_rules
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
