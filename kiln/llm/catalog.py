@@ -58,3 +58,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm import quality_rules
     docs = table(spark, sf_dir, "documents")
     return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op6_document_fingerprints")
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.fingerprint import edited_likeness
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm import language
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
