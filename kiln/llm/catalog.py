@@ -71,3 +71,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm import language
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
+
+
+@register("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.jaccard import link_components
+    return link_components(table(spark, sf_dir, "documents"))
