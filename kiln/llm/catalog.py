@@ -77,3 +77,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.jaccard import link_components
     return link_components(table(spark, sf_dir, "documents"))
+
+
+@register("op1_bpe_roundtrip")
+def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.chunk_bpe import encode_decode
+    return encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary("word_bpe_49k.json"))
