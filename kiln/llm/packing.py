@@ -34,15 +34,15 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(hist: dict[int, int], length: int) -> int:
-    """No packing has fewer sequences: all tokens over the length, and pieces of more than half a sequence (with those
-    that fit beside none of them)."""
+    """No packing has fewer sequences: all tokens over the length; and, for any bound on what counts as small, pieces of more than
+    half a sequence take one each, and what the room beside them cannot hold comes on top."""
     best = -(-sum(k * c for k, c in hist.items()) // length)
-    for small in {k for k in hist if k <= length // 2} | {length // 2 + 1}:
-        big = sum(c for k, c in hist.items() if k > length - small)
-        mid = [(k, c) for k, c in hist.items() if length // 2 < k <= length - small]
+    for small in {k for k in hist if 2 * k <= length} | {0}:
+        alone = sum(c for k, c in hist.items() if k > length - small)
+        mid = [(k, c) for k, c in hist.items() if 2 * k > length and k <= length - small]
         room = sum((length - k) * c for k, c in mid)
-        rest = sum(k * c for k, c in hist.items() if small <= k <= length // 2)
-        best = max(best, big + sum(c for _, c in mid) + max(0, -(-(rest - room) // length)))
+        rest = sum(k * c for k, c in hist.items() if small <= k and 2 * k <= length)
+        best = max(best, alone + sum(c for _, c in mid) + max(0, -(-(rest - room) // length)))
     return best
 
 
