@@ -120,10 +120,10 @@ def collect_features(rows: DataFrame, keep: list[str], bits: int, char_sizes: tu
             dense = shape(words)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array([i.tobytes() for i, _ in got], pa.binary()),
-                 pa.array([v.tobytes() for _, v in got], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())],
+                 pa.array([v.astype(np.float16).tobytes() for _, v in got], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())],
                 [*keep, "idx", "val", "shape"])
 
-    return rows.select(*keep, "text").mapInArrow(run, schema).toPandas()
+    return rows.select(*keep, "text").mapInArrow(run, schema).toArrow().to_pandas()
 
 
 class Sparse:
@@ -133,7 +133,7 @@ class Sparse:
         idx = [np.frombuffer(x, np.int32) for x in table["idx"]]
         self.n = len(idx)
         self.idx = np.concatenate(idx) if idx else np.empty(0, np.int32)
-        self.val = np.concatenate([np.frombuffer(x, np.float32) for x in table["val"]]) if idx else np.empty(0, np.float32)
+        self.val = np.concatenate([np.frombuffer(x, np.float16) for x in table["val"]]).astype(np.float32) if idx else np.empty(0, np.float32)
         self.cut = np.concatenate([[0], np.cumsum([len(i) for i in idx])]).astype(np.int64)
         self.shape = np.array([np.frombuffer(x) for x in table["shape"]]).reshape(self.n, N_SHAPE)
 

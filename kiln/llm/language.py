@@ -26,7 +26,7 @@ from kiln.llm.hashed import Sparse, groups
 from kiln.llm.textcore import Words, batch_slices, per_text
 
 BITS, CHAR_SIZES, DIM = 16, (3, 4), 16
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 UNKNOWN = "und"
 
 

@@ -23,8 +23,8 @@ from kiln.llm.common import fold
 from kiln.llm.hashed import LinearModel, Sparse, sigmoid
 from kiln.llm.textcore import Words, batch_slices
 
-BITS, CHAR_SIZES = 17, (3, 4)
-POSITIVES, UNLABELLED, CALIBRATION = 2500, 4000, 2000
+BITS, CHAR_SIZES = 17, (3,)
+POSITIVES, UNLABELLED, CALIBRATION = 2000, 3500, 1500
 THRESHOLD = 0.3
 
 

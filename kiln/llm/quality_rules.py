@@ -18,8 +18,8 @@ from kiln.llm import hashed
 from kiln.llm.hashed import SYMBOL, LinearModel, Sparse, repeats, sigmoid
 from kiln.llm.textcore import Words, batch_slices, grams, per_text, span_hash
 
-BITS, CHAR_SIZES = 17, (3, 4)
-SAMPLE_ROWS = 6000
+BITS, CHAR_SIZES = 17, (3,)
+SAMPLE_ROWS = 4000
 THRESHOLD = 0.3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
