@@ -94,11 +94,11 @@ def with_global_index(df: DataFrame, order_by: list[str], name: str = "_rn",
             .drop("_pid", "_local", "_off"))
 
 
-def distinct_capped(df: DataFrame, column: str, cap: int, order: bool = True) -> list:
-    """Distinct non-NULL values of a column, refusing more than ``cap``."""
+def distinct_capped(df: DataFrame, column: str, cap: int | None = None, order: bool = True) -> list:
+    """Distinct non-NULL values of a column; with ``cap``, more than that is an error."""
     d = df.select(column).where(F.col(column).isNotNull()).distinct()
-    rows = d.limit(cap + 1).collect()
-    if len(rows) > cap:
+    rows = (d if cap is None else d.limit(cap + 1)).collect()
+    if cap is not None and len(rows) > cap:
         raise ValueError(f"column {column!r} has more than {cap} distinct values")
     vals = [r[0] for r in rows]
     return sorted(vals) if order else vals

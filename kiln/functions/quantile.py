@@ -83,12 +83,12 @@ def quantiles(df: DataFrame, requests: dict[str, list[float]],
 def grouped_quantiles(df: DataFrame, requests: dict[str, list[float]], group_cols: list[str],
                       max_collect: int = MAX_COLLECT, buckets: int = BUCKETS,
                       base: dict[str, tuple[int, float, float]] | None = None,
-                      max_groups: int = 100_000):
+                      max_groups: int | None = None):
     """Exact quantiles per group.
 
     Returns ``{group_tuple: {column: [q for p in probs]}}``; ungrouped
-    calls use the key ``("",)``.  The number of groups must stay below
-    ``max_groups`` (checked), since the answer itself is O(groups).
+    calls use the key ``("",)``.  The answer holds a few numbers per group
+    on the driver; ``max_groups`` makes more of them an error.
     """
     cols = list(requests)
     key = _gkey(group_cols).alias("_g")
@@ -101,8 +101,8 @@ def grouped_quantiles(df: DataFrame, requests: dict[str, list[float]], group_col
             aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"a{i}"),
                      F.max(c).cast("double").alias(f"b{i}")]
         g = df.groupBy(key, *group_cols).agg(*aggs)
-        rows = g.limit(max_groups + 1).collect()
-        if len(rows) > max_groups:
+        rows = (g if max_groups is None else g.limit(max_groups + 1)).collect()
+        if max_groups is not None and len(rows) > max_groups:
             raise ValueError(f"more than {max_groups} groups for a grouped quantile")
         stats, gvals = {}, {}
         for r in rows:
@@ -184,25 +184,31 @@ def _regroup(result, gvals, group_cols):
     return {gvals[k]: v for k, v in result.items()}
 
 
-def _target_array(ts: list[_Target], with_rank: bool = False) -> Column:
-    structs = []
-    for t in ts:
-        fields = [F.lit(t.tid).alias("tid"), F.col(t.column).cast("double").alias("x"),
-                  F.lit(t.gkey).alias("gk"), F.lit(float(t.lo)).alias("lo"),
-                  F.lit(float(t.hi)).alias("hi")]
-        if with_rank:
-            fields.append(F.lit(int(t.rank - t.below + 1)).alias("k"))
-        structs.append(F.struct(*fields))
-    return F.array(*structs)
+def _with_targets(df: DataFrame, ts: list[_Target], group_cols: list[str]) -> DataFrame:
+    """Each row with the targets of its own group only: (tid, x, lo, hi, k).  Targets reach rows by a join on the group (a
+    literal where there are no groups), never all targets for every row."""
+    spark = df.sparkSession
+    cols = list(dict.fromkeys(t.column for t in ts))
+    if not group_cols:
+        structs = [F.struct(F.lit(t.tid).alias("tid"), F.col(t.column).cast("double").alias("x"), F.lit(float(t.lo)).alias("lo"),
+                            F.lit(float(t.hi)).alias("hi"), F.lit(int(t.rank - t.below + 1)).alias("k")) for t in ts]
+        rows = df.select(F.explode(F.array(*structs)).alias("t")).select("t.*")
+    else:
+        from kiln.functions.frames import lookup
+        own: dict[str, list] = {}
+        for t in ts:
+            own.setdefault(t.gkey, []).append((t.tid, cols.index(t.column), float(t.lo), float(t.hi), int(t.rank - t.below + 1)))
+        table = spark.createDataFrame(list(own.items()), "_g string, _t array<struct<tid:int,c:int,lo:double,hi:double,k:bigint>>")
+        data = df.select(_gkey(group_cols).alias("_g"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+        rows = lookup(data, table, ["_g"], "inner").select("_x", F.explode("_t").alias("t")).select(
+            "t.tid", F.get("_x", F.col("t.c")).alias("x"), "t.lo", "t.hi", "t.k")
+    return rows.where(F.col("x").between(F.col("lo"), F.col("hi")))
 
 
 def _histogram(df: DataFrame, ts: list[_Target], group_cols: list[str], buckets: int):
-    rows = (df.select(_gkey(group_cols).alias("_g"), F.explode(_target_array(ts)).alias("t"))
-            .where((F.col("t.gk") == F.col("_g")) & F.col("t.x").between(F.col("t.lo"), F.col("t.hi")))
-            .select(F.col("t.tid").alias("tid"), F.col("t.x").alias("x"),
-                    F.least(F.floor((F.col("t.x") - F.col("t.lo"))
-                                    / ((F.col("t.hi") - F.col("t.lo")) / F.lit(float(buckets)))),
-                            F.lit(buckets - 1)).alias("idx"))
+    rows = (_with_targets(df, ts, group_cols)
+            .select("tid", "x", F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.lit(float(buckets)))),
+                                        F.lit(buckets - 1)).alias("idx"))
             .groupBy("tid", "idx")
             .agg(F.count("*").alias("cnt"), F.min("x").alias("mn"), F.max("x").alias("mx"))
             .collect())
@@ -215,25 +221,14 @@ def _histogram(df: DataFrame, ts: list[_Target], group_cols: list[str], buckets:
 
 
 def _pick(df: DataFrame, ts: list[_Target], group_cols: list[str]) -> dict[int, float]:
-    rows = (df.select(_gkey(group_cols).alias("_g"), F.explode(_target_array(ts, True)).alias("t"))
-            .where((F.col("t.gk") == F.col("_g")) & F.col("t.x").between(F.col("t.lo"), F.col("t.hi")))
-            .groupBy(F.col("t.tid").alias("tid"), F.col("t.k").alias("k"))
+    rows = (_with_targets(df, ts, group_cols).groupBy("tid", "k")
             # at most max_collect values per target, by construction
-            .agg(F.sort_array(F.collect_list(F.col("t.x"))).alias("v"))
+            .agg(F.sort_array(F.collect_list("x")).alias("v"))
             .select("tid", F.element_at("v", F.col("k").cast("int")).alias("val"))
             .collect())
     return {r["tid"]: r["val"] for r in rows}
 
 
-def quantile_exprs(column: str, probs: list[float], approx: bool = False,
-                   accuracy: int = 10000) -> Column:
-    """Single-aggregate quantiles for callers that accept the trade-off:
-    ``approx=True`` is bounded memory (GK sketch); exact uses ``percentile``."""
-    if approx:
-        return F.percentile_approx(F.col(column).cast("double"), probs, accuracy)
-    return F.percentile(F.col(column).cast("double"), probs)
-
-
 def order_statistics(df: DataFrame, column: str, ranks: list[int], max_collect: int = MAX_COLLECT,
                      buckets: int = BUCKETS) -> list[float | None]:
     """Exact values at 0-based ``ranks`` among the non-null values of

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from kiln.functions.frames import lookup, ordered_blocks, with_global_index
 from kiln.functions.quantile import grouped_quantiles, quantiles
-from kiln.functions.special import norm_ppf, norm_ppf_col
+from kiln.functions.special import norm_ppf_col
 from kiln.functions.text import ENGLISH_STOP_WORDS
 
-GROUP_CAP = 10_000
 
 
 # ---------------------------------------------------------------- V1 histogram
@@ -76,7 +75,7 @@ def boxplot(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) -> D
     whis*IQR of the box) and the number of points beyond them."""
     groups = [x] if x else []
     data = df.select(*groups, F.col(y).cast("double").alias("y")).where(F.col("y").isNotNull())
-    q = grouped_quantiles(data, {"y": [0.25, 0.5, 0.75]}, groups, max_groups=GROUP_CAP)
+    q = grouped_quantiles(data, {"y": [0.25, 0.5, 0.75]}, groups)
     rows = [(*(k if groups else ()), *v["y"]) for k, v in q.items()]
     schema = ", ".join([f"`{x}` {df.schema[x].dataType.simpleString()}"] if x else []) + \
         (", " if x else "") + "q1 double, median double, q3 double"
@@ -114,16 +113,16 @@ def boxplot_outliers(df: DataFrame, y: str, x: str | None = None, whis: float =
 # ---------------------------------------------------------------- V3 scatter, V6 pairplot
 
 def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, key: list[str] | None = None,
-            cap: int = 5000) -> DataFrame:
-    """V3: the plotted points, at most ``cap``, chosen by a stable hash of
-    ``key`` (a top-k by hash: the limit is the display budget)."""
+            cap: int | None = None) -> DataFrame:
+    """V3: the points of all rows.  With ``cap`` (a display budget), that many, first by a stable hash of ``key``."""
     cols = [x, y] + ([hue] if hue else [])
-    key = key or cols
-    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    if cap is None:
+        return df.select(*cols)
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key or cols]))
     return df.select(*cols, h.alias("_h")).orderBy("_h").limit(cap).drop("_h")
 
 
-def pairplot(df: DataFrame, columns: list[str], cap: int = 2000) -> dict:
+def pairplot(df: DataFrame, columns: list[str], cap: int | None = None) -> dict:
     """V6: a histogram per column (diagonal) and scatter points per pair."""
     out = {"hist": {c: histogram(df, c) for c in columns}, "scatter": {}}
     for i, a in enumerate(columns):
@@ -134,9 +133,10 @@ def pairplot(df: DataFrame, columns: list[str], cap: int = 2000) -> dict:
 
 # ---------------------------------------------------------------- V7 qq
 
-def qq(df: DataFrame, column: str, tie_break: list[str] | None = None, max_points: int = 1000):
+def qq(df: DataFrame, column: str, tie_break: list[str] | None = None, max_points: int | None = None):
     """V7: ordered values against normal quantiles of Filliben positions;
-    returns (summary row DataFrame with slope/intercept/r, thinned points)."""
+    returns (summary row DataFrame with slope/intercept/r, points: of all
+    rows, or about ``max_points`` evenly spaced ones)."""
     data = df.select(F.col(column).cast("double").alias("y"), *(tie_break or [])).where(F.col("y").isNotNull())
     n = data.count()
     if n == 0:
@@ -149,9 +149,10 @@ def qq(df: DataFrame, column: str, tie_break: list[str] | None = None, max_point
     pts = ranked.select(F.col("_i"), norm_ppf_col(m).alias("osm"), F.col("y").alias("osr"))
     fit = pts.agg(F.regr_slope("osr", "osm").alias("slope"), F.regr_intercept("osr", "osm").alias("intercept"),
                   F.corr("osr", "osm").alias("r"), F.count(F.lit(1)).alias("n"))
+    if max_points is None:
+        return fit, pts.drop("_i")
     step = max(1, n // max_points)
-    thinned = pts.where((F.col("_i") % step == 0) | (F.col("_i") == n - 1)).drop("_i")
-    return fit, thinned
+    return fit, pts.where((F.col("_i") % step == 0) | (F.col("_i") == n - 1)).drop("_i")
 
 
 # ---------------------------------------------------------------- V8/V9 bar, line
@@ -170,28 +171,45 @@ def bar(df: DataFrame, x: str, y: str | None = None, hue: str | None = None, z:
                     (F.col("mean") + z * se).alias("ci_high"))
 
 
-def bar_bootstrap(df: DataFrame, x: str, y: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+def bar_bootstrap(df: DataFrame, x: str, y: str, key: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """V8 interval by Poisson bootstrap: each row gets a Poisson(1) weight
-    per replicate from a hash of (row, replicate); replicate means are
-    partially aggregated per (x, replicate), then their 2.5/97.5%
-    percentiles taken per x (replicates x groups values, bounded)."""
+    per replicate from a hash of (``key``, replicate), so the answer is
+    repeatable; tasks reduce their rows to two sums per (x, replicate), and
+    the 2.5/97.5% percentiles of the replicate means are taken per x."""
+    import numpy as np
+    import pandas as pd
     yy = F.col(y).cast("double")
-    data = df.where(F.col(x).isNotNull() & yy.isNotNull()).select(x, yy.alias("_y"),
-                                                                   F.monotonically_increasing_id().alias("_id"))
-    rep = data.select(x, "_y", "_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
-    u = (F.abs(F.xxhash64("_id", "_b", F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # inverse CDF of Poisson(1) at u (weights 0..7 cover all but 1e-6 of the mass)
-    cdf, acc, p = [], 0.0, math.exp(-1.0)
-    for k in range(8):
-        acc += p
-        cdf.append(acc)
-        p /= (k + 1)
-    w = F.lit(8)
-    for k in reversed(range(8)):
-        w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    means = (rep.withColumn("_w", w).groupBy(x, "_b")
-             .agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_m")))
-    return means.groupBy(x).agg(F.percentile("_m", [0.025, 0.975]).alias("_ci")).select(
+    data = df.where(F.col(x).isNotNull() & yy.isNotNull()).select(F.col(x).alias("_x"), yy.alias("_y"),
+                                                                   F.xxhash64(*key, F.lit(seed)).alias("_id"))
+    # weights 0..8 cover all but 1e-6 of the mass
+    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(8)])
+    salts = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for h, part in pdf.groupby("_x", sort=False):
+                acc = sums.setdefault(h, np.zeros((2, replicates)))
+                ids, ys = part["_id"].to_numpy().astype(np.uint64), part["_y"].to_numpy()
+                for k in range(0, len(ids), 2048):
+                    z = ids[k:k + 2048, None] ^ salts[None, :]
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(cdf, (z >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                    acc[0] += ys[k:k + 2048] @ w
+                    acc[1] += w.sum(0)
+            if len(sums) > 200:
+                yield from packed(sums)
+                sums = {}
+        yield from packed(sums)
+
+    def packed(sums):
+        for h, acc in sums.items():
+            yield pd.DataFrame({"_x": [h] * replicates, "_b": np.arange(replicates, dtype="int32"), "s": acc[0], "w": acc[1]})
+
+    parts = data.mapInPandas(partial, f"_x {df.schema[x].dataType.simpleString()}, _b int, s double, w double")
+    means = parts.groupBy("_x", "_b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("_m"))
+    return means.groupBy(F.col("_x").alias(x)).agg(F.percentile("_m", [0.025, 0.975]).alias("_ci")).select(
         x, F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
 
 
@@ -205,67 +223,56 @@ def line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
 def kde(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0, bw_adjust: float = 1.0,
         hue: str | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth) on a ``gridsize`` grid spanning
-    min - cut*bw .. max + cut*bw.  With ``hue``, one curve per level, each
-    scaled by the level's share of rows.
-
-    Duplicates collapse to (value, multiplicity) first; each distinct value
-    adds its kernel to every grid point (``gridsize`` values per row,
-    partially aggregated per task), which is linear in the data."""
-    x = F.col(column).cast("double")
-    groups = [hue] if hue else []
-    data = df.select(*groups, x.alias("x")).where(F.col("x").isNotNull())
-    st = data.groupBy(*groups).agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"),
-                                   F.min("x").alias("a"), F.max("x").alias("b")).limit(GROUP_CAP + 1).collect()
-    total = sum(r["n"] for r in st)
-    frames = []
-    for r in st:
-        if r["n"] < 2 or not r["sd"]:
-            continue
-        bw = r["sd"] * r["n"] ** (-1.0 / 5.0) * bw_adjust
-        lo, hi = r["a"] - cut * bw, r["b"] + cut * bw
-        step = (hi - lo) / (gridsize - 1)
-        grid = [lo + i * step for i in range(gridsize - 1)] + [hi]
-        sub = data
-        if hue:
-            sub = data.where(F.col(hue) == F.lit(r[hue]))
-        vc = sub.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w"))
-        norm = 1.0 / (r["n"] * bw * math.sqrt(2 * math.pi)) * (r["n"] / total if hue else 1.0)
-        dens = _kernel_sums(vc, grid, bw).select(
-            "i", F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("i") + 1).alias("x"),
-            (F.col("s") * F.lit(norm)).alias("density"))
-        if hue:
-            dens = dens.withColumn(hue, F.lit(r[hue]))
-        frames.append(dens)
-    if not frames:
-        return df.sparkSession.createDataFrame([], "i int, x double, density double")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
+    min - cut*bw .. max + cut*bw.  With ``hue``, one curve per level (rows
+    without a level are left out), each scaled by the level's share of rows.
 
-def _kernel_sums(points: DataFrame, grid: list[float], bw: float, chunk: int = 4096) -> DataFrame:
-    """sum_j w_j exp(-((g - x_j) / bw)^2 / 2) for every grid point g.
-
-    Each task reduces its (value, weight) rows to one partial sum per grid
-    point with vectorised numpy (Arrow batches in, ``len(grid)`` numbers
-    out); the partial sums are then added per grid point."""
+    All levels are computed in one pass: duplicates collapse to (level,
+    value, multiplicity), each task adds the kernels of its values to the
+    grids of its levels with numpy, and the partial sums are added per
+    (level, grid point)."""
     import numpy as np
     import pandas as pd
-    g = np.asarray(grid, dtype=float)
+    x = F.col(column).cast("double")
+    level = F.col(hue) if hue else F.lit(0)
+    data = df.select(level.alias("_h"), x.alias("x")).where(F.col("x").isNotNull() & F.col("_h").isNotNull())
+    st = data.groupBy("_h").agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("a"), F.max("x").alias("b"))
+    total = data.count()
+    bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.lit(bw_adjust)
+    st = st.where((F.col("n") >= 2) & (F.col("sd") > 0)).select("_h", "n", bw.alias("bw"), (F.col("a") - cut * bw).alias("lo"),
+                                                                (F.col("b") + cut * bw).alias("hi"))
+    values = data.groupBy("_h", "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    joined = lookup(values, st, ["_h"], "inner")
+    kind = df.schema[hue].dataType.simpleString() if hue else "int"
 
     def partial(batches):
-        acc = np.zeros(len(g))
+        sums: dict = {}
         for pdf in batches:
-            x = pdf["x"].to_numpy(dtype=float)
-            w = pdf["w"].to_numpy(dtype=float)
-            for lo in range(0, len(x), chunk):
-                z = (g[:, None] - x[None, lo:lo + chunk]) / bw
-                acc += (np.exp(-0.5 * z * z) * w[None, lo:lo + chunk]).sum(axis=1)
-        yield pd.DataFrame({"i": np.arange(len(g), dtype="int32"), "s": acc})
-
-    return (points.select("x", "w").mapInPandas(partial, "i int, s double")
-            .groupBy("i").agg(F.sum("s").alias("s")))
+            for h, part in pdf.groupby("_h", sort=False):
+                b, lo, hi = (float(part[c].iloc[0]) for c in ("bw", "lo", "hi"))
+                grid = lo + np.arange(gridsize) * ((hi - lo) / (gridsize - 1))
+                grid[-1] = hi
+                acc = sums.setdefault(h, np.zeros(gridsize))
+                xs, ws = part["x"].to_numpy(), part["w"].to_numpy()
+                for k in range(0, len(xs), 4096):
+                    z = (grid[:, None] - xs[None, k:k + 4096]) / b
+                    acc += np.exp(-0.5 * z * z) @ ws[k:k + 4096]
+            if len(sums) > 1000:  # levels held by a task at once
+                yield from packed(sums)
+                sums = {}
+        yield from packed(sums)
+
+    def packed(sums):
+        for h, acc in sums.items():
+            yield pd.DataFrame({"_h": [h] * gridsize, "i": np.arange(gridsize, dtype="int32"), "s": acc})
+
+    parts = joined.select("_h", "x", "w", "bw", "lo", "hi").mapInPandas(partial, f"_h {kind}, i int, s double")
+    curve = lookup(parts.groupBy("_h", "i").agg(F.sum("s").alias("s")), st, ["_h"], "inner")
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
+    grid = F.when(F.col("i") == gridsize - 1, F.col("hi")).otherwise(F.col("lo") + F.col("i") * step)
+    share = (F.col("n") / F.lit(float(total or 1))) if hue else F.lit(1.0)
+    density = F.col("s") * (1.0 / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)) * share)
+    out = curve.select("i", grid.alias("x"), density.alias("density"), *([F.col("_h").alias(hue)] if hue else []))
+    return out
 
 
 def violin(df: DataFrame, y: str, x: str | None = None) -> dict:
@@ -301,7 +308,7 @@ def word_frequencies(df: DataFrame, column: str, top: int = 200, stop_words=ENGL
 # ---------------------------------------------------------------- V13-V15 series
 
 def default_nlags(n: int) -> int:
-    return min(int(10 * math.log10(n)), n - 1) if n > 1 else 0
+    return min(int(10 * math.log10(n)), n // 2) if n > 1 else 0
 
 
 def acf(df: DataFrame, column: str, order_by: list[str], nlags: int | None = None,
@@ -391,6 +398,3 @@ def seasonal_decompose(df: DataFrame, column: str, order_by: list[str], period:
             .withColumn("resid", F.col("observed") - F.col("trend") - F.col("seasonal"))
             .withColumnRenamed("_rn", "position"))
 
-
-def normal_quantile(p: float) -> float:
-    return norm_ppf(p)

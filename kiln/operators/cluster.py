@@ -4,8 +4,8 @@ Hierarchical Ward clustering of every row is quadratic; it is re-aimed:
 k-means reduces the rows to at most ``micro`` micro-clusters on the
 cluster (count and mean each), Ward's criterion merges those weighted
 summaries on the driver (O(micro^2)), and the micro-cluster -> cluster
-map is broadcast back.  It equals exact Ward whenever the number of
-distinct rows is at most ``micro``.
+map is broadcast back.  It is exact Ward when every distinct row is a
+micro-cluster of its own, and an approximation of it otherwise.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def ward_merge(counts: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
-def hierarchical(df: DataFrame, columns: list[str], n_clusters: int = 3, micro: int = 200,
+def hierarchical(df: DataFrame, columns: list[str], n_clusters: int = 3, micro: int = 500,
                  seed: int = 0) -> DataFrame:
     """L2: Ward clusters (0-based) through micro-cluster summaries."""
     vec = _vectors(df, columns)
@@ -66,11 +67,11 @@ def hierarchical(df: DataFrame, columns: list[str], n_clusters: int = 3, micro:
     m = min(micro, distinct)
     km = KMeans(k=max(m, n_clusters), seed=seed, featuresCol="_v", predictionCol="_micro", maxIter=50).fit(vec)
     assigned = km.transform(vec)
-    summ = assigned.groupBy("_micro").agg(F.count(F.lit(1)).alias("n")).collect()
-    centers = km.clusterCenters()
+    # a summary is the mean of the rows that were assigned, not the k-means centre
+    summ = assigned.groupBy("_micro").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_v")).alias("mean")).collect()
     ids = [r["_micro"] for r in summ]
     counts = np.array([r["n"] for r in summ], dtype=float)
-    means = np.array([centers[i] for i in ids])
+    means = np.array([r["mean"].toArray() for r in summ])
     labels = ward_merge(counts, means, n_clusters)
     spark = df.sparkSession
     mapping = spark.createDataFrame([(int(i), int(l)) for i, l in zip(ids, labels)], "_micro int, cluster int")

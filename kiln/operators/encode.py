@@ -1,7 +1,7 @@
 """Categorical encodings (E1-E8): a dictionary fit, then a lookup.
 
-One-hot encodings make one output column per category, so their
-dictionary is capped (checked).  Code dictionaries (label/binary) are
+One-hot encodings make one output column per category; a limit on the
+categories can be asked for and is then checked.  Code dictionaries (label/binary) are
 built as DataFrames with a distributed global index and joined back with
 a size-checked broadcast, so they need no cap.
 """
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from kiln.functions.frames import distinct_capped, lookup, with_global_index
 
-ONEHOT_CAP = 1000
-
 
 def _cat_name(v) -> str:
     return str(v)
 
 
-def onehot(df: DataFrame, column: str, drop: str | None = "first", cap: int = ONEHOT_CAP) -> DataFrame:
+def onehot(df: DataFrame, column: str, drop: str | None = "first", cap: int | None = None) -> DataFrame:
     """One 0/1 double column ``{col}_{cat}`` per sorted category; the
     first category is dropped by default (``drop=None`` keeps all,
     ``if_binary`` drops the first only for two categories).  The source
@@ -34,7 +32,7 @@ def onehot(df: DataFrame, column: str, drop: str | None = "first", cap: int = ON
     return df.withColumns(cols).drop(column)
 
 
-def eda_onehot(df: DataFrame, column: str, cap: int = ONEHOT_CAP) -> DataFrame:
+def eda_onehot(df: DataFrame, column: str, cap: int | None = None) -> DataFrame:
     """Indicators for every value over the non-missing rows only."""
     data = df.select(column).where(F.col(column).isNotNull())
     cats = distinct_capped(data, column, cap)
@@ -42,7 +40,7 @@ def eda_onehot(df: DataFrame, column: str, cap: int = ONEHOT_CAP) -> DataFrame:
     return data.select(*[(c == F.lit(v)).alias(_cat_name(v)) for v in cats])
 
 
-def get_dummies(df: DataFrame, column: str, drop_first: bool = True, cap: int = ONEHOT_CAP) -> DataFrame:
+def get_dummies(df: DataFrame, column: str, drop_first: bool = True, cap: int | None = None) -> DataFrame:
     """Model preparation dummies, 0/1 integers; missing gives all zeros."""
     cats = distinct_capped(df, column, cap)
     keep = cats[1:] if drop_first else cats

@@ -73,19 +73,18 @@ def association_rules(itemsets: DataFrame, min_threshold: float = 0.5) -> DataFr
     splits = masks.select(F.col("support").alias("support"),
                           F.expr("filter(items, (x, i) -> ((_m >> i) & 1) = 1)").alias("antecedents"),
                           F.expr("filter(items, (x, i) -> ((_m >> i) & 1) = 0)").alias("consequents"))
-    splits = splits.select("*", F.array_join("antecedents", ",").alias("_a"),
-                           F.array_join("consequents", ",").alias("_c"))
-    sup = itemsets.select(F.col("itemset"), F.col("support"))
-    out = lookup(splits, sup.select(F.col("itemset").alias("_a"), F.col("support").alias("antecedent_support")),
-                 ["_a"], "inner")
-    out = lookup(out, sup.select(F.col("itemset").alias("_c"), F.col("support").alias("consequent_support")),
-                 ["_c"], "inner")
+    # items may hold any character: sets are matched as arrays, and joined to text only for display
+    sup = itemsets.select("items", "support")
+    out = lookup(splits, sup.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support")),
+                 ["antecedents"], "inner")
+    out = lookup(out, sup.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support")),
+                 ["consequents"], "inner")
     s, sa, sc = F.col("support"), F.col("antecedent_support"), F.col("consequent_support")
     conf = s / sa
     lev = s - sa * sc
     zhang_den = F.greatest(s * (1 - sa), sa * (sc - s))
     return (out.select(
-        F.col("_a").alias("antecedents"), F.col("_c").alias("consequents"),
+        F.array_join("antecedents", ",").alias("antecedents"), F.array_join("consequents", ",").alias("consequents"),
         sa, sc, s, conf.alias("confidence"), (conf / sc).alias("lift"), lev.alias("leverage"),
         F.when(conf < 1, (1 - sc) / (1 - conf)).alias("conviction"),
         F.when(zhang_den != 0, lev / zhang_den).alias("zhangs_metric"))

@@ -1,7 +1,8 @@
 """Feature selection.
 
-Scores are one grouped aggregate each (per class n, sum, sum of squares),
-so the driver receives O(classes x features) numbers.
+Scores are one grouped aggregate each (per class count, mean, variance and
+sum), reduced again over the classes on the cluster: the driver receives
+a few numbers per feature.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from kiln.functions.nulls import numeric_columns
 from kiln.functions.special import f_sf
 
-CLASS_CAP = 10_000
-
 
 def variance_threshold(df: DataFrame, threshold: float = 0.0) -> tuple[DataFrame, dict]:
     """Keep numeric columns whose population variance exceeds the
@@ -40,52 +39,55 @@ def correlation_filter(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
 
 
 def class_moments(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """Per class: n, sum and sum of squares of every feature (one groupBy,
-    partially aggregated map-side, so a dominant class costs nothing)."""
+    """Per class: count, mean, population variance and sum of every feature
+    over its own non-missing rows (one groupBy, partially aggregated
+    map-side, so a dominant class costs nothing).  Rows without a class are
+    left out."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(features):
         x = F.col(c).cast("double")
-        aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    return df.groupBy(target).agg(*aggs)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.sum(x).alias(f"s{i}")]
+    return df.where(F.col(target).isNotNull()).groupBy(target).agg(*aggs)
 
 
 def f_classif_scores(df: DataFrame, target: str, features: list[str]) -> dict[str, tuple[float, float]]:
-    """One-way ANOVA F (and p) of each feature across target classes."""
-    rows = class_moments(df, target, features).limit(CLASS_CAP + 1).collect()
-    if len(rows) > CLASS_CAP:
-        raise ValueError("too many classes")
-    k = len(rows)
-    n = sum(r["_n"] for r in rows)
+    """One-way ANOVA F (and p) of each feature across target classes, however many.
+
+    Sums of squares come from class means and central moments, so large
+    means do not cancel; the per-class rows are reduced on the cluster."""
+    known = df.where(F.col(target).isNotNull())
+    mean = known.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    aggs = []
+    for i in range(len(features)):
+        m = mean[f"m{i}"]
+        d = F.col(f"m{i}") - F.lit(m)
+        aggs += [F.sum(F.col(f"n{i}") * d * d).alias(f"b{i}"), F.sum(F.col(f"n{i}") * F.col(f"v{i}")).alias(f"w{i}"),
+                 F.sum(f"n{i}").alias(f"n{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}")]
+    r = class_moments(df, target, features).agg(*aggs).first()
     out = {}
     for i, c in enumerate(features):
-        tot = sum(r[f"s{i}"] or 0.0 for r in rows)
-        ss_tot = sum(r[f"q{i}"] or 0.0 for r in rows) - tot * tot / n
-        ss_b = sum((r[f"s{i}"] or 0.0) ** 2 / r["_n"] for r in rows) - tot * tot / n
-        ss_w = ss_tot - ss_b
+        n, k, ss_b, ss_w = r[f"n{i}"] or 0, r[f"k{i}"], r[f"b{i}"], r[f"w{i}"]
         dfb, dfw = k - 1, n - k
-        f = (ss_b / dfb) / (ss_w / dfw) if dfb > 0 and dfw > 0 and ss_w > 0 else float("nan")
+        f = (ss_b / dfb) / (ss_w / dfw) if dfb > 0 and dfw > 0 and ss_w else float("nan")
         out[c] = (f, f_sf(f, dfb, dfw))
     return out
 
 
 def chi2_scores(df: DataFrame, target: str, features: list[str]) -> dict[str, tuple[float, float]]:
-    """chi2 of class-wise feature sums against class shares (features >= 0)."""
+    """chi2 of class-wise feature sums against class shares (features >= 0), over all classes."""
     from kiln.functions.special import chi2_sf
-    neg = df.agg(*[F.min(c).alias(c) for c in features]).collect()[0]
-    if any(neg[c] is not None and neg[c] < 0 for c in features):
+    tot = df.where(F.col(target).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"a{i}") for i, c in enumerate(features)],
+        *[F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    if any(tot[f"a{i}"] is not None and tot[f"a{i}"] < 0 for i in range(len(features))):
         raise ValueError("Input X must be non-negative")
-    rows = class_moments(df, target, features).limit(CLASS_CAP + 1).collect()
-    n = sum(r["_n"] for r in rows)
-    out = {}
-    for i, c in enumerate(features):
-        total = sum(r[f"s{i}"] or 0.0 for r in rows)
-        chi2 = 0.0
-        for r in rows:
-            e = r["_n"] / n * total
-            o = r[f"s{i}"] or 0.0
-            chi2 += (o - e) ** 2 / e if e else 0.0
-        out[c] = (chi2, chi2_sf(chi2, len(rows) - 1))
-    return out
+    n, aggs = tot["n"], [F.count(F.lit(1)).alias("k")]
+    for i in range(len(features)):
+        e = F.col("_n") / F.lit(float(n or 1)) * F.lit(float(tot[f"s{i}"] or 0.0))
+        o = F.coalesce(F.col(f"s{i}"), F.lit(0.0))
+        aggs.append(F.sum(F.when(e != 0, (o - e) * (o - e) / e).otherwise(0.0)).alias(f"x{i}"))
+    r = class_moments(df, target, features).agg(*aggs).first()
+    return {c: (r[f"x{i}"] or 0.0, chi2_sf(r[f"x{i}"] or 0.0, r["k"] - 1)) for i, c in enumerate(features)}
 
 
 def select_k_best(df: DataFrame, target: str, k: int = 5, score_func: str = "f_classif") -> tuple[DataFrame, dict]:

@@ -751,5 +751,5 @@ def clean_pipeline(spark, sf):
 @register("impute_knn_multi")
 def impute_knn_multi(spark, sf):
     li = li_nulls(spark, sf).select(*K4, "l_discount", "l_extendedprice", "l_quantity")
-    return clean.impute_knn(li.na.drop(subset=["l_quantity"]), "l_discount", ["l_extendedprice", "l_quantity"], 5,
+    return clean.impute_knn(li, "l_discount", ["l_extendedprice", "l_quantity"], 5,
                             key=K4 + ["l_extendedprice"])

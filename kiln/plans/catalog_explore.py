@@ -215,14 +215,9 @@ def chart_boxplot(spark, sf):
     return rounded(charts.boxplot(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
 
 
-@register("chart_scatter", """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
-ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
-                       CAST(l_suppkey AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR)))
-LIMIT 1000""")
+@register("chart_scatter", "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem")
 def chart_scatter(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("_p", F.col("l_extendedprice").cast("decimal(12,2)"))
-    return charts.scatter(li, "l_quantity", "l_extendedprice", "l_returnflag",
-                          key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_p"], cap=1000)
+    return charts.scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
 
 @register("chart_bar", """SELECT l_returnflag, round(avg(l_extendedprice), 6) AS mean, count(*) AS n,
@@ -285,31 +280,27 @@ def chart_words(spark, sf):
     return charts.word_frequencies(table(spark, sf, "documents"), "text", 200)
 
 
-NLAGS = 40
 
 
-def _acf_sql() -> str:
-    leads = ", ".join(f"lead(x, {k}) OVER (ORDER BY ts, event_id) AS l{k}" for k in range(1, NLAGS + 1))
-    sums = ", ".join(f"sum((x - m) * (l{k} - m)) AS c{k}" for k in range(1, NLAGS + 1))
-    unp = "\nUNION ALL ".join(f"SELECT {k} AS lag, c{k} / c0 AS acf FROM c" for k in range(1, NLAGS + 1))
-    return f"""WITH s AS (SELECT avg(value) m, count(*) n FROM events),
-d AS (SELECT value x, {leads} FROM events),
-c AS (SELECT sum((x - m) * (x - m)) AS c0, {sums} FROM d, s),
-a AS (SELECT 0 AS lag, 1.0 AS acf FROM c UNION ALL {unp}),
+ACF_SQL = """WITH b AS (SELECT value AS x, row_number() OVER (ORDER BY ts, event_id) AS p FROM events),
+s AS (SELECT avg(x) AS m, count(*) AS n, least(CAST(floor(10 * log10(count(*))) AS BIGINT), count(*) // 2) AS k FROM b),
+lags AS (SELECT unnest(range(0, k + 1)) AS lag FROM s),
+c AS (SELECT lag, sum((b1.x - m) * (b2.x - m)) AS c FROM lags, s, b b1 JOIN b b2 ON b2.p = b1.p + lag GROUP BY lag),
+a AS (SELECT lag, c / (SELECT c FROM c WHERE lag = 0) AS acf FROM c),
 v AS (SELECT lag, acf, CASE WHEN lag = 0 THEN 0.0 ELSE (1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END)
         OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (SELECT n FROM s) END AS var FROM a)
 SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(acf - 1.959963984540054 * sqrt(var), 6) AS ci_low,
        round(acf + 1.959963984540054 * sqrt(var), 6) AS ci_high FROM v"""
 
 
-@register("chart_acf", _acf_sql())
+@register("chart_acf", ACF_SQL)
 def chart_acf(spark, sf):
-    return rounded(charts.acf(table(spark, sf, "events"), "value", ["ts", "event_id"], NLAGS))
+    return rounded(charts.acf(table(spark, sf, "events"), "value", ["ts", "event_id"]))
 
 
 @register("chart_pacf")
 def chart_pacf(spark, sf):
-    return charts.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], NLAGS)
+    return charts.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"])
 
 
 def _seasonal_sql() -> str:
@@ -342,8 +333,30 @@ def chart_qq(spark, sf):
     return fit
 
 
-@register("chart_violin")
+@register("chart_violin", """SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS median,
+       quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY l_returnflag""")
 def chart_violin(spark, sf):
+    return charts.violin(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag")["box"].select("l_returnflag", "q1", "median", "q3")
+
+
+@register("chart_kde_hue", """WITH d AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS h, o_totalprice AS x FROM orders),
+s AS (SELECT h, count(*) n, stddev_samp(x) sd, min(x) a, max(x) b FROM d WHERE h IS NOT NULL GROUP BY h),
+t AS (SELECT sum(n) AS total FROM s),
+p AS (SELECT h, n, sd * pow(n, -0.2) AS bw, a, b FROM s),
+e AS (SELECT h, n, bw, a - 3.0 * bw AS lo, b + 3.0 * bw AS hi FROM p),
+g AS (SELECT h, CAST(range AS INTEGER) AS i, CASE WHEN range = 199 THEN hi ELSE lo + range * ((hi - lo) / 199) END AS gx, n, bw FROM e, range(200)),
+vc AS (SELECT h, x, count(*)::DOUBLE w FROM d WHERE h IS NOT NULL GROUP BY h, x)
+SELECT g.h AS o_orderstatus, i, round(gx, 4) AS x,
+       round(sum(w * exp(-0.5 * pow((gx - x) / bw, 2))) * (1.0 / (n * bw * sqrt(2 * pi())) * (n / any_value(total))), 12) AS density
+FROM g JOIN vc ON g.h = vc.h, t GROUP BY g.h, i, gx, n, bw""")
+def chart_kde_hue(spark, sf):
+    o = table(spark, sf, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")))
+    out = charts.kde(o, "o_totalprice", hue="o_orderstatus")
+    return out.select("o_orderstatus", "i", F.round("x", 4).alias("x"), F.round("density", 12).alias("density"))
+
+
+@register("chart_violin_density")
+def chart_violin_density(spark, sf):
     return charts.violin(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag")["density"]
 
 
@@ -354,9 +367,15 @@ def chart_pairplot(spark, sf):
     return h[0].unionByName(h[1])
 
 
+@register("chart_pairplot_points", "SELECT l_quantity, l_discount FROM lineitem")
+def chart_pairplot_points(spark, sf):
+    return charts.pairplot(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])["scatter"][("l_quantity", "l_discount")]
+
+
 @register("chart_bar_bootstrap")
 def chart_bar_bootstrap(spark, sf):
-    return charts.bar_bootstrap(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", 100)
+    return charts.bar_bootstrap(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice",
+                                ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @register("kbest_mutual_info")

@@ -1,7 +1,7 @@
 """File sources and sinks.
 
 CSV is read with a header; pass an explicit schema for large inputs
-(``inferSchema`` costs a full extra pass).  The pandas default NA tokens
+(finding the types costs an extra pass).  The pandas default NA tokens
 are mapped to NULL, and floating NaN to NULL (``kiln.functions.nulls``).
 """
 
@@ -18,17 +18,45 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+
+
+def _infer(df: DataFrame) -> dict[str, str]:
+    """Type of each text column from all its values, in one pass: whole number, number, true/false, else text."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.rlike(_INTEGER)).alias(f"i{i}"),
+                 F.count(x.try_cast("double")).alias(f"d{i}"), F.count_if(x.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}")]
+    r = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(df.columns):
+        n = r[f"n{i}"]
+        kinds = (("bigint", r[f"i{i}"]), ("double", r[f"d{i}"]), ("boolean", r[f"b{i}"]))
+        out[c] = next((k for k, m in kinds if n and m == n), "string")
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    """Header row; doubled quotes and line breaks inside quotes belong to the value; the default NA tokens are NULL.
+
+    Values are read as text, NA tokens mapped, and types then given by
+    ``schema`` or found in one aggregate over all rows.  A value that its
+    given type cannot hold is NULL.  A column without values stays text.
+    """
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True)
     if schema is not None:
-        reader = reader.schema(schema)
+        want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in want.fields])
+        kinds = {f.name: f.dataType.simpleString() for f in want.fields}
+        df = reader.schema(text).csv(path)
     else:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if text:
-        df = df.withColumns({c: F.when(~F.col(c).isin(NA_TOKENS), F.col(c)) for c in text})
-    return nan_to_null(df)
+        df, kinds = reader.csv(path), None
+    df = df.select(*[F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    kinds = kinds or _infer(df)
+    out = [F.col(f"`{c}`").alias(c) if kinds[c] == "string" else
+           F.trim(F.col(f"`{c}`")).try_cast(kinds[c]).alias(c) for c in df.columns]
+    return nan_to_null(df.select(*out))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +64,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header, no index; one file per partition (never coalesced to one task)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """S3: header, no index, quotes doubled; one file per partition (never coalesced to one task)."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
