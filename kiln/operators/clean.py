@@ -170,13 +170,11 @@ def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tol:
 def impute_knn(df: DataFrame, column: str, on: list[str], n_neighbors: int = 5, key: list[str] | None = None) -> DataFrame:
     """I6 with other coordinates: a missing ``column`` gets the mean of its
     ``n_neighbors`` nearest donor rows (Euclidean over ``on``; donors have
-    ``column`` and all of ``on``).  Uses the exact cell-pruned neighbour
-    search of the kNN models; rows missing an ``on`` coordinate fall back
+    ``column`` and all of ``on``).  Uses the exact neighbour search of
+    the kNN models; rows missing an ``on`` coordinate fall back
     to the column mean (the single-column behaviour)."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401
-
     from kiln.functions.frames import with_global_index
-    from kiln.operators.models import knn_predict
+    from kiln.operators.neighbours import knn_predict
     keys = key or list(df.columns)
     coords = F.array(*[F.col(c).cast("double") for c in on])
     complete = F.lit(True)

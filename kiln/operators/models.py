@@ -12,24 +12,31 @@ Spark's maximum depth 30.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer,
-                                VectorAssembler)
+                                StringIndexerModel, VectorAssembler)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable,
+                             MLReader, MLWritable, MLWriter)
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.quantile import order_statistics
+from kiln.session import ensure_checkpoint_dir
 
 MAX_CATEGORIES = 10   # text features with more distinct values are dropped
 SPLIT_SEED = 42
@@ -62,18 +69,13 @@ class Prepared:
     stages: list
     features: list[str]
     dropped: list[str]
-    label_col: str = "label"
-    classes: list[str] | None = None
-    info: dict = field(default_factory=dict)
 
 
-def prepare(df: DataFrame, target: str, features: list[str], problem_type: str,
-            preprocess: bool = True) -> Prepared:
+def prepare(df: DataFrame, features: list[str], preprocess: bool = True) -> Prepared:
     """M1: text features with more than 10 distinct values are dropped, the
-    others become dummies with the first sorted category dropped (E3); a
-    text target of a classification becomes sorted integer codes (E4).
-    All of it is expressed as pipeline stages, so a saved model accepts
-    raw rows."""
+    others become dummies with the first sorted category dropped (E3).  All
+    of it is expressed as pipeline stages, so a saved model accepts raw
+    rows."""
     text = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     stages, feats, dropped = [], [c for c in features if c not in text], []
     if preprocess and text:
@@ -93,16 +95,29 @@ def prepare(df: DataFrame, target: str, features: list[str], problem_type: str,
             stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(dummies)} FROM __THIS__"))
     elif text:
         dropped += text
-    classes = None
-    is_text_target = isinstance(df.schema[target].dataType, T.StringType)
-    if problem_type == "classification" and is_text_target:
-        stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        from kiln.functions.frames import distinct_capped
-        classes = distinct_capped(df, target, 10_000)
-    else:
-        stages.append(SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__"))
-    return Prepared(stages, feats, dropped, "label", classes)
+    return Prepared(stages, feats, dropped)
+
+
+def class_names(df: DataFrame, target: str) -> list[str]:
+    """The classes of a target in sorted order (numbers by value), as text.  A model holds one output per class, so
+    they are on the driver with it."""
+    rows = df.select(target).where(F.col(target).isNotNull()).distinct().collect()
+    if isinstance(df.schema[target].dataType, T.StringType):
+        return sorted(r[0] for r in rows)
+    spark = df.sparkSession
+    values = spark.createDataFrame([(i, r[0]) for i, r in enumerate(sorted(rows, key=lambda r: r[0]))],
+                                   T.StructType([T.StructField("i", T.IntegerType()), df.schema[target]]))
+    return [r["s"] for r in values.orderBy("i").select(F.col(target).cast("string").alias("s")).collect()] if rows else []
+
+
+def with_label(df: DataFrame, target: str, classes: list[str] | None) -> DataFrame:
+    """Training rows with a ``label``: the class number, or the target as a double.  Rows without a target are left out.
+    This is no part of a saved model, which therefore scores rows that have no target."""
+    rows = df.where(F.col(target).isNotNull())
+    if classes is None:
+        return rows.withColumn("label", F.col(target).cast("double"))
+    indexer = StringIndexerModel.from_labels(classes, inputCol="_target", outputCol="label", handleInvalid="skip")
+    return indexer.transform(rows.withColumn("_target", F.col(target).cast("string"))).drop("_target")
 
 
 # ---------------------------------------------------------------- M2 split
@@ -170,26 +185,6 @@ def _estimator(problem_type: str, name: str, n_train: int, y_std: float, params:
     raise ValueError(f"model {name!r} is not available for {problem_type}")
 
 
-def _grid(problem_type: str, name: str, est, n_train: int, y_std: float):
-    g = ParamGridBuilder()
-    spec = MODELS[problem_type][name]
-    if name == "Random Forest":
-        core = est
-        g = g.addGrid(core.numTrees, spec["n_estimators"]).addGrid(
-            core.maxDepth, [30 if d is None else d for d in spec["max_depth"]]).addGrid(
-            core.minInstancesPerNode, sorted({max(1, s // 2) for s in spec["min_samples_split"]}))
-    elif name == "Logistic Regression":
-        g = g.addGrid(est.regParam, [1.0 / (c * n_train) for c in spec["C"]])
-    elif name == "Ridge Regression":
-        g = g.addGrid(est.regParam, [a * y_std / n_train for a in spec["alpha"]])
-    elif name == "Lasso Regression":
-        g = g.addGrid(est.regParam, spec["alpha"])
-    elif name == "Gradient Boosting" and problem_type == "regression":
-        g = g.addGrid(est.maxIter, spec["n_estimators"]).addGrid(est.stepSize, spec["learning_rate"]).addGrid(
-            est.maxDepth, spec["max_depth"])
-    return g.build()
-
-
 @dataclass
 class Trained:
     model: PipelineModel
@@ -198,66 +193,138 @@ class Trained:
     classes: list[str] | None
     best_params: dict
     predictions: DataFrame
+    grid: list[tuple[dict, float]] | None = None  # every setting with its mean score over the folds
+
+
+def featurizer(prep: Prepared, preprocess: bool = True) -> Pipeline:
+    """M3: imputer and scaler over the prepared features (or the bare features), from raw rows to ``scaled``."""
+    feats = prep.features
+    cast = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}__d`" for c in feats) + " FROM __THIS__")
+    dcols = [f"{c}__d" for c in feats]
+    if not preprocess:
+        return Pipeline(stages=prep.stages + [cast, VectorAssembler(inputCols=dcols, outputCol="scaled", handleInvalid="keep")])
+    return Pipeline(stages=prep.stages + [
+        cast, Imputer(inputCols=dcols, outputCols=[f"{c}__i" for c in feats], strategy="mean"),
+        VectorAssembler(inputCols=[f"{c}__i" for c in feats], outputCol="raw", handleInvalid="keep"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)])
+
+
+class Copy(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A column under another name."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset):
+        return dataset.withColumn(self.getOutputCol(), F.col(self.getInputCol()))
+
+
+def fit_model(data: DataFrame, problem_type: str, name: str, params: dict, n_features: int, n_rows: int) -> list:
+    """Stages fitted on ``data(scaled, label)`` that turn ``scaled`` into ``prediction``; penalties follow from ``n_rows``."""
+    cls = problem_type == "classification"
+    if name == "K-Nearest Neighbors":
+        return [fit_knn(data, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), cls)]
+    if name == "SVM" and params.get("kernel", "rbf") == "rbf":
+        spec = RandomFourierFeatures.make_spec(n_features, 1.0 / max(n_features, 1), int(params.get("components", 200)))
+        kernel = RandomFourierFeatures(inputCol="scaled", outputCol="features", spec=spec)
+    else:
+        kernel = Copy(inputCol="scaled", outputCol="features")
+    data = kernel.transform(data)
+    if name == "SVM" and not cls:
+        return [kernel, fit_svr(data, "features", "label", float(params.get("C", 1.0)), float(params.get("epsilon", 0.1)))]
+    y_std = 0.0
+    if name == "Ridge Regression":
+        y_std = data.agg(F.stddev_pop("label")).first()[0] or 0.0
+    return [kernel, _estimator(problem_type, name, n_rows, y_std, params).fit(data)]
+
+
+def settings(problem_type: str, name: str) -> list[dict]:
+    """Every combination of the model's grid."""
+    grid = MODELS[problem_type][name]
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def with_folds(rows: DataFrame, key: list[str], folds: int, stratified: bool) -> DataFrame:
+    """A ``fold`` per row: within each class (or overall) the rows in hash order are dealt in turn, so every fold has its share.
+
+    Positions are ranks within bounded buckets of the hash, continued by the bucket counts before: no class is sorted in one task."""
+    groups = ["label"] if stratified else []
+    h = F.xxhash64(*[F.col(k) for k in key], F.lit(SPLIT_SEED))
+    rows = rows.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 54))  # 1024 buckets
+    counts = rows.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_off", F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b")) - F.col("_n")).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", *key)) - 1
+    out = rows.withColumn("_i", local).join(F.broadcast(before), [*groups, "_b"])  # classes x 1024 rows
+    return out.withColumn("fold", ((F.col("_i") + F.col("_off")) % folds).cast("int")).drop("_h", "_b", "_i", "_off")
+
+
+def grid_search(rows: DataFrame, prep: Prepared, problem_type: str, name: str, key: list[str], preprocess: bool = True,
+                folds: int = 5, parallelism: int = 4, base: dict | None = None) -> list[tuple[dict, float]]:
+    """The mean score (accuracy or R^2) of every setting over stratified folds; imputer, scaler and penalty come from each
+    fold's own training rows."""
+    cls = problem_type == "classification"
+    dealt = with_folds(rows, key, folds, cls).persist()
+    choices = settings(problem_type, name)
+    scores: list[list[float]] = [[] for _ in choices]
+    try:
+        for f in range(folds):
+            part = dealt.where(F.col("fold") != f).drop("fold")
+            prepared = featurizer(prep, preprocess).fit(part)
+            train = prepared.transform(part).select("scaled", "label").persist()
+            valid = prepared.transform(dealt.where(F.col("fold") == f).drop("fold")).select("scaled", "label").persist()
+            n = train.count()
+
+            def run(choice: dict) -> float:
+                stages = fit_model(train, problem_type, name, {**(base or {}), **choice}, len(prep.features), n)
+                pred = PipelineModel(stages=stages).transform(valid)
+                m = classification_metrics(pred) if cls else regression_metrics(pred)
+                return m["accuracy"] if cls else m["r2"]
+
+            with ThreadPool(min(parallelism, len(choices))) as pool:
+                for held, value in zip(scores, pool.map(run, choices)):
+                    held.append(float("nan") if value is None else float(value))
+            train.unpersist()
+            valid.unpersist()
+    finally:
+        dealt.unpersist()
+    return [(c, sum(s) / len(s)) for c, s in zip(choices, scores)]
 
 
 def train(df: DataFrame, target: str, features: list[str], model: str, problem_type: str,
           key: list[str], use_grid_search: bool = False, preprocess: bool = True,
           parallelism: int = 4, params: dict | None = None) -> Trained:
     """Prepare, split, fit imputer -> scaler -> model (training rows
-    only), optionally 5-fold grid search, evaluate on the test rows.
-    k-nearest neighbours, rbf-kernel SVM (the SVM default) and SVR have
-    their own distributed fitters and are dispatched to them."""
-    p = params or {}
-    if model == "K-Nearest Neighbors":
-        return train_knn(df, target, features, problem_type, key, int(p.get("n_neighbors", 5)),
-                         p.get("weights", "uniform"))
-    if model == "SVM" and problem_type == "regression":
-        return train_svr(df, target, features, key, float(p.get("C", 1.0)), p.get("kernel", "rbf"))
-    if model == "SVM" and p.get("kernel", "rbf") == "rbf":
-        return train_svm_rbf(df, target, features, key, float(p.get("C", 1.0)))
-    prep = prepare(df, target, features, problem_type, preprocess)
-    train_df, test_df = train_test_split(df, key)
+    only), optionally a 5-fold grid search over the model's grid, evaluate
+    on the test rows.  The result scores raw rows without the target; for
+    a classification it also names the class."""
+    if model not in MODELS[problem_type]:
+        raise ValueError(f"model {model!r} is not available for {problem_type}")
+    cls = problem_type == "classification"
+    prep = prepare(df, features, preprocess)
+    names = class_names(df, target) if cls else None
+    used = [c for c in dict.fromkeys([*key, *features, target])]
+    train_df, test_df = train_test_split(with_label(df.select(*used), target, names), key)
     # iterative fitters scan the training rows many times: keep them once
     train_df = train_df.persist()
     try:
-        n_train = train_df.count()
-        y_std = 0.0
-        if problem_type == "regression":
-            y_std = train_df.agg(F.stddev_pop(F.col(target).cast("double"))).collect()[0][0] or 0.0
-        est = _estimator(problem_type, model, n_train, y_std, params)
-        feats = prep.features
-        cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"CAST(`{c}` AS DOUBLE) AS `{c}__d`" for c in feats) + " FROM __THIS__")
-        dcols = [f"{c}__d" for c in feats]
-        if preprocess:
-            body = [cast, Imputer(inputCols=dcols, outputCols=[f"{c}__i" for c in feats], strategy="mean"),
-                    VectorAssembler(inputCols=[f"{c}__i" for c in feats], outputCol="raw", handleInvalid="keep"),
-                    StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
-        else:
-            body = [cast, VectorAssembler(inputCols=dcols, outputCol="features", handleInvalid="keep")]
-        stages = prep.stages + body
-        best_params = {}
-        if use_grid_search and MODELS[problem_type][model]:
-            grid = _grid(problem_type, model, est, n_train, y_std)
-            featurize = Pipeline(stages=stages).fit(train_df)
-            tr = featurize.transform(train_df).withColumn(
-                "fold", F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(SPLIT_SEED)), F.lit(5)).cast("int"))
-            evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if problem_type == "classification"
-                         else RegressionEvaluator(metricName="r2"))
-            cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=5,
-                                foldCol="fold", parallelism=parallelism, seed=SPLIT_SEED)
-            cvm = cv.fit(tr)
-            best = cvm.bestModel
-            i = max(range(len(cvm.avgMetrics)), key=lambda j: cvm.avgMetrics[j])
-            best_params = {p.name: v for p, v in grid[i].items()}
-            fitted = PipelineModel(stages=featurize.stages + [best])
-        else:
-            fitted = Pipeline(stages=stages + [est]).fit(train_df)
+        chosen, tried = dict(params or {}), None
+        if use_grid_search and len(settings(problem_type, model)) > 1:
+            tried = grid_search(train_df, prep, problem_type, model, key, preprocess, parallelism=parallelism, base=params)
+            chosen.update(max(tried, key=lambda x: (x[1] == x[1], x[1]))[0])
+        prepared = featurizer(prep, preprocess).fit(train_df)
+        data = prepared.transform(train_df).select("scaled", "label").persist()
+        stages = fit_model(data, problem_type, model, chosen, len(prep.features), data.count())
+        if cls:
+            stages = [*stages, IndexToString(inputCol="prediction", outputCol="predicted_class", labels=names)]
+        fitted = PipelineModel(stages=prepared.stages + stages)
         pred = fitted.transform(test_df)
-        metrics = (classification_metrics(pred) if problem_type == "classification" else regression_metrics(pred))
+        metrics = classification_metrics(pred) if cls else regression_metrics(pred)
+        data.unpersist()
     finally:
         train_df.unpersist()
-    return Trained(fitted, metrics, feats, prep.classes, best_params, pred)
+    return Trained(fitted, metrics, prep.features, names, chosen if tried or params else {}, pred, tried)
 
 
 # ---------------------------------------------------------------- M14-M15 metrics
@@ -295,7 +362,7 @@ def metrics_frame_regression(pred: DataFrame, label: str = "label", prediction:
 # ---------------------------------------------------------------- S6, M16, E8
 
 def save_model(trained: Trained, path: str) -> None:
-    """The fitted pipeline; feature names and classes live in its stages."""
+    """The fitted pipeline; feature names and class names live in its stages."""
     trained.model.write().overwrite().save(path)
 
 
@@ -303,13 +370,11 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def score(model: PipelineModel, df: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """Score a whole table (or a streaming DataFrame) of raw rows; for
-    a text target the class name is restored (E8)."""
+def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Score a whole table (or a streaming DataFrame) of raw rows, with or without the target: ``prediction``, and
+    ``predicted_class`` for a classification (E8).  Columns that the model makes on the way are left out."""
     out = model.transform(df)
-    if classes:
-        out = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=classes).transform(out)
-    return out
+    return out.select(*df.columns, *[c for c in ("prediction", "predicted_class") if c in out.columns])
 
 
 # ---------------------------------------------------------------- N6 RFE
@@ -353,14 +418,6 @@ def rfe(df: DataFrame, target: str, k: int = 5, step: int = 1) -> tuple[DataFram
 
 # ---------------------------------------------------------------- M7 rbf kernel
 
-from pyspark import keyword_only  # noqa: E402
-from pyspark.ml import Transformer  # noqa: E402
-from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
-
-
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Random Fourier features (Rahimi & Recht, 2007) approximating the RBF
     kernel exp(-gamma |x - y|^2): z(x) = sqrt(2 / D) cos(W x + b).  The
@@ -399,36 +456,6 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
                                   array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
 
 
-def train_svm_rbf(df: DataFrame, target: str, features: list[str], key: list[str], c: float = 1.0,
-                  components: int = 200) -> Trained:
-    """M7 with ``kernel='rbf'``: scaled features -> random Fourier features
-    (gamma = 1 / (d * var(X)) = 1 / d on standardised data, the 'scale' rule)
-    -> one-vs-rest linear SVM."""
-    prep = prepare(df, target, features, "classification", True)
-    train_df, test_df = train_test_split(df, key)
-    train_df = train_df.persist()
-    try:
-        n_train = train_df.count()
-        feats = prep.features
-        cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
-        rff = RandomFourierFeatures(inputCol="scaled", outputCol="features",
-                                    spec=RandomFourierFeatures.make_spec(len(feats), 1.0 / len(feats), components))
-        svc = LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (c * n_train),
-                        standardization=False, maxIter=100)
-        stages = prep.stages + [
-            cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
-            VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
-            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), rff,
-            OneVsRest(classifier=svc, featuresCol="features", labelCol="label")]
-        fitted = Pipeline(stages=stages).fit(train_df)
-        pred = fitted.transform(test_df)
-        metrics = classification_metrics(pred)
-    finally:
-        train_df.unpersist()
-    return Trained(fitted, metrics, feats, prep.classes, {"C": c, "kernel": "rbf"}, pred)
-
-
 # ---------------------------------------------------------------- M8 SVR
 
 def _lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 10, tol: float = 1e-6) -> np.ndarray:
@@ -438,7 +465,7 @@ def _lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 10, tol: float = 1e
     f, g = fg(x)
     s_hist, y_hist = [], []
     for _ in range(max_iter):
-        if np.linalg.norm(g) <= tol * max(1.0, np.linalg.norm(x)):
+        if np.linalg.norm(g) <= tol * max(1.0, abs(f)):
             break
         q = g.copy()
         alphas = []
@@ -492,19 +519,25 @@ class SVRModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, De
 
 
 def fit_svr(data: DataFrame, features_col: str, label_col: str, c: float = 1.0, epsilon: float = 0.1,
-            max_iter: int = 100) -> SVRModel:
+            max_iter: int = 60, tol: float = 1e-4) -> SVRModel:
     """M8: support vector regression in the primal,
-    0.5 |w|^2 + C sum max(0, |y - w.x - b| - eps)^2 (the squared
-    epsilon-insensitive loss, smooth enough for L-BFGS).  Each loss and
-    gradient evaluation is one pass: every task reduces its rows to a
-    (d + 2)-vector with numpy, and the driver adds one vector per task."""
+    0.5 |w|^2 + C sum max(0, |y - w.x - b| - eps).
+
+    The corner of the loss is rounded over a width that shrinks tenfold
+    per stage (each stage starts at the last solution) until the rounding
+    changes the objective by less than ``tol`` of it.  Each loss and
+    gradient evaluation is one pass: tasks reduce their rows to d + 2
+    numbers with numpy, and Spark adds those up per position."""
     import json
     base = data.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"))
     base = base.persist()
     try:
-        d = len(base.first()["x"])
+        first = base.first()
+        d = len(first["x"]) if first else 0
+        stat = base.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+        scale = float(stat["s"] or 1.0)
 
-        def fg(theta):
+        def total(theta: np.ndarray, width: float) -> np.ndarray:
             w, b = theta[:d], theta[d]
 
             def part(batches):
@@ -514,143 +547,98 @@ def fit_svr(data: DataFrame, features_col: str, label_col: str, c: float = 1.0,
                         continue
                     x = np.stack(pdf["x"].to_numpy())
                     r = pdf["y"].to_numpy() - x @ w - b
-                    e = np.sign(r) * np.maximum(np.abs(r) - epsilon, 0.0)
-                    acc[0] += (e * e).sum()
-                    acc[1:d + 1] += -2.0 * (e[:, None] * x).sum(axis=0)
-                    acc[d + 1] += -2.0 * e.sum()
-                yield pd.DataFrame({"v": [acc.tolist()]})
-
-            parts = base.mapInPandas(part, "v array<double>").collect()
-            tot = np.sum([np.asarray(p["v"]) for p in parts], axis=0)
-            val = 0.5 * w.dot(w) + c * tot[0]
-            grad = np.concatenate([w + c * tot[1:d + 1], [c * tot[d + 1]]])
-            return val, grad
-
-        theta = _lbfgs(fg, np.zeros(d + 1), max_iter=max_iter)
+                    e = np.maximum(np.abs(r) - epsilon, 0.0)
+                    acc[0] += np.where(e < width, e * e / (2 * width), e - width / 2).sum()
+                    g = -np.sign(r) * np.minimum(e / width, 1.0)
+                    acc[1:d + 1] += g @ x
+                    acc[d + 1] += g.sum()
+                yield pd.DataFrame({"i": np.arange(d + 2), "v": acc})
+
+            rows = base.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+            out = np.zeros(d + 2)
+            for r in rows:
+                out[r["i"]] = r["v"]
+            return out
+
+        theta = np.zeros(d + 1)
+        theta[d] = float(stat["m"] or 0.0)
+        width, last = scale, None
+        for _ in range(6):
+            def fg(t, width=width):
+                tot = total(t, width)
+                return 0.5 * t[:d].dot(t[:d]) + c * tot[0], np.concatenate([t[:d] + c * tot[1:d + 1], [c * tot[d + 1]]])
+
+            theta = _lbfgs(fg, theta, max_iter=max_iter)
+            value = 0.5 * theta[:d].dot(theta[:d]) + c * total(theta, 1e-9 * scale)[0]
+            if last is not None and abs(last - value) <= tol * max(abs(value), 1e-12):
+                break
+            last, width = value, width / 10
     finally:
         base.unpersist()
     return SVRModel(inputCol=features_col, outputCol="prediction",
                     spec=json.dumps({"w": theta[:d].tolist(), "b": float(theta[d])}))
 
 
-def train_svr(df: DataFrame, target: str, features: list[str], key: list[str], c: float = 1.0,
-              kernel: str = "rbf", epsilon: float = 0.1, components: int = 100) -> Trained:
-    """M8 end to end: prepare, split, impute + scale (+ random Fourier
-    features for ``rbf``), SVR fit on training rows, metrics on test rows."""
-    prep = prepare(df, target, features, "regression", True)
-    train_df, test_df = train_test_split(df, key)
-    feats = prep.features
-    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
-    stages = prep.stages + [
-        cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
-        VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
-    if kernel == "rbf":
-        stages.append(RandomFourierFeatures(inputCol="scaled", outputCol="features",
-                                            spec=RandomFourierFeatures.make_spec(len(feats), 1.0 / len(feats),
-                                                                                 components)))
-    else:
-        stages.append(SQLTransformer(statement="SELECT *, scaled AS features FROM __THIS__"))
-    featurize = Pipeline(stages=stages).fit(train_df)
-    svr = fit_svr(featurize.transform(train_df), "features", "label", c, epsilon)
-    fitted = PipelineModel(stages=featurize.stages + [svr])
-    pred = fitted.transform(test_df)
-    return Trained(fitted, regression_metrics(pred), feats, None, {"C": c, "kernel": kernel}, pred)
+# ---------------------------------------------------------------- M9 kNN
 
+class KNNWriter(MLWriter):
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
 
-# ---------------------------------------------------------------- M9 kNN
+    def saveImpl(self, path):  # noqa: N802
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.points.write.parquet(f"{path}/points")
 
-def _dist_udf(centroids: np.ndarray):
-    """Arrow UDF: distances from each point to every centroid (as an array)."""
-    cents = np.asarray(centroids, dtype=float)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dists(x: pd.Series) -> pd.Series:
-        pts = np.stack(x.to_numpy())
-        d = np.sqrt(((pts[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2))
-        return pd.Series(list(d))
-
-    return dists
-
-
-def knn_predict(train: DataFrame, query: DataFrame, k: int = 5, weights: str = "uniform",
-                classification: bool = True, cell_rows: int = 256, seed: int = SPLIT_SEED) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) by cell pruning.
-
-    ``train(tid, x array<double>, label)``, ``query(qid, x array<double>)``.
-    Training points are grouped into k-means cells of about ``cell_rows``
-    points with a radius each.  A query first ranks the points of its own
-    cell (an upper bound u on its k-th distance), then reads only the cells
-    whose ball can hold a closer point (|q - centre| - radius <= u, the
-    triangle inequality), so the answer is exact while each query touches
-    a bounded number of cells in low dimension.  Ties at equal distance go
-    to the smaller ``tid``.  Prediction: majority vote (ties to the
-    smaller class) or mean, uniform or inverse-distance weighted."""
-    from pyspark.ml.clustering import KMeans
-    n = train.count()
-    p = max(2, math.ceil(n / cell_rows))  # Spark's k-means needs k >= 2
-    vec = train.withColumn("_v", array_to_vector("x"))
-    km = KMeans(k=p, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=10).fit(vec)
-    cents = np.array(km.clusterCenters())
-    du = _dist_udf(cents)
-    cells = (km.transform(vec).select("tid", "x", "label", "cell")
-             .withColumn("_r", F.element_at(du("x"), F.col("cell") + 1)))
-    cells = cells.checkpoint(eager=True)
-    radius = {r["cell"]: r["R"] for r in cells.groupBy("cell").agg(F.max("_r").alias("R")).collect()}
-    rad = F.array(*[F.lit(float(radius.get(i, -1.0))) for i in range(len(cents))])
-    q = query.select("qid", "x", du("x").alias("_dc"))
-    q = q.withColumn("home", F.expr("array_position(_dc, array_min(_dc)) - 1").cast("int")).checkpoint(eager=True)
-    pts = cells.select(F.col("cell").alias("c"), F.col("tid"), F.col("x").alias("y"), "label")
-
-    def dist(a, b):
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, t: s + t))
-
-    home = q.join(pts, q.home == pts.c).select("qid", dist(F.col("x"), F.col("y")).alias("d"))
-    bound = home.groupBy("qid").agg(F.element_at(F.sort_array(F.collect_list("d")), F.lit(k)).alias("u"))
-    # cells whose ball may hold a point closer than u (all cells if the home cell had < k points)
-    cand = q.join(bound, "qid", "left").select(
-        "qid", "x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(cents) - 1)),
-                                       lambda i: F.col("u").isNull()
-                                       | (F.element_at(F.col("_dc"), i + 1) - F.element_at(rad, i + 1) <= F.col("u"))))
-        .alias("c"))
-    pairs = cand.join(pts, "c").select("qid", "tid", "label", dist(F.col("x"), F.col("y")).alias("d"))
-    top = pairs.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "tid", "label"))), 1, k)
-                                   .alias("nn"))
-    nn = top.select("qid", F.explode("nn").alias("n")).select("qid", "n.d", "n.label")
-    if weights == "distance":
-        anyzero = nn.groupBy("qid").agg(F.max((F.col("d") == 0).cast("int")).alias("_z"))
-        nn = nn.join(anyzero, "qid").withColumn(
-            "w", F.when(F.col("_z") == 1, (F.col("d") == 0).cast("double")).otherwise(1.0 / F.col("d")))
-    else:
-        nn = nn.withColumn("w", F.lit(1.0))
-    if classification:
-        votes = nn.groupBy("qid", "label").agg(F.sum("w").alias("s"))
-        best = votes.groupBy("qid").agg(F.max(F.struct("s", (-F.col("label")).alias("nl"))).alias("b"))
-        return best.select("qid", (-F.col("b.nl")).alias("prediction"))
-    return nn.groupBy("qid").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
-
-
-def train_knn(df: DataFrame, target: str, features: list[str], problem_type: str, key: list[str],
-              n_neighbors: int = 5, weights: str = "uniform") -> Trained:
-    """M9 end to end: prepare, split, impute + scale on training rows, exact
-    kNN (``knn_predict``) for every test row, metrics."""
+
+class KNNReader(MLReader):
+    def load(self, path):
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KNNModel()
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        model.points = self.sparkSession.read.parquet(f"{path}/points")
+        return model
+
+
+class KNNModel(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
+    """k nearest neighbours: the model is its training points, saved with it as a table.
+
+    Scoring joins rows to points, so it takes whole tables, not streams.
+    """
+
+    n_neighbors = Param(Params._dummy(), "n_neighbors", "neighbours per row", typeConverter=TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "uniform or distance", typeConverter=TypeConverters.toString)
+    classes = Param(Params._dummy(), "classes", "vote (true) or mean", typeConverter=TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, n_neighbors=None, weights=None, classes=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self.points = None
+
+    def write(self):
+        return KNNWriter(self)
+
+    @classmethod
+    def read(cls):
+        return KNNReader()
+
+    def _transform(self, dataset):
+        from kiln.operators.neighbours import knn_predict
+        ensure_checkpoint_dir(dataset.sparkSession)
+        # the id must name the same row in both joins: fixed by writing the rows once
+        rows = dataset.withColumn("_qid", F.monotonically_increasing_id()).checkpoint(eager=True)
+        pred = knn_predict(self.points, rows.select(F.col("_qid").alias("qid"), vector_to_array(self.getInputCol()).alias("x")),
+                           self.getOrDefault(self.n_neighbors), self.getOrDefault(self.weights), self.getOrDefault(self.classes))
+        pred = pred.select(F.col("qid").alias("_qid"), F.col("prediction").alias(self.getOutputCol()))
+        return rows.join(pred, "_qid", "left").drop("_qid")
+
+
+def fit_knn(data: DataFrame, n_neighbors: int, weights: str, classification: bool) -> KNNModel:
+    """M9: keep the training points, numbered in the order of their values (ties between equal distances go to the smaller number)."""
     from kiln.functions.frames import with_global_index
-    prep = prepare(df, target, features, problem_type, True)
-    train_df, test_df = train_test_split(df, key)
-    feats = prep.features
-    cast = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"CAST(`{x}` AS DOUBLE) AS `{x}__d`" for x in feats) + " FROM __THIS__")
-    stages = prep.stages + [
-        cast, Imputer(inputCols=[f"{x}__d" for x in feats], outputCols=[f"{x}__i" for x in feats]),
-        VectorAssembler(inputCols=[f"{x}__i" for x in feats], outputCol="raw", handleInvalid="keep"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
-    featurize = Pipeline(stages=stages).fit(train_df)
-    tr = with_global_index(featurize.transform(train_df).select(*key, "features", "label"), key, "tid")
-    te = with_global_index(featurize.transform(test_df).select(*key, "features", "label"), key, "qid")
-    pred = knn_predict(tr.select("tid", vector_to_array("features").alias("x"), "label"),
-                       te.select("qid", vector_to_array("features").alias("x")),
-                       n_neighbors, weights, problem_type == "classification")
-    scored = te.select("qid", "label").join(pred, "qid")
-    metrics = (classification_metrics(scored) if problem_type == "classification" else regression_metrics(scored))
-    return Trained(featurize, metrics, feats, prep.classes, {"n_neighbors": n_neighbors, "weights": weights}, scored)
+    pts = data.select(vector_to_array("scaled").alias("x"), "label")
+    model = KNNModel(inputCol="scaled", outputCol="prediction", n_neighbors=n_neighbors, weights=weights, classes=classification)
+    model.points = with_global_index(pts, ["x", "label"], "tid").select(F.col("tid").cast("long").alias("tid"), "x", "label")
+    return model

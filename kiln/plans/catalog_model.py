@@ -5,8 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from kiln.operators import cluster, models, reduce
@@ -72,14 +70,20 @@ def train_test_split(spark, sf):
     return test.select("o_orderkey")
 
 
-@register("linreg_one_feature", """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+# the rows that the split trains on, in SQL
+TRAIN_SQL = """h AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST({key} AS VARCHAR), '42'))) AS pos,
+                          count(*) OVER () AS n FROM {table}),
+train AS (SELECT * FROM h WHERE pos > ceil(0.2 * n))"""
+
+
+@register("linreg_one_feature", f"""WITH {TRAIN_SQL.format(key='o_orderkey', table='orders')},
+fit AS (SELECT regr_slope(o_totalprice, o_custkey) AS slope, regr_intercept(o_totalprice, o_custkey) AS intercept FROM train)
+SELECT o_orderkey, round(intercept + slope * o_custkey, 2) AS prediction FROM orders, fit""")
 def linreg_one_feature(spark, sf):
-    li = table(spark, sf, "lineitem")
-    vec = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
-    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(vec)
-    return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))],
-                                 "slope double, intercept double")
+    """Train on the training part, then score all rows, the target left out."""
+    orders = table(spark, sf, "orders")
+    tr = models.train(orders, "o_totalprice", ["o_custkey"], "Linear Regression", "regression", ["o_orderkey"])
+    return models.score(tr.model, orders.drop("o_totalprice")).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
 
 
 @register("metrics_classification", """WITH t AS (SELECT l_returnflag y,
@@ -133,30 +137,77 @@ def _reg(spark, sf, model, grid=False, params=None):
 
 
 register("train_logistic")(lambda spark, sf: _cls(spark, sf, "Logistic Regression"))
-# tree ensembles use settings from the reference's own grids (depth 10; 50 stages)
-_RF = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}
-_GB = {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3}
+# default settings of the reference's models (no depth limit, 100 stages)
+_RF = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}
+_GB = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}
 register("train_random_forest_cls")(lambda spark, sf: _cls(spark, sf, "Random Forest", params=_RF))
 register("train_gradient_boosting_cls")(lambda spark, sf: _cls(spark, sf, "Gradient Boosting", params=_GB))
 register("train_svm_linear")(lambda spark, sf: _cls(spark, sf, "SVM", params={"kernel": "linear"}))
+register("train_svm_rbf")(lambda spark, sf: _cls(spark, sf, "SVM", params={"kernel": "rbf"}))
 register("train_linear")(lambda spark, sf: _reg(spark, sf, "Linear Regression"))
 register("train_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression"))
 register("train_lasso")(lambda spark, sf: _reg(spark, sf, "Lasso Regression"))
 register("train_random_forest_reg")(lambda spark, sf: _reg(spark, sf, "Random Forest", params=_RF))
 register("train_gradient_boosting_reg")(lambda spark, sf: _reg(spark, sf, "Gradient Boosting", params=_GB))
+register("train_svr")(lambda spark, sf: _reg(spark, sf, "SVM"))
+register("train_knn_cls")(lambda spark, sf: _cls(spark, sf, "K-Nearest Neighbors"))
+register("train_knn_reg")(lambda spark, sf: _reg(spark, sf, "K-Nearest Neighbors", params={"weights": "distance"}))
 register("grid_search_logistic")(lambda spark, sf: _cls(spark, sf, "Logistic Regression", grid=True))
 register("grid_search_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression", grid=True))
 
 
+def _saved(spark, tr):
+    path = f"{ensure_checkpoint_dir(spark)}/kiln-models/{uuid.uuid4().hex}"
+    models.save_model(tr, path)
+    return models.load_model(path)
+
+
 @register("score_saved_model")
 def score_saved_model(spark, sf):
+    """A text-class model, saved, loaded, and applied to rows that have no target."""
     df = _li_model_frame(spark, sf)
     tr = models.train(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
                       "Logistic Regression", "classification", LI_KEY)
-    path = f"{ensure_checkpoint_dir(spark)}/kiln-models/{uuid.uuid4().hex}"
-    models.save_model(tr, path)
-    loaded = models.load_model(path)
-    return models.score(loaded, df, tr.classes).select(*LI_KEY, "l_returnflag", "predicted_class")
+    return models.score(_saved(spark, tr), df.drop("l_returnflag")).select(*LI_KEY, "predicted_class")
+
+
+@register("score_saved_ridge", f"""WITH {TRAIN_SQL.format(key='o_orderkey', table='orders')},
+m AS (SELECT avg(o_custkey) AS mx, avg(o_totalprice) AS my, stddev_samp(o_custkey) AS sx, covar_pop(o_totalprice, o_custkey) AS cxy,
+             var_pop(o_custkey) AS vx, count(*) AS c FROM train),
+w AS (SELECT my, mx, (c * cxy / sx) / (c * vx / (sx * sx) + 1.0) / sx AS slope FROM m)
+SELECT o_orderkey, round(my + slope * (o_custkey - mx), 2) AS prediction FROM orders, w""")
+def score_saved_ridge(spark, sf):
+    """A ridge model, saved, loaded, and applied to rows that have no target; checked by its closed form."""
+    orders = table(spark, sf, "orders")
+    tr = models.train(orders, "o_totalprice", ["o_custkey"], "Ridge Regression", "regression", ["o_orderkey"], params={"alpha": 1.0})
+    return models.score(_saved(spark, tr), orders.drop("o_totalprice")).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
+@register("score_saved_knn", """WITH h AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(s_suppkey AS VARCHAR), '42'))) AS pos,
+  count(*) OVER () AS n FROM supplier),
+train AS (SELECT * FROM h WHERE pos > ceil(0.2 * n)),
+st AS (SELECT avg(s_suppkey) m1, stddev_samp(s_suppkey) s1, avg(s_nationkey) m2, stddev_samp(s_nationkey) s2 FROM train),
+p AS (SELECT (s_suppkey - m1) / s1 AS a, (s_nationkey - m2) / s2 AS b, s_acctbal AS y, s_suppkey AS k FROM train, st),
+q AS (SELECT (s_suppkey - m1) / s1 AS a, (s_nationkey - m2) / s2 AS b, s_suppkey AS qk FROM supplier, st),
+d AS (SELECT qk, y, row_number() OVER (PARTITION BY qk ORDER BY round((p.a - q.a) ** 2 + (p.b - q.b) ** 2, 12), p.a, p.b) AS r FROM p, q)
+SELECT qk AS s_suppkey, round(avg(y), 4) AS prediction FROM d WHERE r <= 5 GROUP BY qk""")
+def score_saved_knn(spark, sf):
+    """A nearest-neighbour model over two columns, saved, loaded, and applied to rows that have no target."""
+    sup = table(spark, sf, "supplier")
+    tr = models.train(sup, "s_acctbal", ["s_suppkey", "s_nationkey"], "K-Nearest Neighbors", "regression", ["s_suppkey"])
+    return models.score(_saved(spark, tr), sup.drop("s_acctbal")).select("s_suppkey", F.round("prediction", 4).alias("prediction"))
+
+
+@register("prepare_features", """WITH c AS (SELECT count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t, count(DISTINCT p_name) AS n FROM part),
+f AS (SELECT 'p_size' AS feature UNION ALL SELECT 'p_retailprice'
+  UNION ALL SELECT 'p_brand_' || v FROM (SELECT DISTINCT p_brand AS v, row_number() OVER (ORDER BY p_brand) AS r FROM (SELECT DISTINCT p_brand FROM part)), c
+            WHERE b <= 10 AND r > 1
+  UNION ALL SELECT 'p_type_' || v FROM (SELECT p_type AS v, row_number() OVER (ORDER BY p_type) AS r FROM (SELECT DISTINCT p_type FROM part)), c
+            WHERE t <= 10 AND r > 1)
+SELECT feature FROM f""")
+def prepare_features(spark, sf):
+    prep = models.prepare(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_brand", "p_type", "p_name"])
+    return spark.createDataFrame([(f,) for f in prep.features], "feature string")
 
 
 @register("score_stream")
@@ -169,8 +220,8 @@ def score_stream(spark, sf):
     stream = read_stream(spark, sf, li.schema, glob="lineitem.parquet")
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
     # stream-static join: the dimension table is joined to every micro-batch
-    enriched = stream.join(part, stream.l_partkey == part.p_partkey, "left").drop("p_partkey")
-    scored = scorer(tr.model, enriched, tr.classes).select(*LI_KEY, "l_returnflag", "predicted_class")
+    enriched = stream.join(part, stream.l_partkey == part.p_partkey, "left").drop("p_partkey", "l_returnflag")
+    scored = scorer(tr.model, enriched).select(*LI_KEY, "predicted_class")
     base = f"{ensure_checkpoint_dir(spark)}/kiln-stream/{uuid.uuid4().hex}"
     run_to_files(scored, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
@@ -224,35 +275,3 @@ def outlier_isolation_forest_null(spark, sf):
     from kiln.operators.outliers import outlier
     li = table(spark, sf, "lineitem").select(*LI_KEY[:4], "l_extendedprice")
     return outlier(li, "l_extendedprice", "isolation_forest", "null", contamination=0.1)
-
-
-@register("train_svm_rbf")
-def train_svm_rbf(spark, sf):
-    df = _li_model_frame(spark, sf)
-    tr = models.train_svm_rbf(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
-                              LI_KEY, 1.0, 100)
-    return _metrics_df(spark, tr)
-
-
-@register("train_svr")
-def train_svr(spark, sf):
-    df = _li_model_frame(spark, sf)
-    tr = models.train_svr(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount"], LI_KEY,
-                          c=1.0, kernel="linear")
-    return _metrics_df(spark, tr)
-
-
-@register("train_knn_cls")
-def train_knn_cls(spark, sf):
-    df = _li_model_frame(spark, sf)
-    tr = models.train_knn(df, "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
-                          "classification", LI_KEY, 5, "uniform")
-    return _metrics_df(spark, tr)
-
-
-@register("train_knn_reg")
-def train_knn_reg(spark, sf):
-    df = _li_model_frame(spark, sf)
-    tr = models.train_knn(df, "l_extendedprice", ["l_quantity", "p_retailprice", "l_discount"],
-                          "regression", LI_KEY, 5, "distance")
-    return _metrics_df(spark, tr)

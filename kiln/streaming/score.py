@@ -57,7 +57,8 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     return q
 
 
-def score_stream(model: PipelineModel, stream: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """M16 on a stream of raw rows: the saved pipeline does its own encoding."""
+def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
+    """M16 on a stream of raw rows, with or without the target: the saved pipeline does its own encoding and names the
+    class.  (Nearest neighbours join every row to the training points and take whole tables only.)"""
     from kiln.operators.models import score
-    return score(model, stream, classes)
+    return score(model, stream)

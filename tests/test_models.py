@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.ml.feature import VectorAssembler
 
-from kiln.operators import models, reduce
+from kiln.operators import models, neighbours, reduce
 from kiln.operators.cluster import ward_merge
 
 
@@ -105,17 +106,134 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     assert sorted(top) == [500, 501, 502]
 
 
-def test_knn_exact_against_brute_force(spark):
-    from kiln.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    rng = np.random.default_rng(0)
-    X = rng.normal(size=(800, 3))
-    y = (X[:, 0] + X[:, 1] > 0).astype(float)
-    Q = rng.normal(size=(60, 3))
+def _knn_frames(spark, X, y, Q):
     tr = spark.createDataFrame([(i, list(map(float, x)), float(v)) for i, (x, v) in enumerate(zip(X, y))],
                                "tid long, x array<double>, label double")
-    qq = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(Q)], "qid long, x array<double>")
-    got = {r["qid"]: r["prediction"] for r in models.knn_predict(tr, qq, 5, "uniform", False, cell_rows=50).collect()}
+    return tr, spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(Q)], "qid long, x array<double>")
+
+
+@pytest.mark.parametrize("block", [40, 4096])
+def test_knn_exact_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 50)
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(800, 3))
+    X[:250] = 0.5  # a hot cell of equal points: ties go to the smaller id
+    y = rng.normal(size=800)
+    Q = np.concatenate([rng.normal(size=(60, 3)), np.full((20, 3), 0.5), rng.normal(size=(5, 3)) * 50])
+    tr, qq = _knn_frames(spark, X, y, Q)
+    got = {r["qid"]: r["prediction"] for r in neighbours.knn_predict(tr, qq, 5, "uniform", False).collect()}
     for i, q in enumerate(Q):
-        d = np.sqrt(((X - q) ** 2).sum(1))
-        assert abs(got[i] - y[np.lexsort((np.arange(len(X)), d))[:5]].mean()) < 1e-12
+        d = ((X - q) ** 2).sum(1)
+        assert abs(got[i] - y[np.lexsort((np.arange(len(X)), d))[:5]].mean()) < 1e-9
+
+
+def test_knn_small_and_empty(spark):
+    tr, qq = _knn_frames(spark, np.array([[0.0], [1.0], [5.0]]), [1, 2, 3], np.array([[0.2]]))
+    assert neighbours.knn_predict(tr, qq, 5, "uniform", False).first()["prediction"] == 2.0
+    assert abs(neighbours.knn_predict(tr, qq, 2, "distance", False).first()["prediction"] - (1 / 0.2 + 2 / 0.8) / (1 / 0.2 + 1 / 0.8)) < 1e-12
+    assert neighbours.knn_predict(tr.limit(0), qq, 2).collect() == [] and neighbours.knn_predict(tr, qq.limit(0), 2).collect() == []
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=300), rng.normal(size=300)
+    c = [["u", "v", "w"][i % 3] for i in range(300)]
+    y = 2 * a - b + np.array([{"u": 0, "v": 1, "w": -1}[x] for x in c])
+    k = ["lo" if v < -1 else "hi" if v > 1 else "mid" for v in y]
+    data = [(i, None if i % 17 == 0 else float(p), float(q), s, float(t + 0.05 * e), None if i % 50 == 0 else z, 10 * (["lo", "mid", "hi"].index(z) + 1))
+            for i, (p, q, s, t, e, z) in enumerate(zip(a, b, c, y, rng.normal(size=300), k))]
+    return spark.createDataFrame(data, "id long, a double, b double, c string, y double, k string, n int").cache()
+
+
+CASES = [("classification", m, p) for m, p in [
+    ("Random Forest", {"n_estimators": 20}), ("Logistic Regression", {}), ("Gradient Boosting", {"n_estimators": 10, "learning_rate": 0.5}),
+    ("SVM", {"kernel": "linear"}), ("SVM", {"kernel": "rbf"}), ("K-Nearest Neighbors", {})]] + [("regression", m, p) for m, p in [
+        ("Random Forest", {"n_estimators": 20}), ("Linear Regression", {}), ("Ridge Regression", {}), ("Lasso Regression", {"alpha": 0.1}),
+        ("Gradient Boosting", {"n_estimators": 20}), ("SVM", {"kernel": "linear"}), ("SVM", {"kernel": "rbf"}), ("K-Nearest Neighbors", {"weights": "distance"})]]
+
+
+@pytest.mark.parametrize("kind,name,params", CASES)
+def test_saved_model_scores_rows_without_target(spark, rows, tmp_path, kind, name, params):
+    target = "k" if kind == "classification" else "y"
+    tr = models.train(rows, target, ["a", "b", "c"], name, kind, ["id"], params=params)
+    assert tr.metrics["accuracy"] > 0.8 if kind == "classification" else tr.metrics["r2"] > 0.7
+    models.save_model(tr, str(tmp_path / "m"))
+    blank = rows.drop("y", "k", "n")
+    out = models.score(models.load_model(str(tmp_path / "m")), blank)
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 300
+    if kind == "classification":
+        assert out.columns == [*blank.columns, "prediction", "predicted_class"]
+        assert {r["predicted_class"] for r in got.values()} <= {"hi", "lo", "mid"}
+    test = {r["id"]: r["prediction"] for r in tr.predictions.collect()}
+    assert all(abs(got[i]["prediction"] - p) < 1e-9 for i, p in test.items())
+
+
+def test_no_phantom_class(rows):
+    tr = models.train(rows, "k", ["a", "b"], "Logistic Regression", "classification", ["id"])
+    assert tr.classes == ["hi", "lo", "mid"] and tr.model.stages[-2].numClasses == 3
+    tr = models.train(rows, "n", ["a", "b"], "Logistic Regression", "classification", ["id"])
+    assert tr.classes == ["10", "20", "30"]
+    assert {r["predicted_class"] for r in models.score(tr.model, rows.drop("n")).collect()} <= {"10", "20", "30"}
+
+
+def test_folds_are_stratified(rows):
+    dealt = models.with_folds(models.with_label(rows, "k", ["hi", "lo", "mid"]), ["id"], 5, True)
+    for r in dealt.groupBy("label").pivot("fold").count().collect():
+        sizes = [r[str(f)] for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    assert dealt.count() == rows.where("k IS NOT NULL").count()
+
+
+def test_grid_search_equals_numpy(rows):
+    tr = models.train(rows, "y", ["a", "b"], "Ridge Regression", "regression", ["id"], use_grid_search=True)
+    part, _ = models.train_test_split(models.with_label(rows, "y", None), ["id"])
+    pdf = models.with_folds(part, ["id"], 5, False).toPandas()
+    want = []
+    for alpha in (0.1, 1, 10):
+        scores = []
+        for f in range(5):
+            tra, val = pdf[pdf.fold != f], pdf[pdf.fold == f]
+            mean = tra[["a", "b"]].mean()
+            x, v = tra[["a", "b"]].fillna(mean), val[["a", "b"]].fillna(mean)
+            mu, sd = x.mean(), x.std()
+            x, v = ((x - mu) / sd).to_numpy(), ((v - mu) / sd).to_numpy()
+            w = np.linalg.solve(x.T @ x + alpha * np.eye(2), x.T @ (tra.y - tra.y.mean()).to_numpy())
+            r = val.y.to_numpy() - (v @ w + tra.y.mean())
+            scores.append(1 - (r ** 2).sum() / ((val.y - val.y.mean()) ** 2).sum())
+        want.append(np.mean(scores))
+    assert [g["alpha"] for g, _ in tr.grid] == [0.1, 1, 10]
+    assert np.allclose([s for _, s in tr.grid], want, atol=1e-6)
+    assert tr.best_params["alpha"] == (0.1, 1, 10)[int(np.argmax(want))]
+
+
+@pytest.mark.parametrize("kind,name,cut", [
+    ("classification", "K-Nearest Neighbors", {}), ("classification", "SVM", {"C": [1], "kernel": ["linear", "rbf"]}),
+    ("classification", "Gradient Boosting", {"n_estimators": [3], "learning_rate": [0.1], "max_depth": [2, 3]}),
+    ("classification", "Random Forest", {"n_estimators": [5], "max_depth": [None, 3], "min_samples_split": [2]}),
+    ("regression", "SVM", {"C": [1], "kernel": ["linear", "rbf"]})])
+def test_grid_covers_every_model(rows, monkeypatch, kind, name, cut):
+    monkeypatch.setitem(models.MODELS[kind], name, {**models.MODELS[kind][name], **cut})
+    tr = models.train(rows, "k" if kind == "classification" else "y", ["a", "b"], name, kind, ["id"], use_grid_search=True)
+    assert len(tr.grid) == len(models.settings(kind, name)) > 1
+    assert max(s for _, s in tr.grid) == dict((tuple(g.items()), s) for g, s in tr.grid)[
+        tuple((k, tr.best_params[k]) for k in models.MODELS[kind][name])]
+
+
+def test_svr_reaches_the_linear_loss_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 1))
+    y = 1.5 * x[:, 0] + 0.3 + rng.standard_t(2, size=120)
+    vec = VectorAssembler(inputCols=["a"], outputCol="f").transform(
+        spark.createDataFrame([(float(p), float(t)) for p, t in zip(x[:, 0], y)], "a double, y double"))
+    import json
+    m = models.fit_svr(vec, "f", "y", c=1.0, epsilon=0.1)
+    spec = json.loads(m.getOrDefault(m.spec))
+
+    def loss(w, b):
+        return 0.5 * w * w + np.maximum(np.abs(y - w * x[:, 0] - b) - 0.1, 0).sum()
+
+    best = min(loss(w, b) for w in np.linspace(0.5, 2.5, 201) for b in np.linspace(-1, 1.5, 251))
+    assert loss(spec["w"][0], spec["b"]) <= best * 1.001
