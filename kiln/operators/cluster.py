@@ -1,4 +1,4 @@
-"""Clustering (L1, L2, L4).
+"""Clustering (L1-L4).
 
 Hierarchical Ward clustering of every row is quadratic; it is re-aimed:
 k-means reduces the rows to at most ``micro`` micro-clusters on the
@@ -10,14 +10,21 @@ micro-cluster of its own, and an approximation of it otherwise.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions.frames import lookup, with_global_index
+from kiln.functions.graph import components
 from kiln.functions.nulls import numeric_columns
+from kiln.operators.neighbours import build_tree
+from kiln.session import ensure_checkpoint_dir
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,6 +85,105 @@ def hierarchical(df: DataFrame, columns: list[str], n_clusters: int = 3, micro:
     return assigned.join(F.broadcast(mapping), "_micro").drop("_micro", "_v")
 
 
+def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """L3: density clusters in n dimensions on complete numeric rows; ``cluster`` is -1 for noise, else numbered from 0 in the
+    order of each cluster's smallest point.
+
+    A point is a core point when at least ``min_samples`` rows (itself
+    included) lie within ``eps``; core points within ``eps`` of each other
+    share a cluster; another point within ``eps`` of core points joins the
+    one of smallest number, and the rest is noise.
+
+    Equal rows are one weighted point.  Space is cut into cells by
+    ``SpaceTree`` (a bounded tree); a task gets the points of one cell and
+    copies of those within ``eps`` of it.  It counts weights, then ties its
+    core points to their smallest local neighbour chain; copies tie cells
+    together, and connected components over those ties are the clusters.
+    A cell that cannot be cut further holds at most the points of an
+    area that the sample could not split.
+    """
+    cols = [c for c in columns if c in numeric_columns(df)]
+    if not cols:
+        raise ValueError("no numeric column")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = df.na.drop(subset=cols).withColumn("_x", F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]))
+    pts = with_global_index(rows.groupBy("_x").agg(F.count(F.lit(1)).cast("double").alias("w")), ["_x"], "id")
+    pts = pts.select(F.col("id").cast("long").alias("id"), F.col("_x").alias("x"), "w").checkpoint(eager=True)
+    tree = spark.sparkContext.broadcast(build_tree(pts, "id", "x", 8))
+
+    def spread(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy())
+                home = tree.value.cell(x)
+                at, cell = tree.value.near(x, np.full(len(x), float(eps)))
+                yield pdf.iloc[at].assign(cell=cell, own=home[at] == cell)
+
+    def weights(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, w, own = np.stack(pdf["x"].to_numpy()), pdf["w"].to_numpy(), np.flatnonzero(pdf["own"].to_numpy())
+        near = Near(x, eps)
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "core": [bool(w[near.of(i)].sum() >= min_samples) for i in own]})
+
+    spread_pts = pts.mapInPandas(spread, "id long, x array<double>, w double, cell int, own boolean")
+    core = spread_pts.groupBy("cell").applyInPandas(weights, "id long, core boolean").checkpoint(eager=True)
+
+    def ties(pdf: pd.DataFrame) -> pd.DataFrame:
+        """(id, to, kind): core points to the smallest id of their local cluster; other own points to one core point near them,
+        of each local cluster."""
+        pdf = pdf.sort_values("id")
+        x, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy()
+        is_core, own = pdf["core"].to_numpy(), pdf["own"].to_numpy()
+        near = Near(x, eps)
+        label = np.full(len(x), -1)
+        for i in np.flatnonzero(is_core):
+            if label[i] < 0:
+                label[i], stack = i, [i]
+                while stack:
+                    j = near.of(stack.pop())
+                    j = j[is_core[j] & (label[j] < 0)]
+                    label[j] = i
+                    stack.extend(j.tolist())
+        at = np.flatnonzero(is_core)
+        out = [(ids[i], ids[label[i]], True) for i in at]
+        for i in np.flatnonzero(own & ~is_core):
+            j = near.of(i)
+            out += [(ids[i], ids[k], False) for k in np.unique(label[j[is_core[j]]])]
+        return pd.DataFrame(out, columns=["id", "to", "core"])
+
+    tied = spread_pts.join(core, "id").groupBy("cell").applyInPandas(ties, "id long, to long, core boolean").checkpoint(eager=True)
+    links = tied.where("core").select(F.col("id").alias("u"), F.col("to").alias("v"))
+    roots = components(links)
+    alone = tied.where("core").select(F.col("id").alias("node")).distinct()
+    named = alone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    numbers = with_global_index(named.select("root").distinct(), ["root"], "cluster").select("root", F.col("cluster").cast("long").alias("cluster"))
+    cores = named.join(numbers, "root").select(F.col("node").alias("id"), "cluster")
+    border = tied.where(~F.col("core")).join(cores.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    found = pts.join(cores.unionByName(border), "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return lookup(rows, found.withColumnRenamed("x", "_x"), ["_x"], "inner").drop("_x")
+
+
+class Near:
+    """Points of one block by buckets of side ``eps``: those within ``eps`` of a point are in its own or an adjacent bucket
+    (on the first three axes)."""
+
+    def __init__(self, x: np.ndarray, eps: float):
+        self.x, self.eps2 = x, eps * eps
+        self.key = np.floor(x[:, :3] / eps).astype(np.int64) if eps > 0 else x[:, :3]
+        self.buckets: dict = {}
+        for i, k in enumerate(map(tuple, self.key.tolist())):
+            self.buckets.setdefault(k, []).append(i)
+        self.buckets = {k: np.array(v) for k, v in self.buckets.items()}
+        self.steps = list(itertools.product((-1, 0, 1), repeat=self.key.shape[1]))
+
+    def of(self, i: int) -> np.ndarray:
+        k = self.key[i].tolist()
+        got = [b for s in self.steps if (b := self.buckets.get(tuple(a + d for a, d in zip(k, s)))) is not None]
+        at = np.concatenate(got)
+        d = self.x[at] - self.x[i]
+        return np.sort(at[(d * d).sum(1) <= self.eps2])
+
+
 def cluster_summary(labelled: DataFrame, label: str = "cluster") -> DataFrame:
     """L4: number of clusters, noise (-1) excluded, and the size of each."""
     sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size"))

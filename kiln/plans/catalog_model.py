@@ -50,9 +50,24 @@ def cluster_hierarchical(spark, sf):
     return cluster.hierarchical(li, ["l_quantity", "l_discount"], 3)
 
 
+@register("cluster_dbscan", """WITH p AS (SELECT s_suppkey, s_suppkey / 50.0 AS x, s_nationkey::DOUBLE AS y FROM supplier),
+c AS (SELECT a.s_suppkey AS k, a.x, a.y FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1.44 GROUP BY ALL HAVING count(*) >= 4)
+SELECT s_suppkey, EXISTS (SELECT 1 FROM c WHERE (c.x - p.x) ** 2 + (c.y - p.y) ** 2 <= 1.44) AS clustered FROM p""")
+def cluster_dbscan(spark, sf):
+    sup = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") / 50.0).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return cluster.dbscan(sup, ["x", "y"], 1.2, 4).select("s_suppkey", (F.col("cluster") >= 0).alias("clustered"))
+
+
+@register("cluster_dbscan_labels")
+def cluster_dbscan_labels(spark, sf):
+    return cluster.dbscan(table(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 100).alias("bal")),
+                          ["c_nationkey", "bal"], 1.0, 5).select("c_custkey", "cluster")
+
+
 @register("cluster_summary")
 def cluster_summary(spark, sf):
-    return cluster.cluster_summary(cluster.kmeans(_emb_cols(spark, sf), [f"e{i}" for i in range(64)], 10))
+    return cluster.cluster_summary(cluster.dbscan(table(spark, sf, "customer").select(
+        "c_custkey", "c_nationkey", (F.col("c_acctbal") / 100).alias("bal")), ["c_nationkey", "bal"], 1.0, 5))
 
 
 @register("feature_rfe")
