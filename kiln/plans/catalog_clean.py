@@ -28,6 +28,20 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, schema=orders.schema)
 
 
+@register("csv_inferred", """SELECT doc_id, '"a", ' || text AS text, CASE WHEN doc_id % 7 > 0 THEN n_chars END AS n_chars,
+  CASE WHEN doc_id % 5 > 0 THEN doc_id / 4.0 END AS quarter, doc_id % 2 = 0 AS even FROM documents""")
+def csv_inferred(spark, sf):
+    """Doubled quotes, quoted line breaks and NA tokens in number columns, read without a schema."""
+    d = table(spark, sf, "documents")
+    path = f"{ensure_checkpoint_dir(spark)}/kiln-io/{uuid.uuid4().hex}"
+    files.write_csv(d.select(
+        "doc_id", F.concat(F.lit('"a", '), "text").alias("text"),
+        F.when(F.col("doc_id") % 7 == 0, "NA").otherwise(F.col("n_chars").cast("string")).alias("n_chars"),
+        F.when(F.col("doc_id") % 5 == 0, "null").otherwise((F.col("doc_id") / 4.0).cast("string")).alias("quarter"),
+        (F.col("doc_id") % 2 == 0).alias("even")), path)
+    return files.read_csv(spark, path)
+
+
 @register("tidy_on_load", f"""
 WITH {LI}, t AS (SELECT l_quantity, l_discount, l_tax,
                         CASE WHEN l_orderkey % 2 = 0 THEN NULL ELSE l_linenumber END AS "Unnamed: 0" FROM li)

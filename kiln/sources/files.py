@@ -37,14 +37,17 @@ def _infer(df: DataFrame) -> dict[str, str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Header row; doubled quotes and line breaks inside quotes belong to the value; the default NA tokens are NULL.
 
+    A file that may hold line breaks inside quotes is read by one task;
+    ``multi_line=False`` lets Spark split large files whose values have none.
+
     Values are read as text, NA tokens mapped, and types then given by
     ``schema`` or found in one aggregate over all rows.  A value that its
     given type cannot hold is NULL.  A column without values stays text.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in want.fields])
@@ -65,7 +68,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3: header, no index, quotes doubled; one file per partition (never coalesced to one task)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
