@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 
 from kiln.functions.frames import lookup
 
-TOKEN_PATTERN = r"\w+|[^\w\s]|\s"
-WORD = r"^[A-Za-z]+$"
+TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\s"
+WORD = r"^\p{L}+$"
+# Two words within two edits of each other also meet by deleting at most two characters from each of their first
+# PREFIX characters, so long words need no larger neighbourhood.
+PREFIX = 10
 
 
 def _deletes(word: F.Column, max_edits: int = 2) -> F.Column:
-    """Array of the word and every string with 1..max_edits characters deleted."""
+    """The word's beginning, and every string with 1..max_edits characters deleted from it."""
+    word = F.substring(word, 1, PREFIX)
     n = F.length(word)
     one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                       lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, 1 << 20)))
@@ -55,19 +59,21 @@ def correction_table(words: DataFrame, min_count: int = 3, max_edits: int = 2) -
 
 
 def correct_spelling(df: DataFrame, column: str, min_count: int = 3, key: str | None = None) -> DataFrame:
-    """Correct every word of ``column`` against the corpus' own vocabulary."""
-    rid = key or "_rid"
-    base = df if key else df.withColumn("_rid", F.monotonically_increasing_id())
-    toks = base.select(rid, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(TOKEN_PATTERN), 0))
-                       .alias("pos", "tok"))
-    words = (toks.where(F.col("tok").rlike(WORD)).select(F.lower("tok").alias("word"))
-             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    """Correct every word of ``column`` against the corpus' own vocabulary.
+
+    Each distinct text is corrected once and found again by its digest, so
+    no row number has to survive a retry (``key`` is accepted and not
+    needed)."""
+    pattern = F.lit(TOKEN_PATTERN)
+    words = (df.select(F.explode(F.regexp_extract_all(F.col(column), pattern, 0)).alias("tok"))
+             .where(F.col("tok").rlike(WORD)).groupBy(F.lower("tok").alias("word")).agg(F.count(F.lit(1)).alias("n")))
     table = correction_table(words, min_count)
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_text")).distinct()
+    toks = texts.select(F.md5("_text").alias("_rid"), F.posexplode(F.regexp_extract_all("_text", pattern, 0)).alias("pos", "tok"))
     fixed = lookup(toks.withColumn("word", F.lower("tok")), table, ["word"], "left")
     # keep the token's case for unchanged words; corrections are lower-case
-    fixed = fixed.select(rid, "pos", F.coalesce("correction", "tok").alias("tok"))
-    text = (fixed.groupBy(rid).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
-            .select(rid, F.array_join(F.transform("_t", lambda s: s["tok"]), "").alias("_fixed")))
-    out = base.join(text, rid, "left").withColumn(column, F.when(F.col(column).isNotNull(), F.col("_fixed")))
-    out = out.drop("_fixed")
-    return out if key else out.drop("_rid")
+    fixed = fixed.select("_rid", "pos", F.coalesce("correction", "tok").alias("tok"))
+    text = (fixed.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
+            .select("_rid", F.array_join(F.transform("_t", lambda s: s["tok"]), "").alias("_fixed")))
+    out = df.withColumn("_rid", F.md5(F.col(column))).join(text, "_rid", "left")
+    return out.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce("_fixed", F.col(column)))).select(*df.columns)

@@ -97,3 +97,24 @@ def test_grouped_quantiles_join_targets_by_group(spark, monkeypatch):
     got = quantile.grouped_quantiles(df, {"x": [0.25, 0.5]}, ["g"], max_collect=20, buckets=16)
     for k in range(40):
         assert np.allclose(got[(k,)]["x"], np.quantile(x[g == k], [0.25, 0.5]))
+
+
+def test_spelling_by_text_and_in_other_scripts(spark):
+    from kiln.operators.spell import correct_spelling
+    good = ["straße wunderschönerweise", "été internationalization"] * 4
+    df = spark.createDataFrame([(t,) for t in good + ["strase wundershönerweise!", "étee internationalizatoin", None, ""]], "t string")
+    out = sorted(str(r["t"]) for r in correct_spelling(df.repartition(3), "t").collect())
+    assert out == sorted(["straße wunderschönerweise"] * 4 + ["été internationalization"] * 5 + ["straße wunderschönerweise!", "None", ""])
+
+
+def test_prefix_deletions_find_all_pairs_within_two_edits(spark):
+    import random
+    from pyspark.sql import functions as F
+    from kiln.operators.spell import correction_table
+    rnd = random.Random(1)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 16))) for _ in range(120)}
+    rows = [(w, 5 if i % 2 else 1) for i, w in enumerate(sorted(words))]
+    df = spark.createDataFrame(rows, "word string, n long")
+    got = {r["word"] for r in correction_table(df, 3).collect()}
+    pairs = df.where("n < 3").select("word").crossJoin(df.where("n >= 3").select(F.col("word").alias("c")))
+    assert got == {r["word"] for r in pairs.where(F.levenshtein("word", "c") <= 2).collect()}
