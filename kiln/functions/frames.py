@@ -5,35 +5,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a statistic table may have to be broadcast; above it we shuffle.
-BROADCAST_MAX_ROWS = 2_000_000
-# Salt fan-out used when a lookup cannot be broadcast: a key holding a
-# third of all rows is spread over this many tasks.
-SALT_BUCKETS = 64
+# Bytes a statistic table may have to be broadcast; above it the join shuffles.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Count rows up to ``limit + 1`` (never scans past what the check needs)."""
-    return df.limit(limit + 1).count()
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: text, binary and nested values by their length, anything else by 8 bytes."""
+    out = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+        else:
+            out = out + 8
+    return out
 
 
 def lookup(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left",
-           max_broadcast_rows: int = BROADCAST_MAX_ROWS, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Join a small per-key statistic table back onto ``df``.
+           max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a per-key statistic table (one row per key) back onto ``df``.
 
-    ``stats`` holds one row per key.  It is broadcast when its row count is
-    proven below ``max_broadcast_rows``; otherwise both sides are salted so
-    that a hot key is split across ``salt_buckets`` tasks (the statistic
-    rows are replicated, never the data rows).
+    The statistic is evaluated once, into the shared checkpoint folder, and
+    broadcast if its measured bytes allow it.  Otherwise it is a shuffle
+    join with a unique side, whose hot keys adaptive execution splits: only
+    the skewed partitions of the data are dealt anew.
     """
-    n = bounded_count(stats, max_broadcast_rows)
-    if n <= max_broadcast_rows:
-        return df.join(F.broadcast(stats), on=on, how=how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id()), F.lit(salt_buckets))
-    left = df.withColumn("_salt", salt)
-    right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return left.join(right, on=[*on, "_salt"], how=how).drop("_salt")
+    from kiln.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    stats = stats.checkpoint(eager=True)
+    size = stats.agg(F.sum(_row_bytes(stats)).alias("b")).first()["b"] or 0
+    return df.join(F.broadcast(stats) if size <= max_broadcast_bytes else stats, on=on, how=how)
+
+
+def _slices(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Range slices for ``df``: the session's shuffle partitions, or more where the planner's size estimate asks for it."""
+    conf = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(conf, -(-size // bytes_each)), 100_000) if size < 1 << 60 else conf
 
 
 def keep_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -63,7 +75,7 @@ def _ranged(df: DataFrame, order_by: list[str], num_partitions: int | None) -> D
     from kiln.session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = num_partitions or _slices(df)
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()

@@ -115,14 +115,3 @@ def sample_skew(g1: Column, n: Column) -> Column:
 def sample_kurt(g2: Column, n: Column) -> Column:
     """Bias-corrected excess kurtosis G2 from Spark's population kurtosis."""
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
-
-
-def finite(x) -> float | None:
-    if x is None:
-        return None
-    x = float(x)
-    return None if math.isnan(x) else x

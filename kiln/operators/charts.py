@@ -96,20 +96,6 @@ def boxplot(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) -> D
                  F.count(F.lit(1)).alias("n")))
 
 
-def boxplot_outliers(df: DataFrame, y: str, x: str | None = None, whis: float = 1.5) -> DataFrame:
-    """The flier points of V2 (rows beyond the whiskers)."""
-    stats = boxplot(df, y, x, whis).select(*([x] if x else []), "q1", "q3")
-    data = df.select(*([x] if x else []), F.col(y).cast("double").alias("y")).where(F.col("y").isNotNull())
-    if x:
-        joined = lookup(data, stats, [x], "inner")
-    else:
-        s = stats.collect()[0]
-        joined = data.withColumns({"q1": F.lit(s["q1"]), "q3": F.lit(s["q3"])})
-    iqr = F.col("q3") - F.col("q1")
-    return joined.where((F.col("y") < F.col("q1") - whis * iqr) | (F.col("y") > F.col("q3") + whis * iqr)) \
-        .select(*([x] if x else []), F.col("y").alias(y))
-
-
 # ---------------------------------------------------------------- V3 scatter, V6 pairplot
 
 def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, key: list[str] | None = None,

@@ -114,23 +114,6 @@ def impute_columns(df: DataFrame, columns: list[str], strategy: str, value=0) ->
     return run_steps(df, [Impute(c, strategy, value) for c in columns])
 
 
-@dataclass
-class MeanImputer(Step):
-    """Model-side mean imputer (I8): means of the *training* rows, applied to
-    any frame (``fit`` on train, ``transform`` on test and on scoring data)."""
-
-    columns: list[str] = field(default_factory=list)
-
-    def fit(self, df: DataFrame) -> dict:
-        row = df.agg(*[F.avg(c).alias(c) for c in self.columns]).collect()[0]
-        self.means = {c: row[c] for c in self.columns}
-        return self.means
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.means[c]))
-                               for c in self.columns})
-
-
 def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tol: float = 1e-3) -> DataFrame:
     """I7 over several columns: chained equations.  Missing cells start at
     the column mean; each round regresses every incomplete column on the
@@ -151,17 +134,17 @@ def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tol:
     todo = [c for c in columns if cur.where(F.col(flags[c])).limit(1).count() > 0]
     scale = cur.agg(F.greatest(*[F.max(F.abs(c)) for c in columns])).collect()[0][0] or 1.0
     for _ in range(max_iter):
-        change = 0.0
+        old = {c: f"_old_{i}" for i, c in enumerate(todo)}
+        nxt = cur.withColumns({old[c]: F.col(c) for c in todo})
         for c in todo:
-            others = [o for o in columns if o != c]
-            vec = VectorAssembler(inputCols=others, outputCol="_f").transform(cur)
+            vec = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="_f").transform(nxt)
             model = LinearRegression(featuresCol="_f", labelCol=c, regParam=0.0, solver="normal") \
                 .fit(vec.where(~F.col(flags[c])))
-            pred = model.transform(vec).withColumn(
-                "_new", F.when(F.col(flags[c]), F.col("prediction")).otherwise(F.col(c)))
-            d = pred.agg(F.max(F.abs(F.col("_new") - F.col(c)))).collect()[0][0] or 0.0
-            change = max(change, d)
-            cur = pred.withColumn(c, F.col("_new")).drop("_f", "prediction", "_new").checkpoint(eager=True)
+            nxt = model.transform(vec).withColumn(
+                c, F.when(F.col(flags[c]), F.col("prediction")).otherwise(F.col(c))).drop("_f", "prediction")
+        nxt = nxt.checkpoint(eager=True)  # once per round
+        change = max([nxt.agg(*[F.max(F.abs(F.col(c) - F.col(old[c]))).alias(c) for c in todo]).first()[c] or 0.0 for c in todo], default=0.0)
+        cur = nxt.drop(*old.values())
         if change < tol * scale:
             break
     return cur.drop(*flags.values())

@@ -164,11 +164,11 @@ def isolation_scores(df: DataFrame, columns: list[str], contamination: float = 0
     for c in columns:
         complete = complete & F.col(c).isNotNull()
     scored = df.withColumn("anomaly_score", F.when(complete, score_column(forest, psi, columns)))
-    # scores are read three times (count, quantile, filter): compute them once
+    # the quantile reads the scores several times: keep them, and only them, once
     from kiln.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    scored = scored.checkpoint(eager=True)
-    thr = quantiles(scored, {"anomaly_score": [1.0 - contamination]})["anomaly_score"][0]
+    scores = scored.select("anomaly_score").checkpoint(eager=True)
+    thr = quantiles(scores, {"anomaly_score": [1.0 - contamination]})["anomaly_score"][0]
     return scored, thr
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.functions.frames import ordered_blocks, prefix_sum
+from kiln.functions.frames import lookup, ordered_blocks, prefix_sum
 from kiln.functions.special import norm_ppf_col
 
 K = 3
@@ -70,7 +70,7 @@ def mutual_info_feature(df: DataFrame, feature: str, target: str, seed: int = 0,
     u = (F.abs(F.xxhash64(F.col("x0"), F.col("y"), uid, F.lit(seed))) % F.lit(1 << 30) + 0.5) / F.lit(float(1 << 30))
     data = data.select("y", (F.col("x0") / F.lit(sd) + F.lit(noise_amp) * norm_ppf_col(u)).alias("x"), uid.alias("_id"))
     counts = data.groupBy("y").agg(F.count(F.lit(1)).alias("ny"))
-    data = data.join(F.broadcast(counts), "y").where(F.col("ny") > 1)
+    data = lookup(data, counts, ["y"], "inner").where(F.col("ny") > 1)
     blocks = ordered_blocks(data, ["y", "x", "_id"], K, K, block_rows)
     w = Window.partitionBy("_blk").orderBy("_rn")
     dists = []

@@ -121,14 +121,6 @@ def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
                "min double, max double, q1 double, q3 double, skewness double, kurtosis double")
 
 
-def descriptive_stats_columns(df: DataFrame, column: str):
-    """The same moments as Column expressions, for callers composing an agg."""
-    c = F.col(column)
-    n = F.count(c)
-    return [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            sample_skew(F.skewness(c), n).alias("skewness"), sample_kurt(F.kurtosis(c), n).alias("kurtosis")]
-
-
 def infer_problem_type(df: DataFrame, target: str | None = None) -> DataFrame:
     """The last column is the target; classification when text, or when
     distinct < 10 and distinct < rows / 10; else regression."""
@@ -163,9 +155,5 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
             .groupBy(a, b).agg(F.count(F.lit(1)).alias("count")))
 
 
-def is_numeric_type(dt) -> bool:
-    return isinstance(dt, NUMERIC_TYPES)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), frames)

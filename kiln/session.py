@@ -26,6 +26,7 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     master is local (tests, benches), a scratch folder is created.
     """
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:

@@ -59,10 +59,10 @@ def test_prefix_sum(spark):
         assert out[i] == acc
 
 
-def test_keep_first_and_salted_lookup(spark):
+def test_keep_first_and_lookup_without_broadcast(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 3), (3, None, 1), (4, None, 2)], "id long, k string, o int")
     got = sorted((r["id"], r["k"]) for r in keep_first(df, ["k"], ["o"]).collect())
     assert got == [(2, "a"), (3, None)]
     stats = spark.createDataFrame([("a", 10.0)], "k string, v double")
-    out = lookup(df, stats, ["k"], "left", max_broadcast_rows=0, salt_buckets=4)
+    out = lookup(df, stats, ["k"], "left", max_broadcast_bytes=0)
     assert sorted((r["id"], r["v"]) for r in out.collect()) == [(1, 10.0), (2, 10.0), (3, None), (4, None)]
