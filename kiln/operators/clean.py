@@ -63,8 +63,8 @@ class Impute(Step):
 
     ``knn`` and ``mice`` called on a single column have no other coordinate
     to use: the nearest-neighbour mean and the chained-equation initial fill
-    are both the column mean.  With ``on=[...]`` the multi-column variants
-    (``impute_iterative``) are used instead.
+    are both the column mean.  A pipeline op with ``on: [...]`` runs
+    ``impute_knn`` or ``impute_iterative`` over those columns instead.
     """
 
     column: str

@@ -86,6 +86,10 @@ def _clean_op(df: DataFrame, op: dict, order_by) -> tuple[DataFrame, dict]:
     if t == "drop_na":
         return clean.drop_na(df, p["method"], p.get("threshold")), {}
     if t == "impute":
+        if p.get("on") and p["method"] == "knn":
+            return clean.impute_knn(df, p["column"], p["on"], p.get("neighbors", 5)), {}
+        if p.get("on") and p["method"] == "mice":
+            return clean.impute_iterative(df, [p["column"], *p["on"]], p.get("max_iter", 10)), {}
         return clean.impute(df, p["column"], p["method"]), {}
     if t == "outlier":
         return outliers.outlier(df, p["column"], p["method"], p.get("action", "remove"),
@@ -146,7 +150,7 @@ def _as_step(op: dict) -> Step | None:
     if "params" not in op:
         return None
     t, p = op.get("type"), op["params"]
-    if t == "impute" and p.get("method") in ("mean", "median", "mode", "knn", "mice"):
+    if t == "impute" and p.get("method") in ("mean", "median", "mode", "knn", "mice") and not p.get("on"):
         return clean.Impute(p["column"], p["method"])
     if t == "normalize":
         return scale.Scale(p["column"], "minmax" if p["method"] == "minmax" else "standard")

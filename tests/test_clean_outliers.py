@@ -124,3 +124,13 @@ def test_knn_imputation_multi_column(spark):
         d = np.abs(a[donors] - a[i])
         near = donors[np.lexsort((donors, d))[:3]]
         assert abs(out[i] - b[near].mean()) < 1e-12
+
+
+def test_pipeline_imputes_from_other_columns(spark):
+    rows = [(i, float(i), 2.0 * i + 1.0 if i % 5 else None) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    op = lambda method, **kw: [{"type": "impute", "params": {"column": "b", "method": method, "on": ["a"], **kw}}]
+    near = {r["id"]: r["b"] for r in run_pipeline(df, op("knn", neighbors=2)).df.collect()}
+    assert near[10] == 21.0 and near[11] == 23.0
+    chained = {r["id"]: r["b"] for r in run_pipeline(df, op("mice")).df.collect()}
+    assert abs(chained[10] - 21.0) < 1e-6
