@@ -305,9 +305,9 @@ def train(df: DataFrame, target: str, features: list[str], model: str, problem_t
     prep = prepare(df, features, preprocess)
     names = class_names(df, target) if cls else None
     used = [c for c in dict.fromkeys([*key, *features, target])]
-    train_df, test_df = train_test_split(with_label(df.select(*used), target, names), key)
-    # iterative fitters scan the training rows many times: keep them once
-    train_df = train_df.persist()
+    # the split and the iterative fitters scan these rows many times: keep them once
+    base = with_label(df.select(*used), target, names).persist()
+    train_df, test_df = train_test_split(base, key)
     try:
         chosen, tried = dict(params or {}), None
         if use_grid_search and len(settings(problem_type, model)) > 1:
@@ -323,7 +323,7 @@ def train(df: DataFrame, target: str, features: list[str], model: str, problem_t
         metrics = classification_metrics(pred) if cls else regression_metrics(pred)
         data.unpersist()
     finally:
-        train_df.unpersist()
+        base.unpersist()
     return Trained(fitted, metrics, prep.features, names, chosen if tried or params else {}, pred, tried)
 
 
