@@ -128,7 +128,7 @@ def edited_likeness(docs: DataFrame, k: int = K, rows_per_range: int = 4000, id_
     tails = (rows.join(F.broadcast(marks), "span").where(F.col("id").eqNullSafe(F.col("head"))).groupBy("before")
              .agg(F.max_by(F.struct("id", "text"), F.xxhash64("text")).alias("x"))
              .select("x.id", "x.text", F.col("before").alias("span"), F.lit(True).alias("tail")))
-    placed = (rows.withColumn("tail", F.lit(False)).unionByName(tails).repartition(max(len(present), 1), "span")
+    placed = (rows.withColumn("tail", F.lit(False)).unionByName(tails).repartitionById(len(cuts) + 1, F.col("span"))
               .sortWithinPartitions("span", "tail", F.col("id").desc_nulls_last(), F.xxhash64("text").desc()))
     names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
