@@ -24,8 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 EDGE_CODE = 0x110000
-SLICE_CHARS = 1_000_000
-CACHE_WORDS = 600_000
+SLICE_CHARS = 500_000
+CACHE_WORDS = 250_000
 
 
 def vocabulary(name: str) -> str:

@@ -7,6 +7,7 @@ UTF-8 bytes and hashes them with numpy, without a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -60,14 +61,29 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(v, first) ^ (lens.astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+try:
+    _malloc_trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _malloc_trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one task freed would otherwise stay with its worker."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def string_array(column) -> pa.LargeStringArray:
     """One large-string array without nulls (a null text counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
+    return column.cast(pa.large_string())
 
 
-def slices(array: pa.LargeStringArray, budget: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(array: pa.LargeStringArray, budget: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``budget`` bytes each; a longer text gets a range of its own."""
     if not len(array):
         return
@@ -80,12 +96,14 @@ def slices(array: pa.LargeStringArray, budget: int = 2_000_000) -> Iterator[tupl
 
 
 def batch_slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-                 budget: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
+                 budget: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
     """(rows, their texts) in pieces of bounded size, so that temporaries stay small."""
     for batch in batches:
         texts = string_array(batch.column(batch.schema.get_field_index(column)))
         for lo, hi in slices(texts, budget):
             yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
+        del batch, texts
+    trim()
 
 
 def raw_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
