@@ -24,7 +24,8 @@ HEADLINE = [
     "kbest_f_classif", "frequent_itemsets", "association_rules", "chart_histogram", "chart_boxplot",
     "chart_kde", "chart_words", "chart_acf", "chart_seasonal", "detect_dbscan", "train_test_split",
     "train_logistic", "feature_pipeline", "clean_pipeline", "dedup_fuzzy", "detect_isolation_forest",
-    "power_yeojohnson",
+    "power_yeojohnson", "train_ridge", "score_saved_ridge", "cluster_kmeans", "cluster_dbscan", "kbest_chi2",
+    "chart_kde_hue", "chart_bar_bootstrap", "impute_mice_multi", "csv_inferred",
 ]
 
 
