@@ -19,6 +19,7 @@ from kiln.llm.textcore import LOWER, U64, Words, batch_slices, grams, mix, per_t
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 N_SHAPE = 8
+FETCHES = 32  # partitions in which a sample comes to the driver
 
 
 def byte_grams(values: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +110,16 @@ def sparse_rows(words: Words, bits: int, char_sizes: tuple[int, ...], pairs: boo
     return out
 
 
-def collect_features(rows: DataFrame, keep: list[str], bits: int, char_sizes: tuple[int, ...], pairs: bool) -> pd.DataFrame:
-    """The features of a *bounded* sample (columns ``keep`` and text), computed by the executors, as a small driver table."""
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", idx binary, val binary, shape binary"
+def collect_features(rows: DataFrame, keep: list[str], bits: int, char_sizes: tuple[int, ...], pairs: bool) -> tuple[pd.DataFrame, Sparse]:
+    """The features of a *bounded* sample (columns ``keep`` and text): its columns ``keep`` and its n-grams, both in the order of ``keep``.
+
+    The executors compute the features and deal them over small partitions;
+    the driver fetches one partition at a time into flat buffers, so it
+    holds the sample once.  Rows that tie in ``keep`` are in the order of
+    their text's hash.
+    """
+    names = [*keep, "_digest", "idx", "val", "shape"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", _digest long, idx binary, val binary, shape binary"
 
     def run(batches):
         for part, texts in batch_slices(batches):
@@ -119,30 +127,44 @@ def collect_features(rows: DataFrame, keep: list[str], bits: int, char_sizes: tu
             got = sparse_rows(words, bits, char_sizes, pairs)
             dense = shape(words)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array([i.tobytes() for i, _ in got], pa.binary()),
-                 pa.array([v.astype(np.float16).tobytes() for _, v in got], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())],
-                [*keep, "idx", "val", "shape"])
-
-    return rows.select(*keep, "text").mapInArrow(run, schema).toArrow().to_pandas()
+                [*(part.column(part.schema.get_field_index(c)) for c in names[:-3]), pa.array([i.tobytes() for i, _ in got], pa.binary()),
+                 pa.array([v.tobytes() for _, v in got], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())], names)
+
+    found = rows.select(*keep, F.xxhash64("text").alias("_digest"), "text").mapInArrow(run, schema).repartition(FETCHES)
+    idx, val, dense, size, kept = bytearray(), bytearray(), bytearray(), [], []
+    for row in found.toLocalIterator():
+        kept.append(tuple(row[:len(keep) + 1]))
+        idx += row["idx"]
+        val += row["val"]
+        dense += row["shape"]
+        size.append(len(row["idx"]) // 4)
+    table = pd.DataFrame(kept, columns=names[:-3]).sort_values(names[:-3], kind="stable")
+    size = np.array(size, np.int64)
+    x = Sparse(np.frombuffer(idx, np.int32), np.frombuffer(val, np.float32), np.cumsum(size) - size, size, np.frombuffer(dense).reshape(-1, N_SHAPE))
+    return table[keep].reset_index(drop=True), x.take(table.index.to_numpy(np.int64))
 
 
 class Sparse:
-    """Rows of (bucket, share) pairs, flat."""
+    """Rows of (bucket, share) pairs, flat; a choice of rows shares the pairs."""
+
+    def __init__(self, idx: np.ndarray, val: np.ndarray, first: np.ndarray, size: np.ndarray, shape: np.ndarray):
+        self.n = len(size)
+        self.idx, self.val, self.first, self.size, self.shape = idx, val, first, size, shape
 
-    def __init__(self, table: pd.DataFrame):
-        idx = [np.frombuffer(x, np.int32) for x in table["idx"]]
-        self.n = len(idx)
-        self.idx = np.concatenate(idx) if idx else np.empty(0, np.int32)
-        self.val = np.concatenate([np.frombuffer(x, np.float16) for x in table["val"]]).astype(np.float32) if idx else np.empty(0, np.float32)
-        self.cut = np.concatenate([[0], np.cumsum([len(i) for i in idx])]).astype(np.int64)
-        self.shape = np.array([np.frombuffer(x) for x in table["shape"]]).reshape(self.n, N_SHAPE)
+    def take(self, which: np.ndarray) -> Sparse:
+        """The rows of these numbers, or where a mask is true."""
+        return Sparse(self.idx, self.val, self.first[which], self.size[which], self.shape[which])
 
     def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, bucket, share) triples of the chosen rows, rows renumbered."""
-        lens = self.cut[which + 1] - self.cut[which]
-        at = np.repeat(self.cut[which] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+        lens = self.size[which]
+        at = np.repeat(self.first[which] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
         return np.repeat(np.arange(len(which)), lens), self.idx[at], self.val[at]
 
+    def slices(self) -> list[np.ndarray]:
+        """The numbers of all rows, a few at a time."""
+        return [np.arange(lo, min(lo + 256, self.n)) for lo in range(0, self.n, 256)]
+
 
 class LinearModel:
     """A weight per bucket, weights for the shape shares, and a bias; ``scale`` and ``shift`` map margins to calibrated ones."""
@@ -163,9 +185,12 @@ class LinearModel:
     def scores(self, words: Words) -> np.ndarray:
         return sigmoid(self.scale * self.margins(words) + self.shift)
 
-    def of_rows(self, x: Sparse, which: np.ndarray) -> np.ndarray:
-        r, i, s = x.rows(which)
-        return np.bincount(r, self.w[i] * s, len(which)) + x.shape[which] @ self.v + self.bias
+    def of_rows(self, x: Sparse) -> np.ndarray:
+        z = x.shape @ self.v + self.bias
+        for which in x.slices():
+            r, i, s = x.rows(which)
+            z[which] += np.bincount(r, self.w[i] * s, len(which))
+        return z
 
     def descend(self, x: Sparse, slope, epochs: int, batch: int, rate: float, seed: int = 0, decay: float = 1e-5) -> None:
         """AdaGrad over shuffled minibatches; ``slope(rows, margins)`` is the loss's derivative for each margin."""

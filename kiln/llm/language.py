@@ -26,7 +26,7 @@ from kiln.llm.hashed import Sparse, groups
 from kiln.llm.textcore import Words, batch_slices, per_text
 
 BITS, CHAR_SIZES, DIM = 16, (3, 4), 16
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 4000
 UNKNOWN = "und"
 
 
@@ -73,11 +73,12 @@ class LanguageModel:
         self.table, self.bias = emb @ out / n_groups, bias
 
     def of_rows(self, x: Sparse) -> np.ndarray:
-        r, i, s = x.rows(np.arange(x.n))
-        z = np.zeros((x.n, len(self.languages)))
-        for k in range(z.shape[1]):
-            z[:, k] = np.bincount(r, self.table[i, k] * s, x.n)
-        return z + self.bias
+        z = np.tile(self.bias, (x.n, 1)).astype(float)
+        for which in x.slices():
+            r, i, s = x.rows(which)
+            for k in range(z.shape[1]):
+                z[which, k] += np.bincount(r, self.table[i, k] * s, len(which))
+        return z
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, reject_share: float) -> None:
         grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
@@ -114,17 +115,16 @@ def train(docs: DataFrame, parts: int = 3, held_out: int = 1, id_col: str = "doc
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, parts) != held_out)) \
         .select(id_col, F.col(lang_col).alias("_y"), F.col(text_col).alias("text"))
     picked = hashed.sample_of(rows.select(id_col).distinct(), id_col, sample_rows)
-    got = hashed.collect_features(rows.join(F.broadcast(picked), id_col), [id_col, "_y"], BITS, CHAR_SIZES, False)
-    got = got.sort_values([id_col, "_y"], kind="stable")
+    got, x = hashed.collect_features(rows.join(F.broadcast(picked), id_col), [id_col, "_y"], BITS, CHAR_SIZES, False)
     names = sorted(set(got["_y"]))
     model = LanguageModel(names or [UNKNOWN])
     if len(names) < 2:
         return model
     y = got["_y"].map({n: k for k, n in enumerate(names)}).to_numpy()
     held = np.arange(len(y)) % 5 == 4
-    model.fit(Sparse(got[~held]), y[~held])
+    model.fit(x.take(~held), y[~held])
     if held.any():
-        model.calibrate(model.of_rows(Sparse(got[held])), y[held], reject_share)
+        model.calibrate(model.of_rows(x.take(held)), y[held], reject_share)
     return model
 
 

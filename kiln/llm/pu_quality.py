@@ -7,8 +7,8 @@ unbiased risk of Kiryo et al. (2017) with the logistic loss:
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
 and when the bracket turns negative, steps up its gradient instead, as
-the paper does.  The class prior is estimated from the labelled training
-rows.  Both samples are bounded and drawn by a hash of the id.
+the paper does.  The class prior is the share of good ones among all
+labelled training rows.  Both samples are bounded and drawn by a hash of the id.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from kiln.llm.common import fold
 from kiln.llm.hashed import LinearModel, Sparse, sigmoid
 from kiln.llm.textcore import Words, batch_slices
 
-BITS, CHAR_SIZES = 17, (3,)
-POSITIVES, UNLABELLED, CALIBRATION = 2000, 3500, 1500
+BITS, CHAR_SIZES = 17, (3, 4)
+POSITIVES, UNLABELLED, CALIBRATION = 2500, 4000, 2000
 THRESHOLD = 0.3
 
 
@@ -50,30 +50,30 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0,
     """Fit on rows whose fold is not ``held_out`` only.
 
     At most POSITIVES positives, UNLABELLED unlabelled texts, CALIBRATION
-    labelled rows (for the prior and the final probability curve).  With
-    no positive row the model gives every text the estimated prior.
+    labelled rows (for the final probability curve); the prior is taken
+    from all of them.  With no positive row the model gives every text the estimated prior.
     """
     known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, parts) != held_out)) \
         .groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
+    good_rows, all_rows = known.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("_y")).first()
+    prior = float((good_rows + 1) / (all_rows + 2))
     good = hashed.sample_of(known.where("_y = 1"), id_col, POSITIVES).withColumn("_role", F.lit(0))
     curve = known.orderBy(F.xxhash64(F.concat(F.col(id_col).cast("string"), F.lit("/c"))), id_col).limit(CALIBRATION).withColumn("_role", F.lit(1))
     web = hashed.sample_of(docs.select(id_col).where(fold(id_col, parts) != held_out).distinct(), id_col, UNLABELLED) \
         .select(id_col, F.lit(-1).alias("_y"), F.lit(2).alias("_role"))
     picked = good.unionByName(curve).unionByName(web)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
-    got = hashed.collect_features(rows, [id_col, "_y", "_role"], BITS, CHAR_SIZES, True).sort_values([id_col, "_role"], kind="stable")
+    got, x = hashed.collect_features(rows, [id_col, "_role", "_y"], BITS, CHAR_SIZES, True)
     role, y = got["_role"].to_numpy(), got["_y"].to_numpy()
     seen = y[role == 1]
-    prior = float((seen.sum() + 1) / (len(seen) + 2))
     if not (role == 0).any() or not (role == 2).any():
         model = LinearModel(BITS, CHAR_SIZES, True)
         model.shift = float(np.log(prior / (1 - prior)))
         return model
     use = role != 1
-    model = fit_pu(Sparse(got[use]), (role == 0)[use], min(max(prior, 0.01), 0.99))
+    model = fit_pu(x.take(use), (role == 0)[use], min(max(prior, 0.01), 0.99))
     if len(set(seen.tolist())) == 2:
-        x = Sparse(got[role == 1])
-        model.calibrate(model.of_rows(x, np.arange(x.n)), seen)
+        model.calibrate(model.of_rows(x.take(role == 1)), seen)
     return model
 
 

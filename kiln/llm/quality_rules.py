@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import hashed
-from kiln.llm.hashed import SYMBOL, LinearModel, Sparse, repeats, sigmoid
+from kiln.llm.hashed import SYMBOL, LinearModel, repeats, sigmoid
 from kiln.llm.textcore import Words, batch_slices, grams, per_text, span_hash
 
-BITS, CHAR_SIZES = 17, (3,)
-SAMPLE_ROWS = 4000
+BITS, CHAR_SIZES = 17, (3, 4)
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -79,19 +79,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = hashed.sample_of(labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("_y")),
                               id_col, sample_rows)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
-    got = hashed.collect_features(rows, [id_col, "_y"], BITS, CHAR_SIZES, True).sort_values([id_col, "_y"], kind="stable")
+    got, x = hashed.collect_features(rows, [id_col, "_y"], BITS, CHAR_SIZES, True)
     model = LinearModel(BITS, CHAR_SIZES, True)
     y = got["_y"].to_numpy()
     if len(set(y)) < 2:
         model.shift = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return model
     held = np.arange(len(y)) % 5 == 4
-    part = Sparse(got[~held])
+    part = x.take(~held)
     yt = y[~held]
     weight = np.where(yt > 0, 0.5 / max(yt.mean(), 1e-9), 0.5 / max(1 - yt.mean(), 1e-9))
     model.descend(part, lambda r, z: weight[r] * (sigmoid(z) - yt[r]) / len(r), epochs=12, batch=128, rate=0.3)
-    rest = Sparse(got[held]) if len(set(y[held])) == 2 else part
-    model.calibrate(model.of_rows(rest, np.arange(rest.n)), y[held] if rest is not part else yt)
+    rest = x.take(held) if len(set(y[held])) == 2 else part
+    model.calibrate(model.of_rows(rest), y[held] if rest is not part else yt)
     return model
 
 
