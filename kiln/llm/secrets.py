@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
-A run of at least ``min_run`` key characters that mixes letters, digits
-or cases is a *random* string if a tiktoken vocabulary needs so many
+A run of at least ``min_run`` key characters, or a part of it between
+separators, is a *random* string if a tiktoken vocabulary needs so many
 tokens for it that a token covers fewer than ``max_chars_per_token``
 characters: words compress to four or more characters a token, random
-strings to less than two.  Known digests (hex of the usual lengths),
-UUIDs, plain numbers and identifiers made of words are excluded before.
+strings, of one class of characters or more, to less than two.  Known
+digests (hex of the usual lengths), UUIDs, plain numbers and identifiers
+whose words compress are excluded.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 NAME = re.compile(r"[A-Za-z]*[0-9]{0,4}")
+PART = re.compile(r"[^+/=_-]+")
 
 
 def _table(chars: str) -> np.ndarray:
@@ -52,15 +54,28 @@ def _tiktoken(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers: strings that look dense but are no secrets."""
-    if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run.strip("-_=")):
-        return True
-    kinds = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run)
-    if kinds < 2:  # a number, or one word
-        return True
+    """Digests, UUIDs and numbers: strings that look dense but are no secrets."""
+    return bool(DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run.strip("-_="))) or not any(c.isalpha() for c in run)
+
+
+def is_random(run: str, enc, max_chars_per_token: float) -> bool:
+    """Whether the vocabulary finds no words in a string, nor in its parts if it looks like an identifier."""
+    if known(run) or len(run) >= max_chars_per_token * len(enc.encode_ordinary(run)):
+        return False
     parts = [p for p in re.split(r"[+/=_-]+|(?<=[a-z])(?=[A-Z])", run) if p]
-    return len(parts) > 1 and all(NAME.fullmatch(p) and len(p) < 20 for p in parts) and \
-        sum(map(len, parts)) / len(parts) >= 4
+    size = sum(map(len, parts))
+    named = len(parts) > 1 and all(NAME.fullmatch(p) and len(p) < 20 for p in parts) and size / len(parts) >= 4
+    return not named or size < max_chars_per_token * sum(len(enc.encode_ordinary(p)) for p in parts)
+
+
+def random_spans(run: str, enc, min_run: int, max_chars_per_token: float) -> list[tuple[int, int]]:
+    """The whole run if it is random, else its random parts, and what is random between those."""
+    if is_random(run, enc, max_chars_per_token):
+        return [(0, len(run))]
+    parts = [m.span() for m in PART.finditer(run) if min_run <= len(m[0]) < len(run) and is_random(m[0], enc, max_chars_per_token)]
+    cuts = [0, *(x for span in parts for x in span), len(run)]
+    rest = [(a, z) for a, z in zip(cuts[::2], cuts[1::2]) if parts and z - a >= min_run and is_random(run[a:z], enc, max_chars_per_token)]
+    return sorted(parts + rest)
 
 
 def _runs(flags: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +94,7 @@ def _runs(flags: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, n
     return a[keep], b[keep]
 
 
-def scan_texts(texts: pa.LargeStringArray, vocab: str, min_run: int = 20, max_chars_per_token: float = 2.2,
+def scan_texts(texts: pa.LargeStringArray, vocab: str, min_run: int = 16, max_chars_per_token: float = 2.2,
                ) -> dict[int, list[tuple[int, int, int]]]:
     """Spans (start, kind, end) of each text that has any, sorted; code points, end exclusive."""
     b, off = raw_bytes(texts)
@@ -120,11 +135,11 @@ def scan_texts(texts: pa.LargeStringArray, vocab: str, min_run: int = 20, max_ch
         if known(run):
             continue
         enc = enc or _tiktoken(vocab)
-        if len(run) < max_chars_per_token * len(enc.encode_ordinary(run)):
-            t = int(np.searchsorted(off, s, "right")) - 1
-            a, z = int(chars[s] - chars[off[t]]), int(chars[e] - chars[off[t]])
-            if not any(x <= a and z <= y for x, _, y in found.get(t, ())):
-                found.setdefault(t, []).append((a, 3, z))
+        t = int(np.searchsorted(off, s, "right")) - 1
+        at = int(chars[s] - chars[off[t]])
+        for a, z in random_spans(run, enc, min_run, max_chars_per_token):
+            if not any(x <= at + a and at + z <= y for x, _, y in found.get(t, ())):
+                found.setdefault(t, []).append((at + a, 3, at + z))
     return {t: sorted(spans) for t, spans in found.items()}
 
 
