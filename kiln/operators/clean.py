@@ -152,23 +152,37 @@ def impute_iterative(df: DataFrame, columns: list[str], max_iter: int = 10, tol:
 
 def impute_knn(df: DataFrame, column: str, on: list[str], n_neighbors: int = 5, key: list[str] | None = None) -> DataFrame:
     """I6 with other coordinates: a missing ``column`` gets the mean of its
-    ``n_neighbors`` nearest donor rows (Euclidean over ``on``; donors have
-    ``column`` and all of ``on``).  Uses the exact neighbour search of
-    the kNN models; rows missing an ``on`` coordinate fall back
-    to the column mean (the single-column behaviour)."""
+    ``n_neighbors`` nearest donor rows (rows that have ``column``).  Distances
+    are nan-euclidean: over the ``on`` coordinates that both rows have, the
+    square scaled by their share of all.  The exact neighbour search of the
+    kNN models runs for each pair of patterns of present coordinates that
+    occurs; rows that share no coordinate with any donor get the column mean."""
+    from pyspark.sql import Window
+
     from kiln.functions.frames import with_global_index
-    from kiln.operators.neighbours import knn_predict
+    from kiln.operators.neighbours import nearest, vote
     keys = key or list(df.columns)
-    coords = F.array(*[F.col(c).cast("double") for c in on])
-    complete = F.lit(True)
-    for c in on:
-        complete = complete & F.col(c).isNotNull()
     idx = with_global_index(df, keys, "_kid")
-    donors = idx.where(complete & F.col(column).isNotNull()).select(
-        F.col("_kid").alias("tid"), coords.alias("x"), F.col(column).cast("double").alias("label"))
-    needy = idx.where(complete & F.col(column).isNull()).select(F.col("_kid").alias("qid"), coords.alias("x"))
-    pred = knn_predict(donors, needy, n_neighbors, "uniform", classification=False)
+    has = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(on)), F.lit(0))
+    seen = idx.groupBy(has.alias("has"), F.col(column).isNull().alias("needy")).count().collect()
+    donor_has = [r["has"] for r in seen if not r["needy"]]
+    found = None
+    for q in sorted(r["has"] for r in seen if r["needy"]):
+        for shared in sorted({q & d for d in donor_has} - {0}):
+            dims = [c for i, c in enumerate(on) if shared >> i & 1]
+            coords = F.array(*[F.col(c).cast("double") for c in dims])
+            donors = idx.where(F.col(column).isNotNull() & (has.bitwiseAND(F.lit(q)) == shared)).select(
+                F.col("_kid").alias("tid"), coords.alias("x"), F.col(column).cast("double").alias("label"))
+            needy = idx.where(F.col(column).isNull() & (has == q)).select(F.col("_kid").alias("qid"), coords.alias("x"))
+            part = nearest(donors, needy, n_neighbors).select(
+                "qid", (F.col("d") * F.lit((len(on) / len(dims)) ** 0.5)).alias("d"), "tid", "label")
+            found = part if found is None else found.unionByName(part)
     mean = df.agg(F.avg(column)).collect()[0][0]
+    if found is None:
+        return idx.withColumn(column, F.coalesce(F.col(column), F.lit(mean))).drop("_kid")
+    w = Window.partitionBy("qid").orderBy("d", "tid")  # n_neighbors rows per set of shared coordinates
+    found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_neighbors).drop("_r")
+    pred = vote(found, "uniform", classification=False)
     out = idx.join(pred.withColumnRenamed("qid", "_kid"), "_kid", "left")
     return out.withColumn(column, F.coalesce(F.col(column), F.col("prediction"), F.lit(mean))) \
         .drop("prediction", "_kid")
