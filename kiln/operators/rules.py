@@ -50,7 +50,8 @@ def frequent_itemsets(df: DataFrame, columns: list[str], min_support: float = 0.
         if n == 0:
             raise ValueError("empty input")
         baskets = df.select(F.array_compact(F.array(*[_item(c) for c in columns])).alias("items"))
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
+        # a support slightly below: count / n decides at the threshold, as for few columns
+        model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9), minConfidence=1.0).fit(baskets)
         sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("_cnt"))
     support = F.col("_cnt") / F.lit(float(n))
     return (sets.where(support >= F.lit(min_support))
