@@ -83,3 +83,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.chunk_bpe import encode_decode
     return encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary("word_bpe_49k.json"))
+
+
+@register("op11_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.exact_dedup import group_copies
+    return group_copies(table(spark, sf_dir, "documents"))
