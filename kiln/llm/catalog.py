@@ -93,3 +93,9 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.exact_dedup import group_copies
     return group_copies(table(spark, sf_dir, "documents"))
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm import conversation_repair
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
