@@ -60,6 +60,17 @@ def _inserts(state: int) -> list[tuple[int, int]]:
     return out
 
 
+def _lead(better: int, worse: int) -> int:
+    """What a path at ``better`` pays at most to go on as any path at ``worse`` does; a larger difference of costs decides.
+
+    After a every going on from s is open too, and every one from the start but for keeping a row of s, which can be deleted.
+    """
+    if better == _NOTHING and worse == _S:
+        return 0
+    to = {s: INSERT * k for k, s in _inserts(better)}
+    return to[_U] if worse == _U else to[_A] + (DELETE if worse == _NOTHING else 0)
+
+
 def _written(state: int, edits: str) -> list[tuple[str, bool]]:
     """What the edits of one row write, from ``state`` on: (role to write or '' for the row's own, with the row's text?)."""
     out = []
@@ -110,9 +121,7 @@ class Program:
                     offer = (c, rank, "I" * k + e)
                     if to not in best or offer < best[to]:
                         best[to] = offer
-        # a state that inserts reach from another one for less can never win
-        live = {s: o for s, o in best.items()
-                if not any(o[0] > p[0] + INSERT * k for t, p in best.items() if t != s for k, to in _inserts(t) if to == s)}
+        live = {s: o for s, o in best.items() if not any(o[0] > p[0] + _lead(t, s) for t, p in best.items() if t != s)}
         order = sorted(live, key=lambda s: live[s][1:])
         least = min(o[0] for o in live.values())
         then = tuple((s, live[s][0] - least) for s in order)
