@@ -5,8 +5,8 @@ Parameter mappings that differ from Spark ML defaults on purpose:
 logistic / SVM ``C`` becomes ``regParam = 1 / (C * n)`` without
 standardization (the same objective as the reference's solver); ridge
 ``alpha`` becomes ``regParam = alpha * std_pop(y) / n``; lasso ``alpha``
-is ``regParam`` with ``elasticNetParam = 1``; "no depth limit" is
-Spark's maximum depth 30.
+is ``regParam`` with ``elasticNetParam = 1``.  Forests and boosters are the
+library's own (``forest``, ``boosting``): trees of any depth.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ import pandas as pd
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer,
                                 StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable,
                              MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame, Window
@@ -36,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.quantile import order_statistics
+from kiln.operators.boosting import fit_boosting
+from kiln.operators.forest import fit_forest
 from kiln.session import ensure_checkpoint_dir
 
 MAX_CATEGORIES = 10   # text features with more distinct values are dropped
@@ -145,24 +146,16 @@ def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2,
     return train, test
 
 
+def row_hash(key: list[str]) -> F.Column:
+    """A hash of the rows' keys, ``rid``: draws that follow from it are the same under any partitioning."""
+    return F.xxhash64(*[F.col(k) for k in key], F.lit(SPLIT_SEED)).alias("rid")
+
+
 # ---------------------------------------------------------------- M3-M12 estimators
 
 def _estimator(problem_type: str, name: str, n_train: int, y_std: float, params: dict | None = None):
     p = params or {}
     cls = problem_type == "classification"
-    depth = p.get("max_depth", None)
-    depth = 30 if depth is None else int(depth)
-    if name == "Random Forest":
-        kw = dict(featuresCol="features", labelCol="label", numTrees=int(p.get("n_estimators", 100)),
-                  maxDepth=depth, minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
-                  featureSubsetStrategy="sqrt" if cls else "all", seed=SPLIT_SEED)
-        return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
-    if name == "Gradient Boosting":
-        kw = dict(featuresCol="features", labelCol="label", maxIter=int(p.get("n_estimators", 100)),
-                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(p.get("max_depth", 3)), seed=SPLIT_SEED)
-        if cls:
-            return OneVsRest(classifier=GBTClassifier(**kw), featuresCol="features", labelCol="label")
-        return GBTRegressor(**kw)
     if name == "Logistic Regression":
         c = float(p.get("C", 1.0))
         return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n_train),
@@ -222,10 +215,17 @@ class Copy(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defaul
 
 
 def fit_model(data: DataFrame, problem_type: str, name: str, params: dict, n_features: int, n_rows: int) -> list:
-    """Stages fitted on ``data(scaled, label)`` that turn ``scaled`` into ``prediction``; penalties follow from ``n_rows``."""
+    """Stages fitted on ``data(scaled, label, rid)`` (``rid``: a hash of the rows' keys) that turn ``scaled`` into ``prediction``; penalties follow from ``n_rows``."""
     cls = problem_type == "classification"
     if name == "K-Nearest Neighbors":
         return [fit_knn(data, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), cls)]
+    if name in ("Random Forest", "Gradient Boosting"):
+        classes = int(data.agg(F.max("label")).first()[0] or 0) + 1 if cls else 0
+        depth = params.get("max_depth", None if name == "Random Forest" else 3)
+        depth, count = None if depth is None else int(depth), int(params.get("n_estimators", 100))
+        if name == "Random Forest":
+            return [fit_forest(data, classes, count, depth, int(params.get("min_samples_split", 2)), seed=SPLIT_SEED)]
+        return [fit_boosting(data, classes, count, float(params.get("learning_rate", 0.1)), depth)]
     if name == "SVM" and params.get("kernel", "rbf") == "rbf":
         spec = RandomFourierFeatures.make_spec(n_features, 1.0 / max(n_features, 1), int(params.get("components", 200)))
         kernel = RandomFourierFeatures(inputCol="scaled", outputCol="features", spec=spec)
@@ -272,7 +272,7 @@ def grid_search(rows: DataFrame, prep: Prepared, problem_type: str, name: str, k
         for f in range(folds):
             part = dealt.where(F.col("fold") != f).drop("fold")
             prepared = featurizer(prep, preprocess).fit(part)
-            train = prepared.transform(part).select("scaled", "label").persist()
+            train = prepared.transform(part).select("scaled", "label", row_hash(key)).persist()
             valid = prepared.transform(dealt.where(F.col("fold") == f).drop("fold")).select("scaled", "label").persist()
             n = train.count()
 
@@ -314,7 +314,7 @@ def train(df: DataFrame, target: str, features: list[str], model: str, problem_t
             tried = grid_search(train_df, prep, problem_type, model, key, preprocess, parallelism=parallelism, base=params)
             chosen.update(max(tried, key=lambda x: (x[1] == x[1], x[1]))[0])
         prepared = featurizer(prep, preprocess).fit(train_df)
-        data = prepared.transform(train_df).select("scaled", "label").persist()
+        data = prepared.transform(train_df).select("scaled", "label", row_hash(key)).persist()
         stages = fit_model(data, problem_type, model, chosen, len(prep.features), data.count())
         if cls:
             stages = [*stages, IndexToString(inputCol="prediction", outputCol="predicted_class", labels=names)]
