@@ -240,4 +240,11 @@ def sample_of(keys: DataFrame, key: str, most: int) -> DataFrame:
     return keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
 
 
-__all__ = ["LOWER", "LinearModel", "Sparse", "collect_features", "groups", "powers", "sample_of", "shape", "span_hash"]
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, that of the least text hash: a key on many rows does not lift the bound of a sample."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.min(F.struct(F.xxhash64("text").alias("_h"), *rest)).alias("_b")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
+
+
+__all__ = ["LOWER", "LinearModel", "Sparse", "collect_features", "groups", "one_row_each", "powers", "sample_of", "shape", "span_hash"]

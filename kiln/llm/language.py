@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm import hashed
@@ -26,7 +26,8 @@ from kiln.llm.hashed import Sparse, groups
 from kiln.llm.textcore import Words, batch_slices, per_text
 
 BITS, CHAR_SIZES, DIM = 16, (3, 4), 16
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 4000  # over all languages
+LEAST_ROWS = 200     # of one language
 UNKNOWN = "und"
 
 
@@ -111,11 +112,20 @@ def has_letter(words: Words, texts: pa.LargeStringArray) -> np.ndarray:
 
 def train(docs: DataFrame, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample_rows: int = SAMPLE_ROWS, reject_share: float = 0.001) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows with a language whose fold is not ``held_out``; every fifth only calibrates."""
+    """Fit on rows with a language whose fold is not ``held_out``; every fifth only calibrates.
+
+    Each language has the same share of ``sample_rows``, but at least ``LEAST_ROWS``, one row per id, those first in the order
+    of a hash of the id: a rare language is learned however many rows others have.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, parts) != held_out)) \
         .select(id_col, F.col(lang_col).alias("_y"), F.col(text_col).alias("text"))
-    picked = hashed.sample_of(rows.select(id_col).distinct(), id_col, sample_rows)
-    got, x = hashed.collect_features(rows.join(F.broadcast(picked), id_col), [id_col, "_y"], BITS, CHAR_SIZES, False)
+    keys = rows.select(id_col, "_y").where(F.col(id_col).isNotNull()).distinct()
+    languages = rows.select("_y").distinct().count()
+    each = max(LEAST_ROWS, sample_rows // max(languages, 1))
+    place = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col))
+    picked = keys.withColumn("_place", place).where(F.col("_place") <= each).drop("_place")  # each task sends ``each`` rows per language
+    sample = hashed.one_row_each(rows.join(F.broadcast(picked), [id_col, "_y"]), [id_col, "_y"])
+    got, x = hashed.collect_features(sample, [id_col, "_y"], BITS, CHAR_SIZES, False)
     names = sorted(set(got["_y"]))
     model = LanguageModel(names or [UNKNOWN])
     if len(names) < 2:
@@ -157,7 +167,8 @@ def predict(docs: DataFrame, model: LanguageModel, parts: int = 3, held_out: int
 
 
 def keep(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is recognised."""
+    """The rows of ``docs``, all columns, whose language is recognised.  Null texts and texts without a letter go; repeated rows
+    and null ids are judged row by row; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

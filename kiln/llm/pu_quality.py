@@ -28,41 +28,51 @@ POSITIVES, UNLABELLED, CALIBRATION = 2500, 4000, 2000
 THRESHOLD = 0.3
 
 
+def risk_parts(z: np.ndarray, pos: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * E_p[loss(+)], E_u[loss(-)] - prior * E_p[loss(-)]) of margins ``z``."""
+    n_p, n_u = max(int(pos.sum()), 1), max(int((~pos).sum()), 1)
+    return prior * np.logaddexp(0, -z)[pos].sum() / n_p, np.logaddexp(0, z)[~pos].sum() / n_u - prior * np.logaddexp(0, z)[pos].sum() / n_p
+
+
+def risk_slope(z: np.ndarray, pos: np.ndarray, prior: float) -> np.ndarray:
+    """The derivative of the risk for each margin; where the bracket is negative, that of the bracket turned round."""
+    n_p, n_u = max(int(pos.sum()), 1), max(int((~pos).sum()), 1)
+    up = sigmoid(z)  # derivative of the loss of calling a row negative
+    if risk_parts(z, pos, prior)[1] < 0:
+        return np.where(pos, prior * up / n_p, -up / n_u)
+    return np.where(pos, prior * (up - 1) / n_p - prior * up / n_p, up / n_u)
+
+
 def fit_pu(x: Sparse, positive: np.ndarray, prior: float, epochs: int = 12, batch: int = 256, rate: float = 0.3) -> LinearModel:
     """Non-negative risk over minibatches that hold positives and unlabelled rows in their shares."""
     model = LinearModel(BITS, CHAR_SIZES, True)
 
     def slope(rows: np.ndarray, z: np.ndarray) -> np.ndarray:
-        pos = positive[rows]
-        n_p, n_u = max(int(pos.sum()), 1), max(int((~pos).sum()), 1)
-        up = sigmoid(z)  # derivative of the loss of calling a row negative
-        negative_risk = np.logaddexp(0, z)[~pos].sum() / n_u - prior * np.logaddexp(0, z)[pos].sum() / n_p
-        if negative_risk < 0:
-            return np.where(pos, prior * up / n_p, -up / n_u)
-        return np.where(pos, prior * (up - 1) / n_p - prior * up / n_p, up / n_u)
+        return risk_slope(z, positive[rows], prior)
 
     model.descend(x, slope, epochs, batch, rate)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality") -> LinearModel:
+          label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> LinearModel:
     """Fit on rows whose fold is not ``held_out`` only.
 
-    At most POSITIVES positives, UNLABELLED unlabelled texts, CALIBRATION
-    labelled rows (for the final probability curve); the prior is taken
-    from all of them.  With no positive row the model gives every text the estimated prior.
+    At most ``positives`` positives, ``unlabelled`` unlabelled texts and
+    ``calibration`` labelled rows (for the final probability curve), one
+    row per id; the prior is taken from all labelled rows.  With no positive row the model gives every text the estimated prior.
     """
     known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, parts) != held_out)) \
         .groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     good_rows, all_rows = known.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count("_y")).first()
     prior = float((good_rows + 1) / (all_rows + 2))
-    good = hashed.sample_of(known.where("_y = 1"), id_col, POSITIVES).withColumn("_role", F.lit(0))
-    curve = known.orderBy(F.xxhash64(F.concat(F.col(id_col).cast("string"), F.lit("/c"))), id_col).limit(CALIBRATION).withColumn("_role", F.lit(1))
-    web = hashed.sample_of(docs.select(id_col).where(fold(id_col, parts) != held_out).distinct(), id_col, UNLABELLED) \
+    good = hashed.sample_of(known.where("_y = 1"), id_col, positives).withColumn("_role", F.lit(0))
+    curve = known.orderBy(F.xxhash64(F.concat(F.col(id_col).cast("string"), F.lit("/c"))), id_col).limit(calibration).withColumn("_role", F.lit(1))
+    web = hashed.sample_of(docs.select(id_col).where(fold(id_col, parts) != held_out).distinct(), id_col, unlabelled) \
         .select(id_col, F.lit(-1).alias("_y"), F.lit(2).alias("_role"))
     picked = good.unionByName(curve).unionByName(web)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    rows = hashed.one_row_each(rows, [id_col, "_role", "_y"])
     got, x = hashed.collect_features(rows, [id_col, "_role", "_y"], BITS, CHAR_SIZES, True)
     role, y = got["_role"].to_numpy(), got["_y"].to_numpy()
     seen = y[role == 1]

@@ -71,7 +71,7 @@ def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_rows: int = SAMPLE_ROWS) -> LinearModel:
-    """Fit on at most ``sample_rows`` labelled rows; every fifth of them only calibrates.
+    """Fit on at most ``sample_rows`` labelled rows, one per id; every fifth of them only calibrates.
 
     Without any labelled text, or with one class only, the model gives
     every text the smoothed share of that class.
@@ -79,6 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = hashed.sample_of(labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("_y")),
                               id_col, sample_rows)
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    rows = hashed.one_row_each(rows, [id_col])
     got, x = hashed.collect_features(rows, [id_col, "_y"], BITS, CHAR_SIZES, True)
     model = LinearModel(BITS, CHAR_SIZES, True)
     y = got["_y"].to_numpy()
@@ -121,7 +122,8 @@ def score(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD, id_
 
 
 def keep(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is kept."""
+    """The rows of ``docs``, all columns, whose text is kept.  Null and empty texts fail the rules and go; repeated rows and null
+    ids are judged row by row; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
