@@ -41,11 +41,12 @@ def lookup(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left",
     return df.join(F.broadcast(stats) if size <= max_broadcast_bytes else stats, on=on, how=how)
 
 
-def _slices(df: DataFrame, bytes_each: int = 128 << 20) -> int:
-    """Range slices for ``df``: the session's shuffle partitions, or more where the planner's size estimate asks for it."""
+def _slices(df: DataFrame, bytes_each: int = 128 << 20, rows_each: int = 20_000) -> int:
+    """Range slices for a materialised ``df``, from its rows and bytes: the session's shuffle partitions, more where a slice
+    would exceed ``bytes_each``, fewer where there are not ``rows_each`` rows for each."""
     conf = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(conf, -(-size // bytes_each)), 100_000) if size < 1 << 60 else conf
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return max(1, min(max(conf, -(-int(size["b"] or 0) // bytes_each)), -(-size["n"] // rows_each)))
 
 
 def keep_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -75,7 +76,10 @@ def _ranged(df: DataFrame, order_by: list[str], num_partitions: int | None) -> D
     from kiln.session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or _slices(df)
+    n = num_partitions
+    if n is None:  # evaluated once: the range bounds are sampled from the same rows that are dealt
+        df = df.checkpoint(eager=True)
+        n = _slices(df)
     ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()

@@ -158,32 +158,29 @@ def bar(df: DataFrame, x: str, y: str | None = None, hue: str | None = None, z:
 
 
 def bar_bootstrap(df: DataFrame, x: str, y: str, key: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """V8 interval by Poisson bootstrap: each row gets a Poisson(1) weight
-    per replicate from a hash of (``key``, replicate), so the answer is
-    repeatable; tasks reduce their rows to two sums per (x, replicate), and
-    the 2.5/97.5% percentiles of the replicate means are taken per x."""
+    """V8 interval by Poisson bootstrap over (x, value, count): a value on n rows gets one Poisson(n) weight per replicate, so
+    the work follows the distinct values.  Draws come from a hash of (x, value), so the answer is repeatable under any
+    partitioning (``key`` is not needed for that); tasks reduce their values to two sums per (x, replicate), and the 2.5/97.5%
+    percentiles of the replicate means are taken per x."""
     import numpy as np
     import pandas as pd
     yy = F.col(y).cast("double")
-    data = df.where(F.col(x).isNotNull() & yy.isNotNull()).select(F.col(x).alias("_x"), yy.alias("_y"),
-                                                                   F.xxhash64(*key, F.lit(seed)).alias("_id"))
-    # weights 0..8 cover all but 1e-6 of the mass
-    cdf = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(8)])
-    salts = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    data = df.where(F.col(x).isNotNull() & yy.isNotNull()).groupBy(F.col(x).alias("_x"), yy.alias("_y")).agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_id", F.xxhash64("_x", "_y", F.lit(seed)))
 
     def partial(batches):
+        draw = np.random.Philox(0)
+        start, gen = draw.state, np.random.Generator(draw)
         sums: dict = {}
         for pdf in batches:
             for h, part in pdf.groupby("_x", sort=False):
                 acc = sums.setdefault(h, np.zeros((2, replicates)))
-                ids, ys = part["_id"].to_numpy().astype(np.uint64), part["_y"].to_numpy()
-                for k in range(0, len(ids), 2048):
-                    z = ids[k:k + 2048, None] ^ salts[None, :]
-                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    w = np.searchsorted(cdf, (z >> np.uint64(11)) / float(1 << 53), "right").astype(float)
-                    acc[0] += ys[k:k + 2048] @ w
-                    acc[1] += w.sum(0)
+                for v, n, i in zip(part["_y"].to_numpy(), part["_n"].to_numpy(), part["_id"].to_numpy().astype(np.uint64)):
+                    start["state"]["key"][0] = i  # a stream of its own for each value
+                    draw.state = start
+                    w = gen.poisson(n, replicates)
+                    acc[0] += v * w
+                    acc[1] += w
             if len(sums) > 200:
                 yield from packed(sums)
                 sums = {}
