@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from kiln.operators import cluster, models, reduce
@@ -171,6 +174,42 @@ register("grid_search_logistic")(lambda spark, sf: _cls(spark, sf, "Logistic Reg
 register("grid_search_ridge")(lambda spark, sf: _reg(spark, sf, "Ridge Regression", grid=True))
 
 
+@register("forest_invariants", """SELECT ceil(0.2 * count(*))::BIGINT AS test_rows, 100 AS trees, true AS known_classes, true AS above_guessing,
+true AS leaves_are_shares FROM lineitem""")
+def forest_invariants(spark, sf):
+    """The default forest: every test row gets a class, every leaf holds class shares, and accuracy is that of guessing or better."""
+    tr = models.train(_li_model_frame(spark, sf), "l_returnflag", ["l_quantity", "l_discount", "l_tax", "l_linestatus", "p_size"],
+                      "Random Forest", "classification", LI_KEY, params=_RF)
+    nodes = next(s for s in tr.model.stages if hasattr(s, "nodes")).nodes
+
+    def shares(pdfs):
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                v, f = np.frombuffer(r.value, float).reshape(-1, 3), np.frombuffer(r.feature, np.int32)
+                yield pd.DataFrame({"tree": [r.tree], "ok": [bool(r.part < 0 or np.allclose(v[f < 0].sum(axis=1), 1))]})
+
+    trees = nodes.mapInPandas(shares, "tree int, ok boolean").agg(F.count_distinct("tree").cast("int").alias("trees"), F.min("ok").alias("leaves_are_shares"))
+    seen = tr.predictions.agg(F.count(F.lit(1)).alias("test_rows"), F.min(F.col("predicted_class").isin("A", "N", "R")).alias("known_classes"))
+    return seen.crossJoin(trees).withColumn("above_guessing", F.lit(bool(tr.metrics["accuracy"] > 0.3)))  # one row each
+
+
+@register("boosting_stump", """WITH v AS (SELECT l_quantity AS q, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_quantity),
+c AS (SELECT q, sum(n) OVER (ORDER BY q) AS nl, sum(s) OVER (ORDER BY q) AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v),
+g AS (SELECT q, nl, n - nl AS nr, nl * (n - nl) / n * (sl / nl - (s - sl) / (n - nl)) ^ 2 AS gain FROM c WHERE nl < n),
+b AS (SELECT q FROM g ORDER BY gain DESC, q LIMIT 1)
+SELECT l_quantity <= (SELECT q FROM b) AS low_side, count(*) AS n, max(l_quantity)::DOUBLE AS top, round(avg(l_extendedprice), 4) AS prediction
+FROM lineitem GROUP BY ALL""")
+def boosting_stump(spark, sf):
+    """One stage of depth 1 at rate 1: the means on both sides of the cut that lowers the squared error most."""
+    from kiln.operators.boosting import fit_boosting
+    data = table(spark, sf, "lineitem").select(array_to_vector(F.array(F.col("l_quantity").cast("double"))).alias("scaled"),
+                                               F.col("l_extendedprice").cast("double").alias("label"), models.row_hash(LI_KEY), "l_quantity")
+    out = fit_boosting(data, 0, stages=1, learning_rate=1.0, max_depth=1).transform(data)
+    sides = out.groupBy(F.round("prediction", 4).alias("prediction")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("l_quantity").cast("double")).alias("top"))
+    low = sides.agg(F.min("top").alias("least"))
+    return sides.crossJoin(low).select((F.col("top") == F.col("least")).alias("low_side"), "n", "top", "prediction")  # two rows and one
+
+
 def _saved(spark, tr):
     path = f"{ensure_checkpoint_dir(spark)}/kiln-models/{uuid.uuid4().hex}"
     models.save_model(tr, path)
@@ -251,6 +290,13 @@ def dedup_fuzzy(spark, sf):
     return deduplicate(p, "fuzzy", column="p_name", threshold=80, order_by=["p_partkey"])
 
 
+@register("dedup_fuzzy_documents")
+def dedup_fuzzy_documents(spark, sf):
+    """Whole texts; a copy of similarity 96 or more to an earlier kept text goes."""
+    from kiln.operators.dedup import deduplicate
+    return deduplicate(table(spark, sf, "documents").select("doc_id", "text"), "fuzzy", column="text", threshold=95, order_by=["doc_id"]).select("doc_id")
+
+
 @register("power_boxcox_lambda")
 def power_boxcox_lambda(spark, sf):
     from kiln.operators.power import fit_lambda
