@@ -2,24 +2,33 @@
 
 Space is cut into cells by median splits of a bounded sample of the points
 (the tree has at most ``MAX_CELLS`` leaves, whatever the data's size, and
-is the only thing that every task holds).  The points of a cell are dealt
+is the only thing that every task holds).  A cell of more than
+``SPLIT_ROWS`` points is cut again, by a tree over a bounded sample of its
+own points; these trees are a table, the directory, which points and
+queries of the cell are joined with.  So cells hold about ``CELL_ROWS``
+points up to ``MAX_CELLS`` squared cells.  The points of a cell are dealt
 into blocks of bounded size, and so are the queries that must read it, so
 no task holds an unbounded group, even if a third of all points are equal.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.functions.frames import lookup
 from kiln.session import ensure_checkpoint_dir
 
 MAX_CELLS = 4096
 SAMPLE_ROWS = 65_536
 CELL_ROWS = 2048      # aimed-at points of a cell while there are fewer than MAX_CELLS cells
+SPLIT_ROWS = 8192     # points of a cell that is cut again
 BLOCK_ROWS = 4096     # points, or queries, of one block
+PLACE_ROWS = 65_536   # points, or queries, that meet one tree of the directory at once
 
 
 class SpaceTree:
@@ -120,10 +129,50 @@ def build_tree(points: DataFrame, key: str, x: str, least: int, cells: int | Non
     return SpaceTree(pts, cells or max(1, min(MAX_CELLS, n // CELL_ROWS)), least)
 
 
+def _directory(points: DataFrame, least: int) -> DataFrame:
+    """(cell, n, tree): the tree of every cell (of ``points(tid, x, cell)``) with more than SPLIT_ROWS points, from a bounded sample of it."""
+    counts = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT_ROWS)  # at most MAX_CELLS rows
+    picked = points.join(F.broadcast(counts), "cell").where(
+        F.pmod(F.xxhash64("tid", F.lit(5)), F.lit(1 << 30)) < F.lit(float(SAMPLE_ROWS) * (1 << 30)) / F.col("n"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        tree = SpaceTree(_matrix(pdf.sort_values("tid")["x"], 0), max(1, min(MAX_CELLS, n // CELL_ROWS)), least)
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "tree": [pickle.dumps(tree)]})
+
+    return picked.select("cell", "n", "tid", "x").groupBy("cell").applyInPandas(build, "cell int, tree binary").checkpoint(eager=True)
+
+
+def _cut_again(rows: DataFrame, directory: DataFrame, key: str, x: str, reach: bool) -> DataFrame:
+    """``rows`` (with a ``cell``) with cell and ``sub``, the cell inside it: where the point lies, or with ``reach`` one row for each
+    that comes within ``r``.  Rows of a cell without a tree have sub 0."""
+    names = directory.select("cell", F.lit(True).alias("_cut"))
+    marked = rows.join(F.broadcast(names), "cell", "left")  # at most MAX_CELLS rows
+    whole = marked.where(F.col("_cut").isNull()).drop("_cut").withColumn("sub", F.lit(0))
+    cut = marked.where("_cut").drop("_cut")
+    parts = cut.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PLACE_ROWS)).cast("int").alias("parts"))
+    cut = cut.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64(key, F.lit(9)), F.col("parts")).cast("int")).drop("parts")
+    trees = directory.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    trees = trees.select(F.col("cell").alias("tc"), F.col("part").alias("tp"), "tree")
+    columns = [c for c in cut.columns if c != "part"]
+
+    def place(tree: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in [*columns, "sub"]})
+        held, at = pickle.loads(tree["tree"].iloc[0]), _matrix(pdf[x], 0)
+        if not reach:
+            return pdf[columns].assign(sub=held.cell(at))
+        row, sub = held.near(at, pdf["r"].to_numpy())
+        return pdf[columns].iloc[row].assign(sub=sub)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != "part") + ", sub int"
+    return whole.unionByName(trees.groupBy("tc", "tp").cogroup(cut.groupBy("cell", "part")).applyInPandas(place, schema))
+
+
 def _dealt(rows: DataFrame, key: str, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with a ``cell`` get a ``block`` of at most about BLOCK_ROWS rows of it; and the number of blocks of each cell."""
-    counts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))  # at most MAX_CELLS rows
-    out = rows.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64(key, F.lit(salt)), F.col("blocks")).cast("int")).drop("blocks")
+    """Rows with ``cell`` and ``sub`` get a ``block`` of at most about BLOCK_ROWS rows of it; and the number of blocks of each."""
+    counts = rows.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")).checkpoint(eager=True)
+    out = lookup(rows, counts, ["cell", "sub"]).withColumn("block", F.pmod(F.xxhash64(key, F.lit(salt)), F.col("blocks")).cast("int")).drop("blocks")
     return out, counts
 
 
@@ -146,7 +195,11 @@ def nearest(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
     label = train.schema["label"].dataType.simpleString()
     pts = train.select("tid", "x", "label").mapInPandas(with_cell, f"tid long, x array<double>, label {label}, cell int")
-    pts, blocks = _dealt(pts.checkpoint(eager=True), "tid", 1)
+    pts = pts.checkpoint(eager=True)
+    directory = _directory(pts, max(8, k))
+    some = directory.limit(1).count() > 0
+    again = _cut_again if some else lambda rows, *_: rows.withColumn("sub", F.lit(0))
+    pts, blocks = _dealt(again(pts, directory, "tid", "x", False), "tid", 1)
     pts = pts.checkpoint(eager=True)
     best = f"qid long, d double, tid long, label {label}"
 
@@ -168,14 +221,16 @@ def nearest(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
         return pd.concat(parts)
 
     def meet(wanted: DataFrame) -> DataFrame:
-        """The k best of each (query, block): ``wanted`` has qid, qx, cell, block."""
-        sizes = wanted.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-        q = wanted.join(sizes, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).drop("parts")
-        p = pts.join(sizes, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        p = p.select(F.col("cell").alias("pc"), F.col("block").alias("pb"), F.col("part").alias("pp"), "tid", "x", "label")
-        return p.groupBy("pc", "pb", "pp").cogroup(q.groupBy("cell", "block", "part")).applyInPandas(top, best)
-
-    q = query.select("qid", "x").mapInPandas(with_cell, "qid long, x array<double>, cell int").withColumnRenamed("x", "qx").checkpoint(eager=True)
+        """The k best of each (query, block): ``wanted`` has qid, qx, cell, sub, block."""
+        on = ["cell", "sub", "block"]
+        sizes = wanted.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+        q = wanted.join(sizes, on).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).drop("parts")
+        p = pts.join(sizes, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        p = p.select(F.col("cell").alias("pc"), F.col("sub").alias("ps"), F.col("block").alias("pb"), F.col("part").alias("pp"), "tid", "x", "label")
+        return p.groupBy("pc", "ps", "pb", "pp").cogroup(q.groupBy(*on, "part")).applyInPandas(top, best)
+
+    q = query.select("qid", "x").mapInPandas(with_cell, "qid long, x array<double>, cell int").withColumnRenamed("x", "qx")
+    q = again(q, directory, "qid", "qx", False).checkpoint(eager=True)
     home = meet(q.withColumn("block", F.lit(0)))
     bound = home.groupBy("qid").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n"))
     bound = q.join(bound, "qid", "left").select("qid", "qx", F.when(F.col("n") >= k, F.col("r")).otherwise(F.lit(float("inf"))).alias("r"))
@@ -184,9 +239,10 @@ def nearest(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 at, cell = shared.value.near(_matrix(pdf["qx"], 0), pdf["r"].to_numpy())
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[at], "qx": pdf["qx"].to_numpy()[at], "cell": cell})
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[at], "qx": pdf["qx"].to_numpy()[at], "r": pdf["r"].to_numpy()[at], "cell": cell})
 
-    wanted = bound.mapInPandas(reach, "qid long, qx array<double>, cell int").join(F.broadcast(blocks), "cell")
+    reached = bound.mapInPandas(reach, "qid long, qx array<double>, r double, cell int")
+    wanted = lookup(again(reached, directory, "qid", "qx", True).drop("r"), blocks, ["cell", "sub"], how="inner")
     wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = meet(wanted.checkpoint(eager=True))
     w = Window.partitionBy("qid").orderBy("d", "tid")  # k rows per block that the query read

@@ -55,13 +55,24 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(df.columns)}, {stack}) as (`column`, null_count)")
 
 
+def _as_text(c: F.Column, kind: T.DataType) -> F.Column:
+    """A value as text, equal texts for equal values only (both zeros are one)."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (c + F.lit(0.0).cast(kind)).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return c.cast("string")
+
+
 def column_stats(df: DataFrame, sample_size: int = 5) -> DataFrame:
     """Dtype, distinct non-missing count, missing count, sample values.
 
-    Missing counts and samples come from one pass; each distinct count is
-    its own ``distinct().count()`` (a hash aggregate with partial
-    aggregation), which is cheaper than one pass expanding every row once
-    per column.  Samples are deterministic and bounded: the value with the
+    Missing counts and samples come from one pass; the distinct values of
+    all columns are counted exactly in another, as (column, value) rows
+    that tasks reduce to their distinct ones before the one shuffle.
+    Samples are deterministic and bounded: the value with the
     smallest hash under each of ``sample_size`` seeds (``min_by`` keeps one
     value per seed), de-duplicated."""
     aggs = []
@@ -72,10 +83,12 @@ def column_stats(df: DataFrame, sample_size: int = 5) -> DataFrame:
         aggs += [F.count_if(col.isNull()).alias(f"n{i}"),
                  F.array_compact(F.array_distinct(F.array(*picks))).alias(f"s{i}")]
     row = df.agg(*aggs).collect()[0]
+    cells = [F.struct(F.lit(i).alias("i"), _as_text(F.col(f"`{f.name}`"), f.dataType).alias("v")) for i, f in enumerate(df.schema.fields)]
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.i", "c.v").where("v IS NOT NULL").distinct()
+    distinct = {r["i"]: r["n"] for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for i, (c, f) in enumerate(zip(df.columns, df.schema.fields)):
-        distinct = df.select(c).where(F.col(c).isNotNull()).distinct().count()
-        rows.append((c, f.dataType.simpleString(), int(distinct), int(row[f"n{i}"]), list(row[f"s{i}"])))
+        rows.append((c, f.dataType.simpleString(), int(distinct.get(i, 0)), int(row[f"n{i}"]), list(row[f"s{i}"])))
     return df.sparkSession.createDataFrame(
         rows, "column string, dtype string, unique_count long, null_count long, sample_values array<string>")
 
