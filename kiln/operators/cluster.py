@@ -11,6 +11,7 @@ micro-cluster of its own, and an approximation of it otherwise.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -99,8 +100,11 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
     copies of those within ``eps`` of it.  It counts weights, then ties its
     core points to their smallest local neighbour chain; copies tie cells
     together, and connected components over those ties are the clusters.
-    A cell that cannot be cut further holds at most the points of an
-    area that the sample could not split.
+
+    Where points crowd, they do not go through tasks by area: a grid cell
+    of diagonal ``eps`` with more than ``HOT_ROWS`` of them is a clique of
+    core points as it is (``HotCells``).  What is left of any area of
+    diameter ``eps`` is bounded by the dimension.
     """
     cols = [c for c in columns if c in numeric_columns(df)]
     if not cols:
@@ -109,7 +113,9 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
     ensure_checkpoint_dir(spark)
     rows = df.na.drop(subset=cols).withColumn("_x", F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]))
     pts = with_global_index(rows.groupBy("_x").agg(F.count(F.lit(1)).cast("double").alias("w")), ["_x"], "id")
-    pts = pts.select(F.col("id").cast("long").alias("id"), F.col("_x").alias("x"), "w").checkpoint(eager=True)
+    every = pts.select(F.col("id").cast("long").alias("id"), F.col("_x").alias("x"), "w").checkpoint(eager=True)
+    hot = HotCells.of(every, len(cols), float(eps), min_samples)
+    pts = every.withColumn("near_hot", F.lit(0.0)) if hot is None else hot.others
     tree = spark.sparkContext.broadcast(build_tree(pts, "id", "x", 8))
 
     def spread(batches):
@@ -122,10 +128,10 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
 
     def weights(pdf: pd.DataFrame) -> pd.DataFrame:
         x, w, own = np.stack(pdf["x"].to_numpy()), pdf["w"].to_numpy(), np.flatnonzero(pdf["own"].to_numpy())
-        near = Near(x, eps)
-        return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "core": [bool(w[near.of(i)].sum() >= min_samples) for i in own]})
+        near, extra = Near(x, eps), pdf["near_hot"].to_numpy()
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "core": [bool(w[near.of(i)].sum() + extra[i] >= min_samples) for i in own]})
 
-    spread_pts = pts.mapInPandas(spread, "id long, x array<double>, w double, cell int, own boolean")
+    spread_pts = pts.mapInPandas(spread, "id long, x array<double>, w double, near_hot double, cell int, own boolean")
     core = spread_pts.groupBy("cell").applyInPandas(weights, "id long, core boolean").checkpoint(eager=True)
 
     def ties(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +157,8 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
             out += [(ids[i], ids[k], False) for k in np.unique(label[j[is_core[j]]])]
         return pd.DataFrame(out, columns=["id", "to", "core"])
 
-    tied = spread_pts.join(core, "id").groupBy("cell").applyInPandas(ties, "id long, to long, core boolean").checkpoint(eager=True)
+    tied = spread_pts.join(core, "id").groupBy("cell").applyInPandas(ties, "id long, to long, core boolean")
+    tied = (tied if hot is None else tied.unionByName(hot.ties(core))).checkpoint(eager=True)
     links = tied.where("core").select(F.col("id").alias("u"), F.col("to").alias("v"))
     roots = components(links)
     alone = tied.where("core").select(F.col("id").alias("node")).distinct()
@@ -159,10 +166,125 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
     numbers = with_global_index(named.select("root").distinct(), ["root"], "cluster").select("root", F.col("cluster").cast("long").alias("cluster"))
     cores = named.join(numbers, "root").select(F.col("node").alias("id"), "cluster")
     border = tied.where(~F.col("core")).join(cores.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    found = pts.join(cores.unionByName(border), "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = every.join(cores.unionByName(border), "id", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return lookup(rows, found.withColumnRenamed("x", "_x"), ["_x"], "inner").drop("_x")
 
 
+HOT_ROWS = 4096      # distinct points of a grid cell that is a clique of its own; also points of a block of it
+HOT_PARTS = 256      # boxes that such a cell is cut into at most
+MOST_STEPS = 20_000  # neighbouring grid cells; in more dimensions cells of diagonal ``eps`` are not looked at
+
+
+class HotCells:
+    """Grid cells of diagonal ``eps`` with many points: all are core points of one cluster.
+
+    Their points are cut into boxes, and the boxes into blocks.  A point
+    (or box of another cell) that is within ``eps`` of all of a box, or of
+    none of it, is settled by the box's corners; only where no box settles
+    it are points compared, block by block.
+    """
+
+    def __init__(self, others: DataFrame, points: DataFrame, touches: DataFrame, links: DataFrame):
+        self.others, self.points, self.touches, self.links = others, points, touches, links
+
+    def ties(self, core: DataFrame) -> DataFrame:
+        """(id, to, core): the cells' points to their first ones, cells to cells, and the other points near them."""
+        near = self.touches.join(core, "id").select("id", F.col("first").alias("to"), "core")
+        own = self.points.select("id", F.col("first").alias("to"), F.lit(True).alias("core"))
+        return own.unionByName(self.links.select(F.col("a").alias("id"), F.col("b").alias("to"), F.lit(True).alias("core"))).unionByName(near)
+
+    @classmethod
+    def of(cls, pts: DataFrame, d: int, eps: float, min_samples: int) -> HotCells | None:
+        reach = math.ceil(math.sqrt(d))
+        if eps <= 0 or (2 * reach + 1) ** d > MOST_STEPS:
+            return None
+        side = eps / math.sqrt(d) * (1 - 1e-9)
+        grid = pts.withColumn("g", F.transform("x", lambda v: F.floor(v / F.lit(side))))
+        cells = grid.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > max(HOT_ROWS, min_samples)).checkpoint(eager=True)
+        if not cells.limit(1).count():
+            return None
+        most = max(1, int(HOT_PARTS ** (1 / d) + 1e-9))
+        cut = F.least(F.lit(most), F.ceil(F.pow(F.col("n") / F.lit(HOT_ROWS), F.lit(1.0 / d)))).cast("int")
+        inside = lookup(grid, cells.withColumn("cut", cut), ["g"], "inner")
+        box = F.lit(0)
+        for i in range(d):
+            step = F.floor((F.col("x")[i] / F.lit(side) - F.col("g")[i]) * F.col("cut"))
+            box = box * F.col("cut") + F.least(F.greatest(step, F.lit(0)), F.col("cut") - 1)
+        inside = inside.select("id", "x", "w", "first", box.cast("int").alias("box")).checkpoint(eager=True)
+        sizes = inside.groupBy("first", "box").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_ROWS)).cast("int").alias("blocks"))
+        points = lookup(inside, sizes, ["first", "box"], "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).checkpoint(eager=True)
+        corners = [F.array(*[f(F.col("x")[i]) for i in range(d)]).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        boxes = points.groupBy("first", "box").agg(*corners, F.sum("w").alias("bw"), F.max("blocks").alias("blocks")).checkpoint(eager=True)
+
+        # the cells around, by steps from the few hot ones
+        steps = F.array(*[F.array(*[F.lit(int(v)).cast("long") for v in s]) for s in itertools.product(range(-reach, reach + 1), repeat=d) if any(s)])
+        around = cells.select("first", "g", F.explode(steps).alias("s")).select("first", F.zip_with("g", "s", lambda a, b: a + b).alias("g"))
+        rest = grid.join(cells.select("g"), "g", "left_anti")
+        pairs = rest.join(around, "g").select("id", "x", "first").join(boxes, "first")
+        least, most_ = _apart([F.col("x")[i] for i in range(d)], [F.col("x")[i] for i in range(d)], d), _across([F.col("x")[i] for i in range(d)], [F.col("x")[i] for i in range(d)], d)
+        pairs = pairs.where(least <= F.lit(eps * eps * (1 + 1e-9))).withColumn("whole", most_ <= F.lit(eps * eps * (1 - 1e-9))) \
+            .select("id", "x", "first", "box", "bw", "blocks", "whole").checkpoint(eager=True)
+        sure = pairs.where("whole").groupBy("id", "first").agg(F.sum("bw").alias("sw")).checkpoint(eager=True)
+        total = sure.groupBy("id").agg(F.sum("sw").alias("total"))
+        open_ = pairs.where("NOT whole").join(sure, ["id", "first"], "left").join(total, "id", "left") \
+            .where(F.col("sw").isNull() | (F.coalesce("total", F.lit(0.0)) < min_samples))
+        asked = open_.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("first").alias("qf"), F.col("box").alias("qb"),
+                             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qk"))
+
+        def within(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            if not len(held) or not len(wanted):
+                return pd.DataFrame({"id": [], "first": [], "sw": []}).astype({"id": "int64", "first": "int64", "sw": "float64"})
+            p, w, q = np.stack(held["x"].to_numpy()), held["w"].to_numpy(), np.stack(wanted["qx"].to_numpy())
+            sums = np.concatenate([(((q[lo:lo + 256, None, :] - p[None, :, :]) ** 2).sum(2) <= eps * eps) @ w for lo in range(0, len(q), 256)])
+            return pd.DataFrame({"id": wanted["qid"].to_numpy(), "first": wanted["qf"].to_numpy(), "sw": sums})[sums > 0]
+
+        exact = points.groupBy("first", "box", "block").cogroup(asked.groupBy("qf", "qb", "qk")).applyInPandas(within, "id long, first long, sw double")
+        near = sure.unionByName(exact.select("id", "first", "sw")).checkpoint(eager=True)
+        extra = near.groupBy("id").agg(F.sum("sw").alias("near_hot"))
+        others = rest.select("id", "x", "w").join(extra, "id", "left").select("id", "x", "w", F.coalesce("near_hot", F.lit(0.0)).alias("near_hot")).checkpoint(eager=True)
+        return cls(others, points.select("id", "first"), near.select("id", "first").distinct(), cls._links(cells, around, boxes, points, d, eps))
+
+    @staticmethod
+    def _links(cells, around, boxes, points, d: int, eps: float) -> DataFrame:
+        """(a, b): hot cells with points within ``eps`` of each other."""
+        met = around.withColumnRenamed("first", "a").join(cells.select("g", F.col("first").alias("b")), "g").where("a < b").select("a", "b")
+        left = boxes.select(F.col("first").alias("a"), F.col("box").alias("abox"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("blocks").alias("ablocks"))
+        right = boxes.select(F.col("first").alias("b"), F.col("box").alias("bbox"), "lo", "hi", F.col("blocks").alias("bblocks"))
+        both = met.join(left, "a").join(right, "b")  # at most HOT_PARTS squared rows per pair of cells
+        lo, hi = [F.col("alo")[i] for i in range(d)], [F.col("ahi")[i] for i in range(d)]
+        both = both.where(_apart(lo, hi, d) <= F.lit(eps * eps * (1 + 1e-9))).withColumn("whole", _across(lo, hi, d) <= F.lit(eps * eps * (1 - 1e-9))).checkpoint(eager=True)
+        sure = both.where("whole").select("a", "b").distinct()
+        open_ = both.where("NOT whole").join(sure, ["a", "b"], "left_anti")
+        asked = open_.select("a", "b", "abox", "bbox", F.explode(F.sequence(F.lit(0), F.col("ablocks") - 1)).alias("ablock"), "bblocks") \
+            .select("a", "b", "abox", "bbox", "ablock", F.explode(F.sequence(F.lit(0), F.col("bblocks") - 1)).alias("bblock"))
+        on = ["a", "b", "abox", "bbox", "ablock", "bblock"]
+        one = points.select(F.col("first").alias("a"), F.col("box").alias("abox"), F.col("block").alias("ablock"), "x").join(asked, ["a", "abox", "ablock"])
+        two = points.select(F.col("first").alias("b"), F.col("box").alias("bbox"), F.col("block").alias("bblock"), "x").join(asked, ["b", "bbox", "bblock"])
+        two = two.select(*[F.col(c).alias(f"{c}2") for c in on], F.col("x").alias("y"))
+
+        def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(p) or not len(q):
+                return pd.DataFrame({"a": [], "b": []}).astype("int64")
+            x, y = np.stack(p["x"].to_numpy()), np.stack(q["y"].to_numpy())
+            hit = any((((x[lo:lo + 256, None, :] - y[None, :, :]) ** 2).sum(2) <= eps * eps).any() for lo in range(0, len(x), 256))
+            return pd.DataFrame({"a": [int(p["a"].iloc[0])] * hit, "b": [int(p["b"].iloc[0])] * hit}).astype("int64")
+
+        exact = one.select(*on, "x").groupBy(*on).cogroup(two.groupBy(*[f"{c}2" for c in on])).applyInPandas(meet, "a long, b long")
+        return sure.unionByName(exact.distinct()).checkpoint(eager=True)
+
+
+def _apart(low: list, high: list, d: int) -> F.Column:
+    """The square of the least distance between the box (low, high) and that of columns lo, hi."""
+    gaps = [F.greatest(F.col("lo")[i] - high[i], low[i] - F.col("hi")[i], F.lit(0.0)) for i in range(d)]
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
+def _across(low: list, high: list, d: int) -> F.Column:
+    """The square of the largest distance between points of both boxes, at most."""
+    gaps = [F.greatest(high[i] - F.col("lo")[i], F.col("hi")[i] - low[i]) for i in range(d)]
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
 class Near:
     """Points of one block by buckets of side ``eps``: those within ``eps`` of a point are in its own or an adjacent bucket
     (on the first three axes)."""
