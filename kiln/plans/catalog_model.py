@@ -304,6 +304,36 @@ def power_boxcox_lambda(spark, sf):
     return spark.createDataFrame([(float(lam),)], "lambda double")
 
 
+@register("power_boxcox_given", "SELECT l_orderkey, l_linenumber, round((sqrt(l_extendedprice + 1) - 1) / 0.5, 6) AS t FROM lineitem")
+def power_boxcox_given(spark, sf):
+    from kiln.operators.power import power_transform
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("t"))
+    return rounded(power_transform(li, "t", "boxcox", lam=0.5)[0], 6)
+
+
+@register("kmeans_invariants", "SELECT count(*) AS rows, 4 AS clusters, true AS at_nearest_mean FROM lineitem")
+def kmeans_invariants(spark, sf):
+    """Every row has a cluster, no cluster is empty, and all but a few rows are in the cluster of the nearest mean."""
+    names = ["l_quantity", "l_discount"]
+    out = cluster.kmeans(table(spark, sf, "lineitem").select(*names), names, 4)
+    means = {r["cluster"]: [float(r[n]) for n in names] for r in out.groupBy("cluster").agg(*[F.avg(n).alias(n) for n in names]).collect()}  # 4 rows
+    apart = [F.struct(sum(((F.col(n) - F.lit(v)) * (F.col(n) - F.lit(v)) for n, v in zip(names, m)), F.lit(0.0)).alias("d"), F.lit(k).alias("k")) for k, m in means.items()]
+    right = (F.least(*apart)["k"] == F.col("cluster")).cast("double")
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster").cast("int").alias("clusters"), (F.avg(right) > 0.95).alias("at_nearest_mean"))
+
+
+@register("isolation_forest_invariants", "SELECT count(*) AS rows, true AS share_kept, true AS inliers_score_less FROM lineitem")
+def isolation_forest_invariants(spark, sf):
+    """Every row has a score, at most the asked share lies above the threshold, and planted far values score above the median one."""
+    from kiln.operators.iforest import isolation_scores
+    price = F.when(F.col("l_orderkey") % 997 == 0, F.col("l_extendedprice") * 20).otherwise(F.col("l_extendedprice")).cast("double")
+    li = table(spark, sf, "lineitem").select(price.alias("v"), (F.col("l_orderkey") % 997 == 0).alias("far"))
+    scored, threshold = isolation_scores(li, ["v"], 0.05)
+    far = F.avg(F.when(F.col("far") & (F.col("v") > 200_000), F.col("anomaly_score")))
+    return scored.agg(F.count("anomaly_score").alias("rows"), (F.avg((F.col("anomaly_score") > threshold).cast("double")) <= 0.05 + 1e-9).alias("share_kept"),
+                      F.coalesce(far > F.avg("anomaly_score"), F.lit(True)).alias("inliers_score_less"))
+
+
 @register("power_yeojohnson", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   round(CASE WHEN l_tax - 0.04 >= 0 THEN (pow(l_tax - 0.04 + 1, 0.5) - 1) / 0.5
              ELSE -(pow(1 - (l_tax - 0.04), 1.5) - 1) / 1.5 END, 9) AS t FROM lineitem""")
