@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm import hashed
-from kiln.llm.common import fold
+from kiln.llm.common import fold, materialised
 from kiln.llm.hashed import Sparse, groups
 from kiln.llm.textcore import Words, batch_slices, per_text
 
@@ -120,10 +120,12 @@ def train(docs: DataFrame, parts: int = 3, held_out: int = 1, id_col: str = "doc
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, parts) != held_out)) \
         .select(id_col, F.col(lang_col).alias("_y"), F.col(text_col).alias("text"))
     keys = rows.select(id_col, "_y").where(F.col(id_col).isNotNull()).distinct()
-    languages = rows.select("_y").distinct().count()
-    each = max(LEAST_ROWS, sample_rows // max(languages, 1))
-    place = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col))
-    picked = keys.withColumn("_place", place).where(F.col("_place") <= each).drop("_place")  # each task sends ``each`` rows per language
+    sizes = materialised(keys.groupBy("_y").agg(F.count(F.lit(1)).alias("_n")))  # one row per language
+    each = max(LEAST_ROWS, sample_rows // max(sizes.count(), 1))
+    drawn = F.xxhash64(F.col(id_col).cast("string"))
+    likely = drawn.cast("double") <= F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("_n"))  # twice what is wanted
+    place = F.row_number().over(Window.partitionBy("_y").orderBy(drawn, id_col))
+    picked = keys.join(F.broadcast(sizes), "_y").where(likely).select(id_col, "_y").withColumn("_place", place).where(F.col("_place") <= each).drop("_place")
     sample = hashed.one_row_each(rows.join(F.broadcast(picked), [id_col, "_y"]), [id_col, "_y"])
     got, x = hashed.collect_features(sample, [id_col, "_y"], BITS, CHAR_SIZES, False)
     names = sorted(set(got["_y"]))

@@ -17,6 +17,7 @@ the plan maps (length, rank) to a sequence and an offset.
 
 from __future__ import annotations
 
+import logging
 import sys
 from collections import Counter
 
@@ -31,6 +32,8 @@ from kiln.llm.pieces import crc, pieces
 from kiln.llm.textcore import batch_slices
 
 Plan = list[tuple[tuple[int, ...], int]]
+#: Branches that are ended by best-fit decreasing once the nodes are used up.
+ENDS = 200
 
 
 def lower_bound(hist: dict[int, int], length: int) -> int:
@@ -134,12 +137,43 @@ def fillings(hist: dict[int, int], room: int, most: int, parts: int) -> list[tup
     return found[:most] or [(sizes[0],)]
 
 
+def fullest(hist: dict[int, int], room: int, longest: bool = True) -> tuple[int, ...]:
+    """The filling of ``room`` with any number of pieces that leaves the least waste, of the longest (or shortest) pieces first.
+
+    Sums that the lengths yet to come reach are bits of a number, so a piece is taken only if it still leads to the best sum.
+    """
+    sizes = sorted((k for k, c in hist.items() if c and k <= room), reverse=longest)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # by the number of lengths from the last on
+    for k in reversed(sizes):
+        sums, times, step = reach[-1], min(hist[k], room // k), 1
+        while times:  # as many as there are, in doubling steps
+            take = min(step, times)
+            sums |= sums << (take * k)
+            times, step = times - take, 2 * step
+        reach.append(sums & mask)
+    left, out = reach[-1].bit_length() - 1, []
+    for i, k in enumerate(sizes):
+        below = reach[len(sizes) - 1 - i]
+        times = min(hist[k], left // k)
+        while not below >> (left - times * k) & 1:
+            times -= 1
+        out += [k] * times
+        left -= times * k
+    return tuple(sorted(out, reverse=True))
+
+
 def bin_completion(hist: dict[int, int], length: int, branches: int = 3, parts: int = 4, nodes: int = 3000) -> Plan:
     """Patterns with their multiplicities that hold every piece of the histogram.
 
-    ``nodes`` bounds the search (each node completes all sequences around
-    one largest length at once); the best plan found so far is kept, and
-    never is worse than best-fit decreasing.
+    Fillings of up to ``parts`` pieces are enumerated; each is filled up
+    with any number of shorter pieces, and the fullest filling of any
+    number of pieces is tried as well, of the longest pieces first in one
+    search and of the shortest in another.  ``nodes`` bounds each (every
+    node completes all sequences around one largest length at once); past
+    it, open branches end by best-fit decreasing.  The best plan found is
+    kept, and never is worse than best-fit decreasing; the log says which
+    of the two it is.
     """
     hist = {int(k): int(c) for k, c in hist.items() if c}
     if not hist:
@@ -148,7 +182,7 @@ def bin_completion(hist: dict[int, int], length: int, branches: int = 3, parts:
     best = best_fit_decreasing(hist, length)
     count = lambda plan: sum(m for _, m in plan)
     tokens = sum(k * c for k, c in hist.items())
-    seen = 0
+    seen, longest = 0, True
 
     def descend(left: dict[int, int], plan: Plan, bins: int, waste: int) -> None:
         nonlocal best, seen
@@ -157,13 +191,24 @@ def bin_completion(hist: dict[int, int], length: int, branches: int = 3, parts:
                 best = list(plan)
             return
         seen += 1
-        if seen > nodes or count(best) == least:
+        if count(best) == least:
             return
         if waste > (count(best) - 1) * length - tokens:  # this waste already costs a sequence more
             return
+        if seen > nodes:
+            if seen < nodes + ENDS:
+                rest = best_fit_decreasing(left, length)
+                if bins + count(rest) < count(best):
+                    best = plan + rest
+            return
         top = max(left)
         left[top] -= 1
-        options = fillings(left, length - top, branches if seen < nodes // 2 else 1, parts)
+        full = fullest(left, length - top, longest)
+        options = fillings(left, length - top, branches, parts) if seen < nodes // 2 else []
+        if sum(full) > max((sum(o) for o in options), default=-1) or not options:
+            options = [full, *options]
+        elif full not in options:
+            options.append(full)
         left[top] += 1
         for rest in options:
             need = Counter((top, *rest))
@@ -178,7 +223,7 @@ def bin_completion(hist: dict[int, int], length: int, branches: int = 3, parts:
             pattern = (top, *rest)
             spare = length - sum(pattern)
             if rest and spare >= min(after, default=length + 1):  # still room: fill it up with the longest that fit
-                fill = fillings(after, spare, 1, 2)[0]
+                fill = fullest(after, spare, longest)
                 if fill:
                     pattern = pattern + fill
                     need = Counter(pattern)
@@ -195,12 +240,17 @@ def bin_completion(hist: dict[int, int], length: int, branches: int = 3, parts:
             descend(after, plan, bins + times, waste + spare * times)
             plan.pop()
 
+    first = count(best)
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
     try:
-        descend(dict(hist), [], 0, 0)
+        for longest in (True, False):  # the second search takes the shortest pieces beside the longest
+            seen = 0
+            descend(dict(hist), [], 0, 0)
     finally:
         sys.setrecursionlimit(limit)
+    logging.getLogger(__name__).info("%s: %d sequences, best-fit decreasing %d, at least %d",
+                                     "bin completion" if count(best) < first else "best-fit decreasing", count(best), first, least)
     return best
 
 

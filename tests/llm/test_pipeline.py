@@ -43,5 +43,6 @@ def test_registered():
     queries = entry.queries()
     assert {n for n in queries if n.startswith("op") and n[2].isdigit()} == {
         "op1_bpe_roundtrip", "op2_secret_scan", "op3_pu_quality", "op4_quality_rules", "op5_token_counts", "op6_document_fingerprints",
-        "op7_token_matrix", "op8_jaccard_join", "op9_language_id", "op10_best_fit_packing"}
+        "op7_token_matrix", "op8_jaccard_join", "op9_language_id", "op10_best_fit_packing", "op11_exact_dedup", "op12_conversation_repair",
+        "op13_lexical_search"}
     assert queries["pipeline"] is corpus_pipeline.run
