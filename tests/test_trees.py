@@ -189,3 +189,33 @@ def test_booster_of_one_class_and_many_values(spark):
     xs = rng.normal(size=(1500, 1))
     m = boosting.fit_boosting(table(spark, xs, 3 * xs[:, 0]), 0, 30, 0.3, 3)
     assert m.loss[-1] < 0.02 * m.loss[0] and len(json.loads(m.getOrDefault(m.spec))["stages"]) == 30
+
+
+def test_rows_find_their_leaf_by_the_bits_of_the_cuts():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 40, size=(3, 500)).astype(np.uint8)
+    for cuts in (0, 1, 7, 10, 20):  # none, few, a wide code, and more than a code holds
+        tree = {"feature": [-1], "bin": [0], "left": [-1], "right": [-1]}
+        for _ in range(cuts):
+            node = int(rng.choice(np.flatnonzero(np.array(tree["feature"]) < 0)))
+            tree["feature"][node], tree["bin"][node] = int(rng.integers(3)), int(rng.integers(40))
+            tree["left"][node], tree["right"][node] = len(tree["feature"]), len(tree["feature"]) + 1
+            for c, v in (("feature", -1), ("bin", 0), ("left", -1), ("right", -1)):
+                tree[c] += [v, v]
+        tree = {c: np.array(v) for c, v in tree.items()}
+        nodes, code = boosting.paths(tree, bins)
+        assert (nodes[code] == trees.route({**tree, "threshold": tree["bin"]}, bins.T)).all()
+
+
+def test_radix_order_is_the_stable_order():
+    rng = np.random.default_rng(4)
+    for nodes, ranks in ((1, 5), (300, 40), (5000, 900), (1 << 20, 1 << 18)):
+        node, rank = rng.integers(0, nodes, 3000), rng.integers(0, ranks, 3000)
+        assert (trees.sorted_by(node, rank) == np.lexsort((rank, node))).all()
+
+
+def test_trees_are_grown_in_many_tasks_whatever_the_input_files(spark):
+    x, y = make(3, 400)
+    model = forest.fit_forest(table(spark, x, y, 1), 3, 24)  # one partition, as a file of one row group
+    tasks = model.nodes.where("part >= 0").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert tasks <= 4  # of 24 trees; they were put together by their few bytes before
