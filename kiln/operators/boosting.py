@@ -31,7 +31,10 @@ from kiln.session import ensure_checkpoint_dir
 BINS = 255            # cuts per feature at most
 EDGE_SAMPLE = 50_000  # rows that the cuts are taken from (all rows, if fewer)
 KEEP = 10             # stages between two writes of the scores
-TASK_CELLS = 1 << 20  # rows x features of a task
+BLOCK_ROWS = 1 << 16  # rows of a block
+LEAST_CELLS = 1 << 18 # rows x features of a task, until all cores have one
+TASK_CELLS = 1 << 23  # rows x features of a task at most
+CODE_BITS = 12        # cuts of a tree that is applied by one lookup
 
 
 # ------------------------------------------------------------- losses
@@ -87,32 +90,54 @@ def cut_points(data: DataFrame, rows: int) -> list[np.ndarray]:
 
 
 def _blocks(data: DataFrame, cuts: list[np.ndarray], start: np.ndarray) -> DataFrame:
-    """(n, bins, y, scores): blocks of rows as binary columns."""
+    """(n, bins, y, scores): blocks of rows as binary columns, feature by feature and tree by tree."""
     def pack(batches):
+        held, rows = [], 0
+
+        def block():
+            x, y = (np.concatenate(p) for p in zip(*held))
+            b = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.uint8)
+            return pd.DataFrame({"n": [len(y)], "bins": [b.tobytes()], "y": [y.tobytes()], "scores": [np.repeat(start, len(y)).tobytes()]})
+
         for pdf in batches:
             if len(pdf):
-                x = clean(np.stack(pdf["x"].to_numpy()).astype(float))
-                b = np.column_stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.uint8)
-                yield pd.DataFrame({"n": [len(pdf)], "bins": [b.tobytes()], "y": [pdf["y"].to_numpy(float).tobytes()],
-                                    "scores": [np.tile(start, (len(pdf), 1)).tobytes()]})
+                held.append((clean(np.stack(pdf["x"].to_numpy()).astype(float)), pdf["y"].to_numpy(float)))
+                rows += len(pdf)
+                if rows >= BLOCK_ROWS:
+                    yield block()
+                    held, rows = [], 0
+        if held:
+            yield block()
 
     return data.select("x", "y").mapInPandas(pack, "n long, bins binary, y binary, scores binary")
 
 
 def _unpack(r, d: int, trees: int):
-    bins = np.frombuffer(r.bins, np.uint8).reshape(-1, d)
-    return bins, np.frombuffer(r.y, float), np.frombuffer(r.scores, float).reshape(-1, trees).copy()
+    """The block's bins (features x rows), targets and scores (trees x rows)."""
+    return np.frombuffer(r.bins, np.uint8).reshape(d, -1), np.frombuffer(r.y, float), np.frombuffer(r.scores, float).reshape(trees, -1).copy()
+
 
+def paths(tree: dict, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, code): the leaf (or open node) of every row of ``bins`` (features x rows) is ``nodes[code]``.
 
-def _binned(tree: dict) -> dict:
-    """The tree over bin numbers instead of values."""
-    return {**tree, "threshold": tree["bin"]}
+    A code holds a bit for each cut, one comparison of a whole column; ``nodes`` has the end of each combination of bits."""
+    cuts = np.flatnonzero(tree["feature"] >= 0)  # parents come before their children
+    if len(cuts) > CODE_BITS:
+        return np.arange(len(tree["feature"])), route({**tree, "threshold": tree["bin"]}, bins.T)
+    code = np.zeros(bins.shape[1], dtype=np.uint8 if len(cuts) <= 8 else np.uint16)
+    nodes, combination = np.zeros(1 << len(cuts), dtype=np.int64), np.arange(1 << len(cuts))
+    for bit, i in enumerate(cuts):
+        code |= (bins[tree["feature"][i]] > tree["bin"][i]).astype(code.dtype) << code.dtype.type(bit)
+        here = nodes == i
+        nodes[here] = np.where(combination[here] >> bit & 1, tree["right"][i], tree["left"][i])
+    return nodes, code
 
 
 def _add_trees(scores: np.ndarray, bins: np.ndarray, recent: list, rate: float) -> None:
     for stage in recent:
         for k, tree in enumerate(stage):
-            scores[:, k] += rate * tree["value"][route(_binned(tree), bins), 0]
+            nodes, code = paths(tree, bins)
+            scores[k] += (rate * tree["value"][:, 0])[nodes][code]
 
 
 # ------------------------------------------------------------- fit
@@ -133,8 +158,10 @@ def fit_boosting(data: DataFrame, classes: int, stages: int = 100, learning_rate
     start = start_scores(classes, share, float(total["mean"]))
     trees = len(start)
     cuts = cut_points(base, n)
-    tasks = max(1, -(-n * d // TASK_CELLS))
-    blocks = _blocks(base.coalesce(tasks), cuts, start).checkpoint(eager=True)
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-n * d // TASK_CELLS), min(cores, -(-n * d // LEAST_CELLS)))
+    # dealt evenly once: files of a few row groups would leave the passes to a few tasks
+    blocks = _blocks(base.coalesce(1) if tasks == 1 else base.repartition(tasks), cuts, start).checkpoint(eager=True)
     done, recent, losses = [], [], []
     for _ in range(stages):
         stage, loss = _fit_stage(blocks, tasks, d, trees, classes, recent, learning_rate, max_depth, cuts)
@@ -181,36 +208,44 @@ def _fit_stage(blocks: DataFrame, tasks: int, d: int, trees: int, classes: int,
                     any_ = True
                     bins, y, scores = _unpack(r, d, trees)
                     _add_trees(scores, bins, recent, rate)
-                    g, h, part = gradients(classes, y, scores)
+                    g, h, part = gradients(classes, y, scores.T)
                     lost += part
                     for k in range(trees):
+                        mine = [i for i, (kk, _) in enumerate(asked) if kk == k]  # the tree's nodes, one after the other
+                        if not mine:
+                            continue
                         slot = np.full(len(now[k]["feature"]), -1)
-                        for i, (kk, node) in enumerate(asked):
-                            if kk == k:
-                                slot[node] = i
-                        at = slot[route(_binned(now[k]), bins)] if depth else np.full(len(y), slot[0])
-                        row = np.flatnonzero(at >= 0)
+                        slot[[asked[i][1] for i in mine]] = np.arange(len(mine))
+                        at, of, gk, hk = np.zeros(1, dtype=np.int64), bins, g[:, k], h[:, k]
+                        if depth:
+                            nodes, code = paths(now[k], bins)
+                            at = slot[nodes][code]
+                            if at.min() < 0:
+                                row = np.flatnonzero(at >= 0)
+                                at, of, gk, hk = at[row], bins[:, row], gk[row], hk[row]
+                            at = at * width
+                        sums_ = acc[mine[0]:mine[-1] + 1]
                         for f in range(d):
-                            cell = at[row] * width + bins[row, f]
-                            for j, v in enumerate((None, g[row, k], h[row, k])):
-                                acc[:, f, :, j] += np.bincount(cell, v, minlength=len(asked) * width).reshape(-1, width)
+                            cell = at + of[f]
+                            for j, v in enumerate((None, gk, hk if classes else None)):  # of a squared loss the curvature is 1
+                                sums_[:, f, :, j] += np.bincount(cell, v, minlength=len(mine) * width).reshape(-1, width)
             if any_:
-                yield pd.DataFrame({"i": np.repeat(np.arange(len(asked)), d), "f": np.tile(np.arange(d), len(asked)),
-                                    "cells": [acc[i, f].tobytes() for i in range(len(asked)) for f in range(d)], "loss": lost})
+                yield pd.DataFrame({"i": np.arange(len(asked)), "cells": [a.tobytes() for a in acc], "loss": lost})
 
         def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum([np.frombuffer(c, float) for c in pdf["cells"]], axis=0).reshape(width, 3)
-            f = int(pdf["f"].iloc[0])
-            gain, at = best_binned_cut(total[:, 0], total[:, 1:2])
-            left, whole = total[:at + 1].sum(axis=0), total.sum(axis=0)
-            return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "f": [f], "gain": [gain], "bin": [at], "loss": [float(pdf["loss"].sum())],
-                                 "left": [left.tolist()], "whole": [whole.tolist()]})
-
-        partial = blocks.mapInPandas(sums, "i int, f int, cells binary, loss double")
-        if tasks == 1:  # nothing to add up: one row per node and feature
-            rows = [choose(part).iloc[0].to_dict() for _, part in partial.toPandas().groupby(["i", "f"])]
+            """Each feature's best cut of one node."""
+            every = np.sum([np.frombuffer(c, float) for c in pdf["cells"]], axis=0).reshape(d, width, 3)
+            i, lost, out = int(pdf["i"].iloc[0]), float(pdf["loss"].sum()), []
+            for f, total in enumerate(every):
+                gain, at = best_binned_cut(total[:, 0], total[:, 1:2])
+                out.append((i, f, gain, at, lost, total[:at + 1].sum(axis=0).tolist(), total.sum(axis=0).tolist()))
+            return pd.DataFrame(out, columns=["i", "f", "gain", "bin", "loss", "left", "whole"])
+
+        partial = blocks.mapInPandas(sums, "i int, cells binary, loss double")
+        if tasks == 1:  # nothing to add up: one row per node
+            rows = [row for _, part in partial.toPandas().groupby("i") for row in choose(part).to_dict("records")]
         else:
-            rows = partial.groupBy("i", "f").applyInPandas(
+            rows = partial.groupBy("i").applyInPandas(
                 choose, "i int, f int, gain double, bin int, loss double, left array<double>, whole array<double>").collect()
         if depth == 0:
             loss = next(r["loss"] for r in rows)
