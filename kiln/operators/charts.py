@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.functions.frames import lookup, ordered_blocks, with_global_index
+from kiln.functions.frames import dealt_evenly, lookup, ordered_blocks, with_global_index
 from kiln.functions.quantile import grouped_quantiles, quantiles
 from kiln.functions.special import norm_ppf_col
 from kiln.functions.text import ENGLISH_STOP_WORDS
@@ -190,7 +190,7 @@ def bar_bootstrap(df: DataFrame, x: str, y: str, key: list[str], replicates: int
         for h, acc in sums.items():
             yield pd.DataFrame({"_x": [h] * replicates, "_b": np.arange(replicates, dtype="int32"), "s": acc[0], "w": acc[1]})
 
-    parts = data.mapInPandas(partial, f"_x {df.schema[x].dataType.simpleString()}, _b int, s double, w double")
+    parts = dealt_evenly(data, "_id").mapInPandas(partial, f"_x {df.schema[x].dataType.simpleString()}, _b int, s double, w double")
     means = parts.groupBy("_x", "_b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("_m"))
     return means.groupBy(F.col("_x").alias(x)).agg(F.percentile("_m", [0.025, 0.975]).alias("_ci")).select(
         x, F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
