@@ -21,7 +21,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions.frames import lookup, with_global_index
+from kiln.functions.frames import dealt_evenly, lookup, with_global_index
 from kiln.functions.graph import components
 from kiln.functions.nulls import numeric_columns
 from kiln.operators.neighbours import build_tree
@@ -131,7 +131,8 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
         near, extra = Near(x, eps), pdf["near_hot"].to_numpy()
         return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "core": [bool(w[near.of(i)].sum() + extra[i] >= min_samples) for i in own]})
 
-    spread_pts = pts.mapInPandas(spread, "id long, x array<double>, w double, near_hot double, cell int, own boolean")
+    # the comparisons of a cell are many times its bytes
+    spread_pts = dealt_evenly(pts.mapInPandas(spread, "id long, x array<double>, w double, near_hot double, cell int, own boolean"), "cell")
     core = spread_pts.groupBy("cell").applyInPandas(weights, "id long, core boolean").checkpoint(eager=True)
 
     def ties(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +158,7 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
             out += [(ids[i], ids[k], False) for k in np.unique(label[j[is_core[j]]])]
         return pd.DataFrame(out, columns=["id", "to", "core"])
 
-    tied = spread_pts.join(core, "id").groupBy("cell").applyInPandas(ties, "id long, to long, core boolean")
+    tied = dealt_evenly(spread_pts.join(core, "id"), "cell").groupBy("cell").applyInPandas(ties, "id long, to long, core boolean")
     tied = (tied if hot is None else tied.unionByName(hot.ties(core))).checkpoint(eager=True)
     links = tied.where("core").select(F.col("id").alias("u"), F.col("to").alias("v"))
     roots = components(links)
