@@ -2,15 +2,18 @@
 
 The profile log-likelihood of lambda needs, per lambda, the population
 variance of the transformed column and one sum of logs.  A grid of
-lambdas is evaluated in **one** aggregate (one ``var_pop`` per grid point,
-numerically stable central moments), the grid is narrowed around the best
-point, and this repeats; each round is one pass over one column.
+lambdas is evaluated in **one** pass (logarithms taken once per row, counts,
+means and squared deviations per grid point merged over batches and tasks),
+the grid is narrowed around the best point, and this repeats; each round is
+one pass over one column.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +33,55 @@ def yeojohnson_expr(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _powers(log: np.ndarray, lam: float) -> np.ndarray:
+    """(e^log)^lam as a Box-Cox value."""
+    return log if abs(lam) < 1e-12 else np.expm1(lam * log) / lam
+
+
+def _merged(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple:
+    """Counts, means and squared deviations of all parts together; a row per part, a column per lambda."""
+    total = n.sum()
+    whole = (n[:, None] * mean).sum(axis=0) / total
+    return total, whole, (m2 + n[:, None] * (mean - whole) ** 2).sum(axis=0)
+
+
+def _moments(method: str, lams: list[float]):
+    """The moments of a task's rows under every lambda, one row."""
+    def run(batches):
+        found, logs = [], 0.0
+        with np.errstate(all="ignore"):
+            for pdf in batches:
+                x = pdf["x"].to_numpy(float)
+                if not len(x):
+                    continue
+                if method == "boxcox":
+                    log = np.log(x)
+                    logs += log.sum()
+                    each = (_powers(log, l) for l in lams)
+                else:
+                    low, log = x < 0, np.log1p(np.abs(x))
+                    logs += np.where(low, -log, log).sum()
+                    each = (np.concatenate([_powers(log[~low], l), -_powers(log[low], 2 - l)]) for l in lams)
+                values = [(v.mean(), ((v - v.mean()) ** 2).sum()) for v in each]
+                found.append((len(x), [m for m, _ in values], [s for _, s in values]))
+            if found:
+                n, mean, m2 = _merged(*(np.array(c, dtype=float) for c in zip(*found)))
+                yield pd.DataFrame({"n": [int(n)], "ls": [float(logs)], "mean": [mean.tolist()], "m2": [m2.tolist()]})
+
+    return run
+
+
 def _llf_round(data: DataFrame, method: str, lams: list[float]):
-    x = F.col("x")
-    if method == "boxcox":
-        logsum = F.sum(F.log(x))
-        exprs = [F.var_pop(boxcox_expr(x, l)).alias(f"v{i}") for i, l in enumerate(lams)]
-    else:
-        logsum = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-        exprs = [F.var_pop(yeojohnson_expr(x, l)).alias(f"v{i}") for i, l in enumerate(lams)]
-    row = data.agg(F.count(x).alias("n"), logsum.alias("ls"), *exprs).collect()[0]
-    n, ls = row["n"], row["ls"]
+    rows = data.mapInPandas(_moments(method, lams), "n long, ls double, mean array<double>, m2 array<double>").collect()  # one row per task
+    if not rows:
+        return None, -math.inf
+    with np.errstate(all="ignore"):
+        n, _, m2 = _merged(*(np.array([r[c] for r in rows], dtype=float) for c in ("n", "mean", "m2")))
+        variances = m2 / n
+    ls = sum(r["ls"] for r in rows)
     best, best_l = -math.inf, None
-    for i, l in enumerate(lams):
-        v = row[f"v{i}"]
-        if v is None or v <= 0 or math.isnan(v) or math.isinf(v):
+    for v, l in zip(variances.tolist(), lams):
+        if v <= 0 or math.isnan(v) or math.isinf(v):
             continue
         llf = (l - 1) * ls - n / 2.0 * math.log(v)
         if llf > best:
