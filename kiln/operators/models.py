@@ -215,6 +215,13 @@ class Copy(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defaul
         return dataset.withColumn(self.getOutputCol(), F.col(self.getInputCol()))
 
 
+def reads_rows_often(problem_type: str, name: str, params: dict) -> bool:
+    """Whether a fit scans its rows many times itself.  Spark's estimators scan them a few times, or keep them in blocks of their
+    own: there a second copy of the features only drives those blocks out of memory."""
+    return name in ("K-Nearest Neighbors", "Random Forest", "Gradient Boosting") or \
+        (name == "SVM" and (problem_type == "regression" or params.get("kernel", "rbf") == "rbf"))
+
+
 def fit_model(data: DataFrame, problem_type: str, name: str, params: dict, n_features: int, n_rows: int) -> list:
     """Stages fitted on ``data(scaled, label, rid)`` (``rid``: a hash of the rows' keys) that turn ``scaled`` into ``prediction``; penalties follow from ``n_rows``."""
     cls = problem_type == "classification"
@@ -275,9 +282,13 @@ def grid_search(rows: DataFrame, prep: Prepared, problem_type: str, name: str, k
         for f in range(folds):
             part = dealt.where(F.col("fold") != f).drop("fold")
             prepared = featurizer(prep, preprocess).fit(part)
-            train = prepared.transform(part).select("scaled", "label", row_hash(key)).persist()
-            valid = prepared.transform(dealt.where(F.col("fold") == f).drop("fold")).select("scaled", "label").persist()
-            n = train.count()
+            train = prepared.transform(part).select("scaled", "label", row_hash(key))
+            valid = prepared.transform(dealt.where(F.col("fold") == f).drop("fold")).select("scaled", "label")
+            held = any(reads_rows_often(problem_type, name, {**(base or {}), **c}) for c in choices)
+            if held:
+                train.persist()
+                valid.persist()
+            n = train.count() if held else part.count()
 
             def run(choice: dict) -> float:
                 stages = fit_model(train, problem_type, name, {**(base or {}), **choice}, len(prep.features), n)
@@ -288,8 +299,9 @@ def grid_search(rows: DataFrame, prep: Prepared, problem_type: str, name: str, k
             with ThreadPool(min(parallelism, len(choices))) as pool:
                 for held, value in zip(scores, pool.map(run, choices)):
                     held.append(float("nan") if value is None else float(value))
-            train.unpersist()
-            valid.unpersist()
+            if held:
+                train.unpersist()
+                valid.unpersist()
     finally:
         dealt.unpersist()
     return [(c, sum(s) / len(s)) for c, s in zip(choices, scores)]
@@ -317,14 +329,18 @@ def train(df: DataFrame, target: str, features: list[str], model: str, problem_t
             tried = grid_search(train_df, prep, problem_type, model, key, preprocess, parallelism=parallelism, base=params)
             chosen.update(max(tried, key=lambda x: (x[1] == x[1], x[1]))[0])
         prepared = featurizer(prep, preprocess).fit(train_df)
-        data = prepared.transform(train_df).select("scaled", "label", row_hash(key)).persist()
-        stages = fit_model(data, problem_type, model, chosen, len(prep.features), data.count())
+        data = prepared.transform(train_df).select("scaled", "label", row_hash(key))
+        held = reads_rows_often(problem_type, model, chosen)
+        if held:
+            data.persist()
+        stages = fit_model(data, problem_type, model, chosen, len(prep.features), data.count() if held else train_df.count())
         if cls:
             stages = [*stages, IndexToString(inputCol="prediction", outputCol="predicted_class", labels=names)]
         fitted = PipelineModel(stages=prepared.stages + stages)
         pred = fitted.transform(test_df)
         metrics = classification_metrics(pred) if cls else regression_metrics(pred)
-        data.unpersist()
+        if held:
+            data.unpersist()
     finally:
         base.unpersist()
     return Trained(fitted, metrics, prep.features, names, chosen if tried or params else {}, pred, tried)
