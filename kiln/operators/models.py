@@ -216,10 +216,10 @@ class Copy(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defaul
 
 
 def reads_rows_often(problem_type: str, name: str, params: dict) -> bool:
-    """Whether a fit scans its rows many times itself.  Spark's estimators scan them a few times, or keep them in blocks of their
-    own: there a second copy of the features only drives those blocks out of memory."""
-    return name in ("K-Nearest Neighbors", "Random Forest", "Gradient Boosting") or \
-        (name == "SVM" and (problem_type == "regression" or params.get("kernel", "rbf") == "rbf"))
+    """Whether a fit scans its rows many times.  Spark's iterative estimators keep them in blocks of their own: there a second
+    copy of the features only drives those blocks out of memory."""
+    linear = name == "SVM" and problem_type == "classification" and params.get("kernel", "rbf") == "linear"
+    return not linear and name not in ("Logistic Regression", "Lasso Regression")
 
 
 def fit_model(data: DataFrame, problem_type: str, name: str, params: dict, n_features: int, n_rows: int) -> list:

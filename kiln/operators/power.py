@@ -2,10 +2,12 @@
 
 The profile log-likelihood of lambda needs, per lambda, the population
 variance of the transformed column and one sum of logs.  A grid of
-lambdas is evaluated in **one** pass (logarithms taken once per row, counts,
-means and squared deviations per grid point merged over batches and tasks),
-the grid is narrowed around the best point, and this repeats; each round is
-one pass over one column.
+lambdas is evaluated in **one** pass, the grid is narrowed around the best
+point, and this repeats; each round is one pass over one column.  Box-Cox
+takes one logarithm per row and merges counts, means and squared deviations
+per grid point over batches and tasks; Yeo-Johnson is one aggregate with a
+``var_pop`` per grid point (its likelihood may be so flat that another order
+of rounding moves the lambda).
 """
 
 from __future__ import annotations
@@ -45,25 +47,17 @@ def _merged(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple:
     return total, whole, (m2 + n[:, None] * (mean - whole) ** 2).sum(axis=0)
 
 
-def _moments(method: str, lams: list[float]):
-    """The moments of a task's rows under every lambda, one row."""
+def _moments(lams: list[float]):
+    """The moments of a task's rows under every lambda of Box-Cox, one row."""
     def run(batches):
         found, logs = [], 0.0
         with np.errstate(all="ignore"):
             for pdf in batches:
-                x = pdf["x"].to_numpy(float)
-                if not len(x):
-                    continue
-                if method == "boxcox":
-                    log = np.log(x)
+                if len(pdf):
+                    log = np.log(pdf["x"].to_numpy(float))
                     logs += log.sum()
-                    each = (_powers(log, l) for l in lams)
-                else:
-                    low, log = x < 0, np.log1p(np.abs(x))
-                    logs += np.where(low, -log, log).sum()
-                    each = (np.concatenate([_powers(log[~low], l), -_powers(log[low], 2 - l)]) for l in lams)
-                values = [(v.mean(), ((v - v.mean()) ** 2).sum()) for v in each]
-                found.append((len(x), [m for m, _ in values], [s for _, s in values]))
+                    values = [(v.mean(), ((v - v.mean()) ** 2).sum()) for v in (_powers(log, l) for l in lams)]
+                    found.append((len(log), [m for m, _ in values], [s for _, s in values]))
             if found:
                 n, mean, m2 = _merged(*(np.array(c, dtype=float) for c in zip(*found)))
                 yield pd.DataFrame({"n": [int(n)], "ls": [float(logs)], "mean": [mean.tolist()], "m2": [m2.tolist()]})
@@ -71,17 +65,28 @@ def _moments(method: str, lams: list[float]):
     return run
 
 
-def _llf_round(data: DataFrame, method: str, lams: list[float]):
-    rows = data.mapInPandas(_moments(method, lams), "n long, ls double, mean array<double>, m2 array<double>").collect()  # one row per task
+def _boxcox_round(data: DataFrame, lams: list[float]) -> tuple:
+    """(rows, sum of logarithms, variance under every lambda)."""
+    rows = data.mapInPandas(_moments(lams), "n long, ls double, mean array<double>, m2 array<double>").collect()  # one row per task
     if not rows:
-        return None, -math.inf
+        return 0, None, [None] * len(lams)
     with np.errstate(all="ignore"):
         n, _, m2 = _merged(*(np.array([r[c] for r in rows], dtype=float) for c in ("n", "mean", "m2")))
-        variances = m2 / n
-    ls = sum(r["ls"] for r in rows)
+        return int(n), sum(math.nan if r["ls"] is None else r["ls"] for r in rows), (m2 / n).tolist()
+
+
+def _yeojohnson_round(data: DataFrame, lams: list[float]) -> tuple:
+    x = F.col("x")
+    row = data.agg(F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("ls"),
+                   *[F.var_pop(yeojohnson_expr(x, l)).alias(f"v{i}") for i, l in enumerate(lams)]).collect()[0]
+    return row["n"], row["ls"], [row[f"v{i}"] for i in range(len(lams))]
+
+
+def _llf_round(data: DataFrame, method: str, lams: list[float]):
+    n, ls, variances = (_boxcox_round if method == "boxcox" else _yeojohnson_round)(data, lams)
     best, best_l = -math.inf, None
-    for v, l in zip(variances.tolist(), lams):
-        if v <= 0 or math.isnan(v) or math.isinf(v):
+    for v, l in zip(variances, lams):
+        if v is None or v <= 0 or math.isnan(v) or math.isinf(v):
             continue
         llf = (l - 1) * ls - n / 2.0 * math.log(v)
         if llf > best:
