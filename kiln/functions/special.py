@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EPS = 1e-15
@@ -152,8 +152,8 @@ def norm_ppf(p: float) -> float:
     return _poly(_A, r) * q / (_poly(_B, r) * r + 1)
 
 
-def norm_ppf_col(p: Column) -> Column:
-    """The same approximation as a Column expression (stays in codegen)."""
+def _norm_ppf_parts(p: Column) -> tuple[Column, Column, Column]:
+    """The approximation's lower tail, upper tail and middle, as expressions in p."""
     q_low = F.sqrt(-2 * F.log(p))
     q_high = F.sqrt(-2 * F.log(1 - p))
     q = p - 0.5
@@ -161,4 +161,22 @@ def norm_ppf_col(p: Column) -> Column:
     low = _poly(_C, q_low) / (_poly(_D, q_low) * q_low + 1)
     high = -_poly(_C, q_high) / (_poly(_D, q_high) * q_high + 1)
     mid = _poly(_A, r) * q / (_poly(_B, r) * r + 1)
+    return low, high, mid
+
+
+def norm_ppf_col(p: Column) -> Column:
+    """The same approximation as a Column expression (stays in codegen)."""
+    low, high, mid = _norm_ppf_parts(p)
     return F.when(p < _P_LOW, low).when(p > 1 - _P_LOW, high).otherwise(mid)
+
+
+def norm_noise(df: DataFrame, u: Column, name: str) -> DataFrame:
+    """``norm_ppf_col(u)`` as a column, for a ``u`` that is heavy or counts rows: five evaluations of ``u`` at most instead of one
+    wherever the expression names it.  A ``u`` with row ids counts per place, by the rows that come to it: so do these five, once
+    for each condition and each part, and give the values that ``norm_ppf_col(u)`` gives."""
+    def drawn(part):
+        return F.struct(F.lit(part).alias("part"), u.alias("p"))
+
+    low, high, mid = _norm_ppf_parts(F.col("_u.p"))
+    return (df.withColumn("_u", F.when(u < _P_LOW, drawn(0)).when(u > 1 - _P_LOW, drawn(1)).otherwise(drawn(2)))
+            .withColumn(name, F.when(F.col("_u.part") == 0, low).when(F.col("_u.part") == 1, high).otherwise(mid)).drop("_u"))

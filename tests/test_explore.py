@@ -111,3 +111,55 @@ def test_mutual_info_matches_brute_force(spark):
     dg = np.vectorize(_digamma)
     ref = max(0, _digamma(n) + dg(kall).mean() - dg(lc).mean() - dg(m).mean())
     assert abs(mutual_info_feature(df, "x", "y") - ref) < 1e-6
+
+
+def test_mutual_info_over_many_slices(spark):
+    """Neighbours and balls across slices, ties without a radius, classes of two rows and of one, missing values."""
+    from kiln.operators import mutual_info as M
+    rng = np.random.default_rng(3)
+    n = 700
+    y = ["abc"[k] for k in rng.integers(0, 3, n)] + ["rare"] * 2 + ["once"]
+    x = np.append(rng.normal(size=n) + np.array([ord(c) for c in y[:n]]) * 0.7, [60.0, 75.0, 68.0])
+    x[:60] = 68.0  # ties, up to the noise
+    rows = [(float(a), b) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows + [(None, "a"), (float("nan"), "a"), (1.0, None)], "x double, y string")
+    got = {M.mutual_info_feature(df.coalesce(1), "x", "y", block_rows=k) for k in (40, 1 << 20)}
+    assert max(got) - min(got) < 1e-9
+    keep = np.array([c != "once" for c in y])
+    xs, lab = x[keep] / x.std(), np.array(y)[keep]
+    xs = xs + rng.normal(size=len(xs)) * 1e-10 * max(1.0, np.abs(x).mean() / x.std())
+    d = np.abs(xs[:, None] - xs[None, :])
+    parts = []
+    for i in range(len(xs)):
+        own = np.sort(d[i][lab == lab[i]])
+        k = min(3, len(own) - 1)
+        parts.append(M._digamma(k) - M._digamma(len(own)) - M._digamma((d[i] < own[k] * (1 - 1e-12)).sum()))
+    assert abs(got.pop() - max(0.0, M._digamma(len(xs)) + np.mean(parts))) < 0.02  # other noise among the ties
+
+
+def test_mutual_info_holds_points_once(spark, monkeypatch):
+    """No step of the estimate holds rows of several events for each point: what is checkpointed beside the packed slices is small."""
+    from pyspark.sql.classic.dataframe import DataFrame as Held
+
+    from kiln.operators.mutual_info import mutual_info_feature
+    held, checkpoint = [], Held.checkpoint
+
+    def counted(self, *a, **k):
+        out = checkpoint(self, *a, **k)
+        held.append(out.count())
+        return out
+
+    df = spark.range(30_000).selectExpr("cast(hash(id) as double) as x", "id % 3 as y")
+    monkeypatch.setattr(Held, "checkpoint", counted)
+    mutual_info_feature(df, "x", "y", block_rows=4_000)
+    assert sum(held) < 3_000
+
+
+def test_noise_is_that_of_the_whole_expression(spark):
+    from pyspark.sql import functions as F
+
+    from kiln.functions.special import norm_noise, norm_ppf_col
+    df = spark.range(5_000).coalesce(1)
+    u = (F.abs(F.xxhash64("id", F.monotonically_increasing_id())) % F.lit(1 << 30) + 0.5) / F.lit(float(1 << 30))
+    want = df.select("id", norm_ppf_col(u).alias("z")).collect()
+    assert want == norm_noise(df, u, "z").collect()
