@@ -24,6 +24,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ K = 3
 NOISE = 1.0
 PROBES_EACH = 1 << 18  # probes from other slices that a slice answers in one row
 PACKED = "slice int, n long, lo double, hi double, xs binary, cs binary, ids binary"
+PACKED_ARROW = pa.schema([("slice", pa.int32()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()),
+                          ("xs", pa.binary()), ("cs", pa.binary()), ("ids", pa.binary())])
 
 
 def digamma_col(x: Column) -> Column:
@@ -61,17 +65,17 @@ def _digammas(x: np.ndarray) -> np.ndarray:
 def _packed(points: DataFrame, slices: int) -> DataFrame:
     """points(x, c) in slices of adjoining values, a row each: the values in order, and which of the slice's classes each has."""
     def pack(batches):
-        parts = [(int(b["slice"].iloc[0]), b["x"].to_numpy(), b["c"].to_numpy()) for b in batches if len(b)]
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not parts:
             return
-        x, c = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        x, c = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(x, kind="stable")
         x, (ids, code) = x[order], np.unique(c[order], return_inverse=True)
-        yield pd.DataFrame({"slice": [parts[0][0]], "n": [len(x)], "lo": [x[0]], "hi": [x[-1]], "xs": [x.tobytes()],
-                            "cs": [code.astype(np.int32).tobytes()], "ids": [ids.astype(np.int64).tobytes()]})
+        yield pa.RecordBatch.from_pylist([{
+            "slice": TaskContext.get().partitionId(), "n": len(x), "lo": float(x[0]), "hi": float(x[-1]), "xs": x.tobytes(),
+            "cs": code.astype(np.int32).tobytes(), "ids": ids.astype(np.int64).tobytes()}], PACKED_ARROW)
 
-    ranged = points.repartitionByRange(slices, "x").withColumn("slice", F.spark_partition_id())
-    return ranged.mapInPandas(pack, PACKED).checkpoint(eager=True)
+    return points.repartitionByRange(slices, "x").select("x", "c").mapInArrow(pack, PACKED).checkpoint(eager=True)
 
 
 def _class_ends(packed: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def _ball_counts(packed: DataFrame, halo: DataFrame, bounds: list) -> tuple[floa
 
 
 def mutual_info_feature(df: DataFrame, feature: str, target: str, seed: int = 0,
-                        block_rows: int = 1 << 20) -> float:
+                        block_rows: int = 1 << 18) -> float:
     from kiln.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     data = df.select(F.col(feature).cast("double").alias("x0"), F.col(target).alias("y")).na.drop()
