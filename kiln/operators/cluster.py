@@ -308,7 +308,12 @@ class Near:
 
 
 def cluster_summary(labelled: DataFrame, label: str = "cluster") -> DataFrame:
-    """L4: number of clusters, noise (-1) excluded, and the size of each."""
-    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.agg(F.count_if(F.col(label) != -1).alias("n_clusters"),
-                     F.sum(F.when(F.col(label) == -1, F.col("size")).otherwise(0)).alias("n_noise"))
+    """L4: number of clusters, noise (-1) excluded, and the size of each: a row for every label (noise too) with its size and the
+    two totals.  Without rows, the totals stand alone."""
+    ensure_checkpoint_dir(labelled.sparkSession)
+    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size")).checkpoint(eager=True)
+    totals = sizes.agg(F.count_if(F.col(label) != -1).alias("n_clusters"),
+                       F.sum(F.when(F.col(label) == -1, F.col("size")).otherwise(0)).alias("n_noise"))
+    if sizes.isEmpty():
+        return totals.select("n_clusters", "n_noise", *[F.lit(None).cast(f.dataType).alias(f.name) for f in sizes.schema])
+    return sizes.crossJoin(F.broadcast(totals)).select("n_clusters", "n_noise", label, "size")

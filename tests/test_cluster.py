@@ -40,6 +40,14 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, dims):
     assert n["n_clusters"] == want.max() + 1 and n["n_noise"] == (want < 0).sum()
 
 
+def test_summary_has_the_size_of_each_cluster(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([0] * 5 + [1] * 3 + [-1] * 2 + [7])], "id long, cluster long")
+    got = {r["cluster"]: (r["size"], r["n_clusters"], r["n_noise"]) for r in cluster.cluster_summary(df).collect()}
+    assert got == {0: (5, 3, 2), 1: (3, 3, 2), 7: (1, 3, 2), -1: (2, 3, 2)}
+    none = cluster.cluster_summary(df.where("id < 0")).collect()
+    assert len(none) == 1 and none[0]["n_clusters"] == 0 and none[0]["size"] is None
+
+
 def test_hierarchical_separates_blobs(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.2, (40, 2)) for c in (0, 5, 10)])
