@@ -1,6 +1,8 @@
 """Gradient boosting (M6) on binned histograms, one tree per class and stage.
 
-Rows are kept as blocks of bin numbers with their scores.  A level of a
+Trees look at bin numbers only, so rows of equal bins have equal scores
+whatever the stage: they are one point with its class counts (or rows, mean
+and squared deviations).  Points are kept as blocks with their scores.  A level of a
 stage is one pass: tasks compute the gradients of all classes from the
 scores (softmax, logistic or squared loss), add up (rows, gradients,
 curvatures) per class, node, feature and bin, and Spark adds those over
@@ -15,6 +17,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
@@ -31,9 +34,9 @@ from kiln.session import ensure_checkpoint_dir
 BINS = 255            # cuts per feature at most
 EDGE_SAMPLE = 50_000  # rows that the cuts are taken from (all rows, if fewer)
 KEEP = 10             # stages between two writes of the scores
-BLOCK_ROWS = 1 << 16  # rows of a block
-LEAST_CELLS = 1 << 18 # rows x features of a task, until all cores have one
-TASK_CELLS = 1 << 23  # rows x features of a task at most
+BLOCK_ROWS = 1 << 16  # points of a block
+LEAST_CELLS = 1 << 18 # points x features of a task, until all cores have one
+TASK_CELLS = 1 << 23  # points x features of a task at most
 CODE_BITS = 12        # cuts of a tree that is applied by one lookup
 
 
@@ -64,6 +67,25 @@ def gradients(classes: int, y: np.ndarray, scores: np.ndarray) -> tuple[np.ndarr
     return r[:, None], np.ones((len(y), 1)), float((r ** 2).sum() / 2)
 
 
+def point_gradients(classes: int, sums: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """``gradients`` added up over the rows of each point; ``sums`` (points x numbers) as ``_points`` has them."""
+    if classes:
+        rows = sums.sum(axis=1)
+        if classes > 2:
+            z = scores - scores.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            p = e / e.sum(axis=1, keepdims=True)
+            loss = float((rows * np.log(e.sum(axis=1))).sum() - (sums * z).sum())
+            return sums - rows[:, None] * p, rows[:, None] * (p * (1 - p)), loss
+        f = scores[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(f, -500, 500)))
+        loss = float((sums[:, 1] * np.logaddexp(0, -f) + sums[:, 0] * np.logaddexp(0, f)).sum())
+        return (sums[:, 1] - rows * p)[:, None], (rows * (p * (1 - p)))[:, None], loss
+    rows, mean, squares = sums.T
+    r = mean - scores[:, 0]
+    return (rows * r)[:, None], rows[:, None], float((squares + rows * r ** 2).sum() / 2)
+
+
 def step_size(classes: int, gradient: float, curvature: float) -> float:
     """The Newton step of a leaf."""
     if abs(curvature) < 1e-150:
@@ -89,19 +111,39 @@ def cut_points(data: DataFrame, rows: int) -> list[np.ndarray]:
     return [found[f] for f in range(len(found))]
 
 
-def _blocks(data: DataFrame, cuts: list[np.ndarray], start: np.ndarray) -> DataFrame:
-    """(n, bins, y, scores): blocks of rows as binary columns, feature by feature and tree by tree."""
+def _points(data: DataFrame, cuts: list[np.ndarray], classes: int) -> DataFrame:
+    """(bins, s0, s1, ..): a row for each combination of bins that occurs, with the rows of each class, or their number, the mean
+    target and its squared deviations."""
+    d = len(cuts)
+
+    def binned(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                x = clean(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, d))
+                b = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+                bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(d), n, [None, pa.py_buffer(b.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([bins, batch.column(1)], ["bins", "y"])
+
+    y = F.col("y")
+    numbers = [F.count_if(y == k) for k in range(classes)] if classes else [F.count(y), F.avg(y), F.var_pop(y) * F.count(y)]
+    return data.select("x", "y").mapInArrow(binned, "bins binary, y double").groupBy("bins").agg(
+        *[v.cast("double").alias(f"s{j}") for j, v in enumerate(numbers)])
+
+
+def _blocks(points: DataFrame, d: int, start: np.ndarray) -> DataFrame:
+    """(n, bins, sums, scores): blocks of points as binary columns, feature by feature, number by number and tree by tree."""
     def pack(batches):
         held, rows = [], 0
 
         def block():
-            x, y = (np.concatenate(p) for p in zip(*held))
-            b = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.uint8)
-            return pd.DataFrame({"n": [len(y)], "bins": [b.tobytes()], "y": [y.tobytes()], "scores": [np.repeat(start, len(y)).tobytes()]})
+            b, v = (np.concatenate(p) for p in zip(*held))
+            return pd.DataFrame({"n": [len(v)], "bins": [np.ascontiguousarray(b.T).tobytes()], "sums": [np.ascontiguousarray(v.T).tobytes()],
+                                 "scores": [np.repeat(start, len(v)).tobytes()]})
 
         for pdf in batches:
             if len(pdf):
-                held.append((clean(np.stack(pdf["x"].to_numpy()).astype(float)), pdf["y"].to_numpy(float)))
+                held.append((np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, d), pdf.drop(columns="bins").to_numpy(float)))
                 rows += len(pdf)
                 if rows >= BLOCK_ROWS:
                     yield block()
@@ -109,12 +151,12 @@ def _blocks(data: DataFrame, cuts: list[np.ndarray], start: np.ndarray) -> DataF
         if held:
             yield block()
 
-    return data.select("x", "y").mapInPandas(pack, "n long, bins binary, y binary, scores binary")
+    return points.mapInPandas(pack, "n long, bins binary, sums binary, scores binary")
 
 
 def _unpack(r, d: int, trees: int):
-    """The block's bins (features x rows), targets and scores (trees x rows)."""
-    return np.frombuffer(r.bins, np.uint8).reshape(d, -1), np.frombuffer(r.y, float), np.frombuffer(r.scores, float).reshape(trees, -1).copy()
+    """The block's bins (features x points), numbers (points x numbers) and scores (trees x points)."""
+    return np.frombuffer(r.bins, np.uint8).reshape(d, -1), np.frombuffer(r.sums, float).reshape(-1, r.n).T, np.frombuffer(r.scores, float).reshape(trees, -1).copy()
 
 
 def paths(tree: dict, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +201,11 @@ def fit_boosting(data: DataFrame, classes: int, stages: int = 100, learning_rate
     trees = len(start)
     cuts = cut_points(base, n)
     cores = data.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, -(-n * d // TASK_CELLS), min(cores, -(-n * d // LEAST_CELLS)))
-    # dealt evenly once: files of a few row groups would leave the passes to a few tasks
-    blocks = _blocks(base.coalesce(1) if tasks == 1 else base.repartition(tasks), cuts, start).checkpoint(eager=True)
+    points = _points(base, cuts, classes).checkpoint(eager=True)
+    m = points.count()
+    tasks = max(1, -(-m * d // TASK_CELLS), min(cores, -(-m * d // LEAST_CELLS)))
+    # dealt evenly once, whatever partitions the points came in
+    blocks = _blocks(points.coalesce(1) if tasks == 1 else points.repartition(tasks), d, start).checkpoint(eager=True)
     done, recent, losses = [], [], []
     for _ in range(stages):
         stage, loss = _fit_stage(blocks, tasks, d, trees, classes, recent, learning_rate, max_depth, cuts)
@@ -177,10 +221,10 @@ def fit_boosting(data: DataFrame, classes: int, stages: int = 100, learning_rate
                     for r in pdf.itertuples(index=False):
                         bins, _, scores = _unpack(r, d, trees)
                         _add_trees(scores, bins, held, learning_rate)
-                        out.append((r.n, r.bins, r.y, scores.tobytes()))
-                    yield pd.DataFrame(out, columns=["n", "bins", "y", "scores"])
+                        out.append((r.n, r.bins, r.sums, scores.tobytes()))
+                    yield pd.DataFrame(out, columns=["n", "bins", "sums", "scores"])
 
-            blocks = blocks.mapInPandas(rescore, "n long, bins binary, y binary, scores binary").checkpoint(eager=True)
+            blocks = blocks.mapInPandas(rescore, "n long, bins binary, sums binary, scores binary").checkpoint(eager=True)
             recent = []
     plain = [[{"feature": t["feature"].tolist(), "threshold": t["threshold"].tolist(), "left": t["left"].tolist(), "right": t["right"].tolist(),
                "value": t["value"][:, 0].tolist()} for t in stage] for stage in done]
@@ -206,9 +250,10 @@ def _fit_stage(blocks: DataFrame, tasks: int, d: int, trees: int, classes: int,
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
                     any_ = True
-                    bins, y, scores = _unpack(r, d, trees)
+                    bins, numbers, scores = _unpack(r, d, trees)
                     _add_trees(scores, bins, recent, rate)
-                    g, h, part = gradients(classes, y, scores.T)
+                    g, h, part = point_gradients(classes, numbers, scores.T)
+                    rows = numbers.sum(axis=1) if classes else numbers[:, 0]
                     lost += part
                     for k in range(trees):
                         mine = [i for i, (kk, _) in enumerate(asked) if kk == k]  # the tree's nodes, one after the other
@@ -216,18 +261,18 @@ def _fit_stage(blocks: DataFrame, tasks: int, d: int, trees: int, classes: int,
                             continue
                         slot = np.full(len(now[k]["feature"]), -1)
                         slot[[asked[i][1] for i in mine]] = np.arange(len(mine))
-                        at, of, gk, hk = np.zeros(1, dtype=np.int64), bins, g[:, k], h[:, k]
+                        at, of, nk, gk, hk = np.zeros(1, dtype=np.int64), bins, rows, g[:, k], h[:, k]
                         if depth:
                             nodes, code = paths(now[k], bins)
                             at = slot[nodes][code]
                             if at.min() < 0:
                                 row = np.flatnonzero(at >= 0)
-                                at, of, gk, hk = at[row], bins[:, row], gk[row], hk[row]
+                                at, of, nk, gk, hk = at[row], bins[:, row], nk[row], gk[row], hk[row]
                             at = at * width
                         sums_ = acc[mine[0]:mine[-1] + 1]
                         for f in range(d):
                             cell = at + of[f]
-                            for j, v in enumerate((None, gk, hk if classes else None)):  # of a squared loss the curvature is 1
+                            for j, v in enumerate((nk, gk, hk)):
                                 sums_[:, f, :, j] += np.bincount(cell, v, minlength=len(mine) * width).reshape(-1, width)
             if any_:
                 yield pd.DataFrame({"i": np.arange(len(asked)), "cells": [a.tobytes() for a in acc], "loss": lost})

@@ -356,10 +356,10 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 def metrics_frame_classification(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     cm = pred.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    tp = cm.where(F.col("y") == F.col("p")).groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("tp"))
-    sup = cm.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("support"))
+    # no filter under the counts: both reads of the table are one exchange, and the rows are scored once
+    sup = cm.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("c"))).alias("tp"))
     npred = cm.groupBy(F.col("p").alias("k")).agg(F.sum("c").alias("npred"))
-    per = sup.join(tp, "k", "full").join(npred, "k", "full").fillna(0, ["tp", "support", "npred"])
+    per = sup.join(npred, "k", "full").fillna(0, ["tp", "support", "npred"])
     f1 = F.when(F.col("support") + F.col("npred") > 0, 2 * F.col("tp") / (F.col("support") + F.col("npred"))).otherwise(0.0)
     return per.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
                    (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"),

@@ -181,6 +181,19 @@ def test_booster_equals_numpy(spark, monkeypatch, classes, cells):
     assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-6)
 
 
+@pytest.mark.parametrize("classes", [3, 2, 0])
+def test_booster_passes_over_distinct_bins(spark, monkeypatch, classes):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, size=(600, 3)).astype(float)  # at most 64 combinations
+    y = (x.sum(axis=1) + rng.integers(0, 3, 600)) % (classes or 9)
+    seen, pack = [], boosting._blocks
+    monkeypatch.setattr(boosting, "_blocks", lambda points, *a: seen.append(points.count()) or pack(points, *a))
+    model = boosting.fit_boosting(table(spark, x, y, 6), classes, 5, 0.3, 2)
+    assert seen == [len(np.unique(x, axis=0))]
+    losses, _ = plain_booster(x, y, classes, 5, 0.3, 2)
+    assert np.allclose(model.loss, losses, rtol=1e-9)
+
+
 def test_booster_of_one_class_and_many_values(spark):
     x, y = make(3, 120)
     one = boosting.fit_boosting(table(spark, x, y * 0), 3, 3)
