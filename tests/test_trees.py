@@ -123,6 +123,32 @@ def test_large_nodes_are_split_before(spark, tmp_path, classes):
     assert joined.keys() == small.keys() and all(abs(joined[i] - small[i]) < 1e-9 for i in small)
 
 
+@pytest.mark.parametrize("classes", [3, 0])
+def test_equal_rows_are_one_point_of_a_forest(spark, monkeypatch, classes):
+    monkeypatch.setattr(forest, "TASK_ROWS", 64)  # equal rows of more than that are dealt to several tasks
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, size=(500, 3)).astype(float)
+    x[:150] = x[0]
+    y = (x.sum(axis=1) + rng.integers(0, 2, 500)) % (classes or 7)
+    df = table(spark, x, y, 5)
+    rid = {r["id"]: r["rid"] for r in df.collect()}
+    rids = np.array([rid[i] for i in range(len(x))])
+    shipped, grow = spark.sparkContext.accumulator(0), trees.grow
+    monkeypatch.setattr(forest, "grow", lambda x, *a: shipped.add(len(x)) or grow(x, *a))
+    model = forest.fit_forest(df, classes, trees=4)
+    assert shipped.value <= 4 * (len(np.unique(x, axis=0)) + 9)  # points and the copies of the dealt ones, not 4 x 316 rows
+    got = {(r.tree): forest._unpack(r, max(classes, 1)) for r in model.nodes.where("part >= 0").toPandas().itertuples()}
+    for t in range(4):
+        w = forest.weights(rids, t, 42).astype(float)
+        k = w > 0
+        tree = trees.grow(x[k], forest._sums(y[k], w[k], classes), w[k], classes, 1 if classes else 3, 2, None, int(trees.mixed(42, t, 0) >> np.uint64(1)))
+        assert (got[t]["feature"] == tree["feature"]).all() and np.allclose(got[t]["value"], tree["value"])
+    a = {r["id"]: r["prediction"] for r in model.transform(df).collect()}
+    model.max_broadcast_bytes = 0
+    b = {r["id"]: r["prediction"] for r in model.transform(df).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
 def test_blocks_of_a_joined_part(spark, monkeypatch):
     monkeypatch.setattr(forest, "SCORE_ROWS", 40)
     x, y = make(3)
