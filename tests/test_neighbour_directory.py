@@ -29,6 +29,25 @@ def test_search_through_the_directory(spark, monkeypatch, dims):
         assert [t for _, t in got] == want.tolist() and np.allclose([v for v, _ in got], d[want])
 
 
+def test_equal_places_are_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PLACE_ROWS", 50)
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(0, 4, size=(3000, 2)).astype(float), rng.integers(0, 5, size=(700, 2)).astype(float)
+    train = spark.createDataFrame([(i, v.tolist(), i / 3) for i, v in enumerate(x)], "tid long, x array<double>, label double").repartition(5)
+    query = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, x array<double>")
+    seen, search = [], neighbours._nearest
+    monkeypatch.setattr(neighbours, "_nearest", lambda t, a, k: seen.append((t.count(), a.count())) or search(t, a, k))
+    found = neighbours.nearest(train, query, 5).collect()
+    assert seen == [(16 * 5, 25)]  # five points of each of 16 places, 25 places that are asked for
+    by = {}
+    for r in found:
+        by.setdefault(r["qid"], []).append((r["d"], r["tid"], r["label"]))
+    for i, p in enumerate(q):
+        d = np.sqrt(((x - p) ** 2).sum(1))
+        want = np.lexsort((np.arange(3000), d))[:5]
+        assert [t for _, t, _ in sorted(by[i])] == want.tolist() and np.allclose([v for v, _, _ in sorted(by[i])], d[want])
+
+
 def test_distinct_counts_of_all_columns(spark):
     rows = [(0.0, "a", [1], None), (-0.0, "a", [1, 2], b"x"), (float("nan"), None, None, b"x"), (float("nan"), "b", [1], b"")]
     df = spark.createDataFrame(rows, "d double, s string, l array<int>, b binary")
