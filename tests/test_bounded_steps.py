@@ -76,6 +76,40 @@ def test_kernel_svc_holds_no_features(spark, monkeypatch):
             assert np.allclose(end.value * scale, [*spec["w"][k], spec["b"][k]], rtol=1e-6, atol=1e-9)
 
 
+def test_kernel_svc_passes_over_distinct_rows(spark, monkeypatch):
+    import json
+    from pyspark.ml.functions import array_to_vector
+    models, kernel, _, _, _ = _kernel_rows(spark)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, size=(400, 3)).astype(float)
+    y = (x[:, 0] > x[:, 1]) + rng.integers(0, 2, 400)
+    rows = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "x array<double>, label double")
+    made, blocks = spark.sparkContext.accumulator(0), models._point_blocks
+
+    def counted(batches, project):
+        for z, c in blocks(batches, project):
+            made.add(len(z))
+            yield z, c
+
+    monkeypatch.setattr(models, "_point_blocks", counted)
+    m = models.fit_svc(rows.select(array_to_vector("x").alias("scaled"), "label"), "label", kernel, 0.01, max_iter=0)
+    places = len(np.unique(x, axis=0))
+    assert made.value == 3 * places  # two passes of moments, and one of losses
+    z = kernel.projection()[0](x)
+    inverse = 1 / z.std(axis=0, ddof=1)
+    m = models.fit_svc(rows.select(array_to_vector("x").alias("scaled"), "label"), "label", kernel, 0.01, max_iter=3)
+    spec = json.loads(m.getOrDefault("spec"))
+    for k in range(3):
+        value, run, scale = _hinge(z, y, k, 0.01), models._descent(np.zeros(41), 3), np.append(inverse, 1.0)
+        point = next(run)
+        try:
+            while True:
+                v, g = value(point * scale)
+                point = run.send((v, g * scale))
+        except StopIteration as end:
+            assert np.allclose(end.value * scale, [*spec["w"][k], spec["b"][k]], rtol=1e-6, atol=1e-9)
+
+
 def test_descent_goes_below_the_optimum_of_linear_svc(spark):
     from pyspark.ml.classification import LinearSVC
     models, kernel, rows, z, y = _kernel_rows(spark)
