@@ -237,3 +237,20 @@ def test_svr_reaches_the_linear_loss_optimum(spark):
 
     best = min(loss(w, b) for w in np.linspace(0.5, 2.5, 201) for b in np.linspace(-1, 1.5, 251))
     assert loss(spec["w"][0], spec["b"]) <= best * 1.001
+
+
+def test_logistic_grid_fits_distinct_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, size=(600, 2)).astype(float)
+    y = np.where(x[:, 0] - x[:, 1] + rng.normal(size=600) > 0, "b", "a")
+    df = spark.createDataFrame([(i, float(a), float(b), t) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, t string")
+    seen, fit = [], models.fit_model
+    monkeypatch.setattr(models, "fit_model", lambda data, *a: seen.append(data.count()) or fit(data, *a))
+    got = models.train(df, "t", ["a", "b"], "Logistic Regression", "classification", ["id"], use_grid_search=True)
+    assert len(seen) == 5 * 3 + 1 and max(seen) <= 32  # 16 places, two classes
+    monkeypatch.setattr(models, "counted", lambda data: data)
+    plain = models.train(df, "t", ["a", "b"], "Logistic Regression", "classification", ["id"], use_grid_search=True)
+    assert got.best_params == plain.best_params and got.metrics["n"] == 120
+    assert np.allclose([v for _, v in got.grid], [v for _, v in plain.grid], atol=0.01)
+    a, b = (next(s for s in t.model.stages if hasattr(s, "coefficientMatrix")).coefficientMatrix.toArray() for t in (got, plain))
+    assert np.allclose(a, b, rtol=1e-2, atol=1e-3)
